@@ -158,12 +158,12 @@ def pattern_keys(members: DataFrame, distinct_texts: bool = False) -> DataFrame:
 
 
 def build_clusters(members: DataFrame, distinct_texts: bool = True) -> DataFrame:
-    """One row per cluster: size, samples, target column and pattern key."""
+    """One row per cluster: size, samples, target column and pattern key (written once)."""
     sizes = members.groupBy("cluster_id", "cluster_ord").agg(F.count("*").alias("size"))
     clusters = sizes.join(sample_rows(members), "cluster_id").join(
         pattern_keys(members, distinct_texts), "cluster_id"
     )
-    return clusters.withColumn("target_column", target_column(F.col("sample_rows")))
+    return tables.cut(clusters.withColumn("target_column", target_column(F.col("sample_rows"))), "clusters")
 
 
 REGISTRY = "pattern_key string, cluster_uid string, number bigint, first_seen string, last_seen string, " \

@@ -210,6 +210,29 @@ def anomaly_breakdown(found: DataFrame, *by: str) -> DataFrame:
     return found.groupBy(*(by or ("error_type",))).agg(F.count("*").alias("anomalies"))
 
 
+def _error_kinds() -> list[str]:
+    return sorted([S.NULL_ERROR[0], S.DUPLICATE_ERROR[0], *(e for e, _ in S.TYPE_ERRORS.values())])
+
+
+def _summary(base: DataFrame, spec: ValidationSpec) -> DataFrame:
+    """Summary row from one row of counts, where an absent count is zero."""
+
+    def number(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(0)).cast("bigint")
+
+    total, bad = number("input_rows"), number("bad_rows")
+    return base.select(
+        F.when(total == 0, F.lit("no_input")).otherwise(F.lit("completed")).alias("status"),
+        total.alias("input_rows"),
+        (total - bad).alias("clean_rows"),
+        bad.alias("bad_rows"),
+        number("anomalies").alias("anomalies"),
+        F.lit(",".join(spec.rule_names())).alias("validation_rules_applied"),
+        F.lit(",".join(spec.required)).alias("required_columns"),
+        *(number(kind).alias(kind) for kind in _error_kinds()),
+    )
+
+
 def summarize(validated: DataFrame, spec: ValidationSpec) -> DataFrame:
     """One row: status, input, clean and bad rows, anomalies, rules and breakdown.
 
@@ -218,21 +241,37 @@ def summarize(validated: DataFrame, spec: ValidationSpec) -> DataFrame:
     per_pattern = validated.groupBy(
         F.transform("_anomalies", lambda a: a["error_type"]).alias("errors")
     ).agg(F.count("*").alias("n"))
-    kinds = [S.NULL_ERROR[0], S.DUPLICATE_ERROR[0], *(e for e, _ in S.TYPE_ERRORS.values())]
 
     def times(kind: str) -> Column:
-        hits = F.size(F.filter("errors", lambda e: e == kind))
-        return F.coalesce(F.sum(hits * F.col("n")), F.lit(0)).cast("bigint")
+        return F.sum(F.size(F.filter("errors", lambda e: e == kind)) * F.col("n"))
 
-    total = F.coalesce(F.sum("n"), F.lit(0)).cast("bigint")
-    clean = F.coalesce(F.sum(F.when(F.size("errors") == 0, F.col("n"))), F.lit(0)).cast("bigint")
-    return per_pattern.agg(
-        F.when(total == 0, F.lit("no_input")).otherwise(F.lit("completed")).alias("status"),
-        total.alias("input_rows"),
-        clean.alias("clean_rows"),
-        (total - clean).alias("bad_rows"),
-        F.coalesce(F.sum(F.size("errors") * F.col("n")), F.lit(0)).cast("bigint").alias("anomalies"),
-        F.lit(",".join(spec.rule_names())).alias("validation_rules_applied"),
-        F.lit(",".join(spec.required)).alias("required_columns"),
-        *(times(kind).alias(kind) for kind in sorted(kinds)),
+    counts = per_pattern.agg(
+        F.sum("n").alias("input_rows"),
+        F.sum(F.when(F.size("errors") > 0, F.col("n"))).alias("bad_rows"),
+        F.sum(F.size("errors") * F.col("n")).alias("anomalies"),
+        *(times(kind).alias(kind) for kind in _error_kinds()),
+    )
+    return _summary(counts, spec)
+
+
+def summarize_found(rows: DataFrame, found: DataFrame, spec: ValidationSpec) -> DataFrame:
+    """The same summary from the input and its written anomalies.
+
+    The input is only counted, which a columnar file answers from its footer;
+    a bad row is known by its first anomaly.
+    """
+    counts = found.agg(
+        F.count_if(F.col("pos") == 0).alias("bad_rows"),
+        F.count("*").alias("anomalies"),
+        *(F.count_if(F.col("error_type") == kind).alias(kind) for kind in _error_kinds()),
+    )
+    total = rows.agg(F.count("*").alias("input_rows"))
+    return _summary(total.withColumn("_k", F.lit(1)).join(counts.withColumn("_k", F.lit(1)), "_k"), spec)
+
+
+def failure(spec: ValidationSpec, rows: DataFrame, message: str) -> DataFrame:
+    """Summary row of a load that failed, with the message."""
+    empty = rows.sparkSession.range(1).select(
+        *(F.lit(0).alias(c) for c in ("input_rows", "bad_rows", "anomalies", *_error_kinds()))
     )
+    return _summary(empty, spec).withColumn("status", F.lit("error")).withColumn("error", F.lit(message))
