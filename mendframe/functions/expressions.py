@@ -426,7 +426,7 @@ def apply_codes(rows: DataFrame, codes: DataFrame, code: str = "code", value: st
             ).otherwise(error)
     can_fail = any(t.fails is not None for t in native.values())
     known = F.col(code).isin(*native) if native else F.lit(False)
-    done = rows.where(known).withColumn("transformed_value", result).withColumn("error", error)
+    done = rows.where(known).select("*", F.when(error.isNull(), result).alias("transformed_value"), error.alias("error"))
     if len(native) == len(top):
         return done, can_fail
     outcome = F.pandas_udf(_evaluate_batch, "value string, error string")(F.col(code), source)

@@ -34,8 +34,22 @@ def cut(rows: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def one_row(rows: DataFrame) -> DataFrame:
+    """A one-row result, computed once."""
+    kept = rows.limit(2).collect()
+    if len(kept) != 1:
+        raise ValueError(f"expected one row, got {len(kept)} or more")
+    return rows.sparkSession.createDataFrame([tuple(kept[0])], rows.schema)
+
+
 def is_small(rows: DataFrame) -> bool:
-    """Measured check that a table may be broadcast; pass a table that is cheap to read."""
+    """Checked bound for a broadcast; pass a written table or columns of one.
+
+    The size of the written files settles most cases without a job, anything
+    larger is measured.
+    """
+    if int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= S.TRUSTED_FILE_BYTES:
+        return True
     sized = rows.select(F.length(F.to_json(F.struct(*rows.columns))).alias("n"))
     count, size = sized.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     return count <= S.BROADCAST_MAX_ROWS and size <= S.BROADCAST_MAX_BYTES
@@ -71,11 +85,13 @@ def with_ordinal(rows: DataFrame, output: str = "row_ord") -> DataFrame:
 
 
 def ranked(rows: DataFrame, order: Sequence[str | Column], output: str = "rank") -> DataFrame:
-    """Contiguous 1-based ranks in a global order, without a one-task window.
+    """Contiguous 1-based ranks of a written table in a global order.
 
-    Rows are range-partitioned by the order and written, then numbered by
-    partition offsets.
+    A counted, small table is ranked by one task. A larger one is
+    range-partitioned by the order, written, and numbered by partition offsets.
     """
+    if rows.count() <= S.ONE_TASK_ROWS:
+        return rows.withColumn(output, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
     return number_positions(cut(with_partition_position(rows.orderBy(*order)), "ranked"), output)
 
 

@@ -78,18 +78,18 @@ def assign_members(
     text = signature_text(found) if text is None else text
     keyed = found.withColumn("_text", text)
     texts = keyed.groupBy("_text").agg(F.min(order_key()).alias("_first"), F.count("*").alias("_weight"))
-    numbered = tables.ranked(texts, ["_first", "_text"], "item")
+    named = F.format_string("cluster_%d", "cluster_ord")
+    numbered = tables.ranked(tables.cut(texts, "texts"), ["_first", "_text"], "item")
     if embed is None:
-        groups = numbered.withColumn("cluster_ord", F.col("item"))
+        groups = numbered.withColumn("cluster_ord", F.col("item")).withColumn("cluster_id", named)
     else:
         embedded = tables.cut(embed(numbered, "_text", "vector"), "vectors")
-        led = tables.cut(
-            tables.lookup(embedded, leader_clusters(embedded, threshold), ["item"], "inner"), "led"
-        )
+        leaders = tables.cut(leader_clusters(embedded, threshold), "leaders")
+        led = tables.cut(tables.lookup(embedded, leaders, ["item"], "inner"), "led")
         # a leader is the earliest text of its cluster
         heads = tables.ranked(led.where("item = leader").select("leader"), ["leader"], "cluster_ord")
-        groups = tables.lookup(led, heads, ["leader"], "inner")
-    groups = tables.cut(groups.withColumn("cluster_id", F.format_string("cluster_%d", "cluster_ord")), "groups")
+        heads = tables.cut(heads, "heads")
+        groups = tables.cut(tables.lookup(led, heads, ["leader"], "inner").withColumn("cluster_id", named), "groups")
     members = tables.lookup(keyed, groups.select("_text", "cluster_id", "cluster_ord"), ["_text"], "inner")
     return members.withColumn("member_id", member_id(found)).withColumnRenamed("_text", "text"), groups
 
@@ -178,20 +178,21 @@ def assign_uids(
     A known pattern keeps its uid and is bumped once per cluster; new patterns
     are numbered after the highest number in use, in cluster order.
     """
-    spark = clusters.sparkSession
-    registry = spark.createDataFrame([], REGISTRY) if registry is None else registry
     seen = clusters.groupBy("pattern_key").agg(
         F.min("cluster_ord").alias("_first"),
         F.count("*").alias("_times"),
         F.max_by("cluster_id", "cluster_ord").alias("_latest"),
     )
-    fresh = tables.ranked(
-        seen.join(registry.select("pattern_key"), "pattern_key", "left_anti"), ["_first", "pattern_key"], "_rank"
-    ).select("pattern_key", "_rank")
-    highest = registry.agg(F.coalesce(F.max("number"), F.lit(0))).first()[0]
+    if registry is None:
+        fresh, highest = seen, 0
+        registry = clusters.sparkSession.createDataFrame([], REGISTRY)
+    else:
+        fresh = seen.join(registry.select("pattern_key"), "pattern_key", "left_anti")
+        highest = registry.agg(F.coalesce(F.max("number"), F.lit(0))).first()[0]
+    fresh = tables.ranked(fresh.select("pattern_key", "_first"), ["_first", "pattern_key"], "_rank")
     merged = (
         registry.join(seen, "pattern_key", "full_outer")
-        .join(fresh, "pattern_key", "left")
+        .join(fresh.select("pattern_key", "_rank"), "pattern_key", "left")
         .withColumn("number", F.coalesce("number", F.col("_rank") + F.lit(highest)))
         .select(
             "pattern_key",

@@ -48,7 +48,9 @@ def static_candidates(queries: DataFrame, rules: DataFrame, k: int = S.RETRIEVAL
     ``queries``: cluster_id, query_text. ``rules``: doc_ord, id, source, text, source_weight.
     """
     numbered = tables.cut(
-        tables.ranked(queries.select("cluster_id", "query_text"), ["cluster_id"], "query_id"), "queries"
+        tables.ranked(
+            tables.cut(queries.select("cluster_id", "query_text"), "asked"), ["cluster_id"], "query_id"
+        ), "queries"
     )
     asked = vectors.embed_hash(numbered, "query_text").select(
         "query_id", "vector", tx.tokens(F.col("query_text")).alias("tokens")
@@ -56,7 +58,7 @@ def static_candidates(queries: DataFrame, rules: DataFrame, k: int = S.RETRIEVAL
     offered = vectors.embed_hash(rules, "text").select(
         F.col("doc_ord").alias("doc_id"), "vector", tx.tokens(F.col("text")).alias("tokens"), "source_weight"
     )
-    best = blocks.top_k(asked, offered, _blended_blocks, k, digits=4)
+    best = tables.cut(blocks.top_k(asked, offered, _blended_blocks, k, digits=4), "best")
     named = tables.lookup(
         best, rules.select(F.col("doc_ord").alias("doc_id"), "id", "source", "text"), ["doc_id"], "inner"
     )
@@ -72,11 +74,13 @@ def cluster_memory_documents(profiled: DataFrame, memory: DataFrame, k: int = S.
     the squared distance, not below zero.
     """
     numbered = tables.cut(
-        tables.ranked(profiled.select("cluster_id", "memory_text"), ["cluster_id"], "query_id"), "queries"
+        tables.ranked(
+            tables.cut(profiled.select("cluster_id", "memory_text"), "asked"), ["cluster_id"], "query_id"
+        ), "queries"
     )
     asked = vectors.embed_hash(numbered, "memory_text").select("query_id", "vector")
     offered = memory.select(F.col("doc_ord").alias("doc_id"), "vector")
-    near = blocks.top_k(asked, offered, blocks.squared_distances(), k)
+    near = tables.cut(blocks.top_k(asked, offered, blocks.squared_distances(), k), "near")
     named = tables.lookup(
         near, memory.select(F.col("doc_ord").alias("doc_id"), "id", F.col("document").alias("text")),
         ["doc_id"], "inner",

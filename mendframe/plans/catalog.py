@@ -391,7 +391,9 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def cluster_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = vectors.mean_vectors(table(spark, sf_dir, "embeddings"), "label", "embedding")
-    return means.select("label", F.posexplode("centroid").alias("pos", "x")).select("label", "pos", F.round("x", 4).alias("mean"))
+    return means.select("label", F.posexplode("centroid").alias("pos", "x")).select(
+        "label", "pos", (F.round("x", 4) + 0.0).alias("mean")  # no negative zero
+    )
 
 
 @query
@@ -855,7 +857,7 @@ def risk_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The breaker under four policies."""
     members, plan, _ = failing_plan(spark, sf_dir)
-    snapshot = tables.cut(order_snapshot(spark, sf_dir, members, plan), "snapshot")
+    snapshot = tables.one_row(order_snapshot(spark, sf_dir, members, plan))
     policies = {
         "default": {},
         "strict_rows": {"max_bad_row_ratio": 0.1},

@@ -92,8 +92,8 @@ members AS (
 sampled AS (
   SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY ord, pos) AS rn FROM members QUALIFY rn <= 5
 ),
-valued AS (SELECT cluster_id, value, min(rn) AS at FROM sampled GROUP BY ALL),
-listed AS (SELECT cluster_id, list(value ORDER BY at) AS vals FROM valued GROUP BY cluster_id),
+valued AS (SELECT cluster_id, value, min(rn) AS seen FROM sampled GROUP BY ALL),
+listed AS (SELECT cluster_id, list(value ORDER BY seen) AS vals FROM valued GROUP BY cluster_id),
 hits AS (
   SELECT cluster_id, vals,
     list_filter(vals, lambda x: lower(x) NOT IN ('none', 'nan', 'null', '')) AS present,
@@ -301,7 +301,7 @@ WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id,
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 4"""
 CHECKS["cluster_centroids"] = """
 WITH u AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)
-SELECT label, CAST(pos AS INTEGER) AS pos, round(avg(x), 4) AS mean FROM u GROUP BY ALL"""
+SELECT label, CAST(pos AS INTEGER) AS pos, round(avg(x), 4) + 0.0 AS mean FROM u GROUP BY ALL"""
 CHECKS["leader_assignment"] = """
 WITH RECURSIVE near AS (
   SELECT b.vec_id AS b, list(a.vec_id ORDER BY a.vec_id) AS before FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
@@ -339,10 +339,12 @@ SELECT 'completed' AS status, sum(size)::BIGINT AS input_anomalies, count(*) AS
   round(sum(size) / count(*), 2) AS compression_ratio FROM clusters""")
 _SHAPES = f"""
 shaped AS (SELECT *, column_name || ' ' || error_type || ' ' || regexp_replace(value, '[0-9]', '9', 'g') AS shape FROM found),
+shape_groups AS (
+  SELECT shape, ord % 2 AS odd, count(*) AS size, min(column_name) AS column_name, min(ord * 100 + pos) AS first
+  FROM shaped GROUP BY 1, 2
+),
 batches AS (
-  SELECT shape, ord % 2 AS odd, count(*) AS size, min(column_name) AS column_name,
-    row_number() OVER (PARTITION BY ord % 2 ORDER BY min(ord * 100 + pos)) AS n, {_pattern("shape")} AS pattern_key
-  FROM shaped GROUP BY ALL
+  SELECT *, row_number() OVER (PARTITION BY odd ORDER BY first) AS n, {_pattern("shape")} AS pattern_key FROM shape_groups
 ),
 b1 AS (SELECT * FROM batches WHERE odd = 1),
 b2 AS (SELECT * FROM batches WHERE odd = 0)
@@ -492,12 +494,12 @@ SELECT cluster_id, family AS inferred_anomaly_type,
     ELSE 'Low confidence remediation (0.40).' END AS reasoning, 'mock/static' AS model_used FROM profiled""")
 _DROP = STRIP.replace(".strip()", "")
 CHECKS["parse_model_responses"] = f"""
-WITH t AS (SELECT conv_id, turn, CAST((conv_id * 31 + turn) % 10 AS INTEGER) AS at FROM conversations),
+WITH t AS (SELECT conv_id, turn, CAST((conv_id * 31 + turn) % 10 AS INTEGER) AS shape FROM conversations),
 r AS (
-  SELECT conv_id, turn, CASE WHEN at IN (0, 1) THEN 'lambda' WHEN at IN (2, 7) THEN 'rule' ELSE 'quarantine' END AS transformation_type,
-    CASE WHEN at IN (0, 1) THEN '{_DROP}' ELSE '{IDENTITY}' END AS code,
-    CASE WHEN at IN (0, 1) THEN 0.95 WHEN at IN (2, 7) THEN 0.8 WHEN at = 8 THEN 0.99 ELSE 0.0 END::DOUBLE AS confidence_score,
-    CASE at WHEN 3 THEN 'Low confidence remediation (0.50).' WHEN 4 THEN 'Invalid transformation_type: script'
+  SELECT conv_id, turn, CASE WHEN shape IN (0, 1) THEN 'lambda' WHEN shape IN (2, 7) THEN 'rule' ELSE 'quarantine' END AS transformation_type,
+    CASE WHEN shape IN (0, 1) THEN '{_DROP}' ELSE '{IDENTITY}' END AS code,
+    CASE WHEN shape IN (0, 1) THEN 0.95 WHEN shape IN (2, 7) THEN 0.8 WHEN shape = 8 THEN 0.99 ELSE 0.0 END::DOUBLE AS confidence_score,
+    CASE shape WHEN 3 THEN 'Low confidence remediation (0.50).' WHEN 4 THEN 'Invalid transformation_type: script'
       WHEN 5 THEN 'Invalid code format: lambda expression required.' WHEN 6 THEN 'Parse error: no JSON object in response'
       WHEN 9 THEN 'Parse error: no JSON object in response' ELSE '' END AS problem FROM t
 )
@@ -648,7 +650,7 @@ SELECT t.phase, 'completed' AS status, t.metric, CAST(t.value AS VARCHAR) AS val
 CHECKS["schema_drift"] = """
 SELECT 'c_custkey' AS column_name, 'bigint' AS expected_type, 'bigint' AS actual_type, 'ok' AS drift, count(c_custkey) AS filled_rows, 0::BIGINT AS unconvertible_rows FROM customer
 UNION ALL SELECT 'c_name', 'bigint', 'string', 'type_mismatch', count(c_name), count(*) FILTER (c_name IS NOT NULL AND TRY_CAST(c_name AS BIGINT) IS NULL) FROM customer
-UNION ALL SELECT 'c_acctbal', 'int', 'double', 'type_mismatch', count(c_acctbal), 0 FROM customer
+UNION ALL SELECT 'c_acctbal', 'int', 'double', 'type_mismatch', count(c_acctbal), count(*) FILTER (c_acctbal IS NOT NULL AND NOT regexp_matches(CAST(c_acctbal AS VARCHAR), '^-?[0-9]+$')) FROM customer
 UNION ALL SELECT 'c_mktsegment', 'string', 'string', 'ok', count(c_mktsegment), 0 FROM customer
 UNION ALL SELECT 'c_nationkey', NULL, 'int', 'unexpected_column', count(c_nationkey), 0 FROM customer
 UNION ALL SELECT 'c_phone', 'string', NULL, 'missing_column', 0, 0"""

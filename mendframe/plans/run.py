@@ -84,7 +84,7 @@ def run(
     spec = spec or ValidationSpec()
     validated = validation.validate(rows, spec, order_by)
     found = tables.cut(validation.anomalies(validated), "anomalies")
-    summary = tables.cut(validation.summarize_found(rows, found, spec), "summary")
+    summary = tables.one_row(validation.summarize_found(rows, found, spec))
     members, groups = clustering.assign_members(found, text, embed, threshold)
     members = tables.cut(members, "members")
     clusters = clustering.build_clusters(members, distinct_patterns)
@@ -96,13 +96,13 @@ def run(
     snapshot = guardrails.circuit_breaker(
         guardrails.risk_snapshot(summary, found, execution.execution_summary(plan)), guardrail_policy
     )
-    snapshot = tables.cut(snapshot, "snapshot")
+    snapshot = tables.one_row(snapshot)
     breaker = snapshot.first()  # one row
     decisions = tables.cut(guardrails.decide(plan, breaker.circuit_breaker_active, guardrail_policy), "decisions")
-    guard_summary = guardrails.guardrail_summary(
+    guard_summary = tables.one_row(guardrails.guardrail_summary(
         decisions, breaker.circuit_breaker_active, breaker.circuit_breaker_reasons
-    )
-    state = tables.cut(promotion.promotion_state(guard_summary, promotion_policy), "state")
+    ))
+    state = promotion.promotion_state(guard_summary, promotion_policy)
     ready = promotion.promoted_clusters(decisions, state.first().promotion_blocked)
     promoted = promotion.promoted_rows(staged, ready)
     return RunResult(

@@ -153,6 +153,8 @@ PROMOTION_POLICY = {
 
 BROADCAST_MAX_ROWS = 1_000_000
 BROADCAST_MAX_BYTES = 64 << 20
+TRUSTED_FILE_BYTES = 4 << 20  # a written table of this file size is small without a measurement
+ONE_TASK_ROWS = 200_000  # narrow rows that one task may sort
 HOT_KEYS = 1_000  # heaviest keys that are taken out of a shuffle join
 SALTS = 1_024
 LEADER_BATCH = 256
