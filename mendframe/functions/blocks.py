@@ -66,6 +66,11 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return matrix / np.where(lengths == 0, 1.0, lengths)
 
 
+def _blocks(rows: DataFrame, cells: str, block_rows: int) -> int:
+    count, elements = rows.agg(F.count("*"), F.coalesce(F.sum(F.size(cells)), F.lit(0))).first()
+    return max(1, -(-count // block_rows), -(-elements // S.BLOCK_CELLS))
+
+
 def top_k(
     queries: DataFrame,
     docs: DataFrame,
@@ -73,16 +78,16 @@ def top_k(
     k: int,
     digits: int | None = None,
     block_rows: int = S.KNN_BLOCK_ROWS,
+    cells: str = "vector",
 ) -> DataFrame:
     """Best ``k`` docs per query as (query_id bigint, doc_id bigint, score, rank).
 
     ``queries`` has ``query_id`` and ``docs`` has ``doc_id``, both bigint, plus
     what the scorer reads. Ties go to the lower doc_id. ``digits`` rounds the
-    score before ranking.
+    score before ranking. A block is bounded in rows and in elements of the
+    array column ``cells``.
     """
-    n_docs, n_queries = docs.count(), queries.count()
-    doc_blocks = max(1, -(-n_docs // block_rows))
-    query_blocks = max(1, -(-n_queries // block_rows))
+    doc_blocks, query_blocks = (_blocks(side, cells, block_rows) for side in (docs, queries))
     spread_docs = docs.withColumn("_db", F.pmod(F.xxhash64("doc_id"), F.lit(doc_blocks))).withColumn(
         "_qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<bigint>"))
     )

@@ -115,20 +115,27 @@ def _hashable(kind: T.DataType) -> bool:
     return True
 
 
+def heaviest(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys with most rows, a fixed number of them, from (keys, n)."""
+    return counts.orderBy(F.desc("n"), *keys).limit(S.HOT_KEYS).select(*keys)
+
+
 def lookup(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str],
     how: str = "left",
     small: bool | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join rows to a table that has one row per key, safe against hot keys.
 
     A right side of checked size is broadcast. Beyond the bound, the heaviest
     keys of the left side (a fixed number of them) are served from a broadcast
     of just their right rows and leave the shuffle with a spread-out salt; all
-    other keys take an ordinary shuffle join. ``how``: left, inner, left_semi
-    or left_anti.
+    other keys take an ordinary shuffle join. ``hot`` names those keys, at most
+    ``HOT_KEYS`` rows, where the caller has counted already. ``how``: left,
+    inner, left_semi or left_anti.
     """
     keys = list(keys)
     if small is None:
@@ -136,7 +143,8 @@ def lookup(
     if small:
         return left.join(F.broadcast(right), keys, how)
 
-    hot = left.groupBy(*keys).count().orderBy(F.desc("count"), *keys).limit(S.HOT_KEYS).select(*keys)
+    if hot is None:
+        hot = heaviest(left.groupBy(*keys).agg(F.count("*").alias("n")), keys)
     payload = [c for c in right.columns if c not in keys]
     packed = right.select(*keys, F.struct(F.lit(True).alias("_hit"), *payload).alias("_row"))
     hot_rows = F.broadcast(

@@ -7,28 +7,41 @@ from pyspark.sql import Column, functions as F
 from mendframe import settings as S
 
 
+_SPACE = "[" + "".join(f"\\u{ord(ch):04x}" for ch in S.WHITESPACE) + "]"
+_EDGE = f"^{_SPACE}|{_SPACE}$"
+
+
+def _stripped_match(text: Column, regex: str) -> Column:
+    """Full match of the stripped text, without building it."""
+    return text.rlike(f"^{_SPACE}*+{regex}{_SPACE}*+$")
+
+
 def strip(text: Column) -> Column:
-    """Remove Unicode whitespace from both ends (plain ``trim`` drops only spaces)."""
-    return F.btrim(text, F.lit(S.WHITESPACE))
+    """Remove Unicode whitespace from both ends (plain ``trim`` drops only spaces).
+
+    Trimming a character set is slow, so it is done only where an end needs it.
+    """
+    return F.when(text.rlike(_EDGE), F.btrim(text, F.lit(S.WHITESPACE))).otherwise(text)
 
 
 def is_missing(text: Column) -> Column:
     """True for NULL and for the sentinel texts that stand for no value."""
-    return text.isNull() | F.lower(strip(text)).isin(*S.MISSING_CELL)
+    words = "|".join(word for word in S.MISSING_CELL if word)
+    return text.isNull() | _stripped_match(text, f"(?:(?i){words})?+")
 
 
 def is_email(text: Column) -> Column:
-    return strip(text).rlike(S.EMAIL_REGEX)
+    return _stripped_match(text, S.EMAIL_REGEX)
 
 
 def is_date_shape(text: Column) -> Column:
     """Shape only: ``31/31/2024`` passes."""
-    return strip(text).rlike(S.DATE_REGEX)
+    return _stripped_match(text, S.DATE_REGEX)
 
 
 def is_number(text: Column) -> Column:
     """A plain decimal number once all commas are removed."""
-    return F.replace(strip(text), F.lit(","), F.lit("")).rlike(S.NUMERIC_REGEX)
+    return _stripped_match(text, S.NUMERIC_REGEX)
 
 
 FORMAT_CHECKS = {"email": is_email, "date": is_date_shape, "numeric": is_number}

@@ -107,19 +107,35 @@ def row_map(found: DataFrame) -> Column:
     return F.create_map(*pairs).cast("map<string,string>")
 
 
-def sample_rows(members: DataFrame, k: int = S.SAMPLE_ROWS) -> DataFrame:
-    """(cluster_id, sample_rows): first ``k`` distinct anomalies of each cluster."""
+def _distinct_rows(members: DataFrame) -> DataFrame:
+    """(cluster_id, fields, _at): equal anomalies once, at their first position."""
     fields = [c for c in _ROW_FIELDS if c in members.columns]
-    image = ["source_row"] if "source_row" in members.columns else []
-    rows = members.select(
-        "cluster_id",
-        order_key().alias("_at"),
-        *fields,
-        *([_image_text().alias("source_row")] if image else []),
-    )
-    distinct = rows.groupBy("cluster_id", *fields, *image).agg(F.min("_at").alias("_at"))
+    image = [_image_text().alias("source_row")] if "source_row" in members.columns else []
+    rows = members.select("cluster_id", order_key().alias("_at"), *fields, *image)
+    return rows.groupBy(*(c for c in rows.columns if c != "_at")).agg(F.min("_at").alias("_at"))
+
+
+def sample_rows(members: DataFrame, k: int = S.SAMPLE_ROWS, ahead: int = S.SAMPLE_LOOKAHEAD) -> DataFrame:
+    """(cluster_id, sample_rows): first ``k`` distinct anomalies of each cluster.
+
+    Only the first ``ahead`` positions of a cluster are compared, so the rows
+    themselves are not shuffled. A cluster that repeats itself so much that
+    this leaves fewer than ``k`` distinct rows is compared in full.
+    """
+    placed = members.withColumn("_at", order_key())
+    keys = ["cluster_id", "_at"]
+    heads = tables.cut(tables.first_per_key(placed.select(*keys), ["cluster_id"], ["_at"], ahead).distinct(), "heads")
+    near = tables.lookup(placed, heads, keys, "left_semi").drop("_at")
+    distinct = tables.cut(_distinct_rows(near), "distinct")
+    full = heads.groupBy("cluster_id").count().where(F.col("count") >= ahead)
+    enough = distinct.groupBy("cluster_id").count().where(F.col("count") >= k)
+    short = tables.cut(full.join(enough, "cluster_id", "left_anti").select("cluster_id"), "short")
+    if not short.isEmpty():
+        rest = _distinct_rows(tables.lookup(members, short, ["cluster_id"], "left_semi"))
+        distinct = distinct.join(short, "cluster_id", "left_anti").unionByName(rest)
     kept = tables.first_per_key(distinct, ["cluster_id"], ["_at"], k)
-    pairs = F.create_map(*(x for c in (*fields, *image) for x in (F.lit(c), F.col(c).cast("string"))))
+    columns = [c for c in distinct.columns if c not in keys]
+    pairs = F.create_map(*(x for c in columns for x in (F.lit(c), F.col(c).cast("string"))))
     row = F.to_json(pairs).alias("row")  # maps have no order, so they are sorted as text
     # at most k rows per cluster are left here
     return kept.groupBy("cluster_id").agg(
@@ -140,29 +156,36 @@ def target_column(rows: Column) -> Column:
     return F.coalesce(named, fallback, F.lit(""))
 
 
-def pattern_keys(members: DataFrame, distinct_texts: bool = False) -> DataFrame:
+def pattern_keys(texts: DataFrame, distinct_texts: bool = False, weight: str | None = None) -> DataFrame:
     """(cluster_id, pattern_key): order-free digest of the member texts.
 
     Texts are reduced to sums of SHA-256 slices, so the key costs one partial
-    aggregation and no list of members. With ``distinct_texts`` repeats do not
-    count, so that a family keeps its key from batch to batch.
+    aggregation and no list of members. ``weight`` names a column that counts
+    how often a text occurs. With ``distinct_texts`` repeats do not count, so
+    that a family keeps its key from batch to batch.
     """
     digest = F.sha2(F.lower(tx.strip(F.col("text"))), 256)
-    rows = members.select("cluster_id", digest.alias("_d"))
+    times = F.col(weight) if weight else F.lit(1)
+    rows = texts.select("cluster_id", digest.alias("_d"), times.cast("decimal(18,0)").alias("_n"))
     if distinct_texts:
-        rows = rows.distinct()
-    sums = [F.sum(tx.text_number(F.substring("_d", at, 15))).cast("string") for at in (1, 16, 31, 46)]
+        rows = rows.select("cluster_id", "_d").distinct().withColumn("_n", F.lit(1).cast("decimal(18,0)"))
+    sums = [
+        F.sum(tx.text_number(F.substring("_d", at, 15)).cast("decimal(19,0)") * F.col("_n")).cast("string")
+        for at in (1, 16, 31, 46)
+    ]
     return rows.groupBy("cluster_id").agg(
-        F.sha2(F.concat_ws("|", F.count("*").cast("string"), *sums), 256).alias("pattern_key")
+        F.sha2(F.concat_ws("|", F.sum("_n").cast("string"), *sums), 256).alias("pattern_key")
     )
 
 
-def build_clusters(members: DataFrame, distinct_texts: bool = True) -> DataFrame:
-    """One row per cluster: size, samples, target column and pattern key (written once)."""
-    sizes = members.groupBy("cluster_id", "cluster_ord").agg(F.count("*").alias("size"))
-    clusters = sizes.join(sample_rows(members), "cluster_id").join(
-        pattern_keys(members, distinct_texts), "cluster_id"
-    )
+def build_clusters(members: DataFrame, groups: DataFrame, distinct_texts: bool = True) -> DataFrame:
+    """One row per cluster: size, samples, target column and pattern key (written once).
+
+    Sizes and keys come from the distinct texts; only the samples read members.
+    """
+    sizes = groups.groupBy("cluster_id", "cluster_ord").agg(F.sum("_weight").alias("size"))
+    keys = pattern_keys(groups.withColumnRenamed("_text", "text"), distinct_texts, "_weight")
+    clusters = sizes.join(sample_rows(members), "cluster_id").join(keys, "cluster_id")
     return tables.cut(clusters.withColumn("target_column", target_column(F.col("sample_rows"))), "clusters")
 
 

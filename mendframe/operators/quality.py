@@ -59,9 +59,13 @@ def row_hash(rows: DataFrame, columns: list[str] | None = None) -> Column:
 
 
 def unprocessed(rows: DataFrame, processed: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Rows whose hash is not among the processed ones, with the hash to record."""
+    """Rows whose hash is not among the processed ones, with the hash to record.
+
+    ``processed`` is a written table with one ``row_hash`` per row. Equal rows
+    share a hash, so a delivery of many copies is a hot key.
+    """
     hashed = rows.withColumn("row_hash", row_hash(rows, columns))
-    return hashed.join(processed.select("row_hash").distinct(), "row_hash", "left_anti")
+    return tables.lookup(hashed, processed.select("row_hash"), ["row_hash"], "left_anti")
 
 
 def audit_trail(staged: DataFrame, remediations: DataFrame, recorded_at: str) -> DataFrame:
@@ -129,7 +133,7 @@ def anomaly_rate(validated: DataFrame, time: str, width: str) -> DataFrame:
     at = F.col(time).cast("timestamp") if isinstance(kind, T.TimestampNTZType) else F.col(time)
     return (
         validated.groupBy(F.window(at, width).alias("w"))
-        .agg(F.count("*").alias("rows"), F.count_if(F.size("_anomalies") > 0).alias("bad_rows"))
+        .agg(F.count("*").alias("rows"), F.count_if("_bad").alias("bad_rows"))
         .select(F.col("w.start").alias("window_start"), "rows", "bad_rows",
                 F.round(F.col("bad_rows") / F.col("rows"), 4).alias("anomaly_rate"))
     )

@@ -286,8 +286,11 @@ def best_memories(
         *names, "mem_ord", F.struct("mem_ord", *names, *others).alias("memory")
     ).select(F.inline(keys()), "mem_ord", "memory")
     heads = tables.first_per_key(packed, ["combo", "key"], ["mem_ord"], k)
+    # at most k rows per combination are left to collect
+    heads = heads.groupBy("combo", "key").agg(F.collect_list(F.struct("mem_ord", "memory")).alias("heads"))
     asked = profiled.select("cluster_id", *names, F.inline(keys()))
-    pairs = asked.join(heads, ["combo", "key"]).dropDuplicates(["cluster_id", "mem_ord"])
+    met = tables.lookup(asked, tables.cut(heads, "heads"), ["combo", "key"], "inner")
+    pairs = met.select("cluster_id", *names, F.inline("heads")).dropDuplicates(["cluster_id", "mem_ord"])
     score = F.lit(0.0)
     for name, weight in weights.items():
         score = score + F.when(

@@ -58,7 +58,7 @@ def static_candidates(queries: DataFrame, rules: DataFrame, k: int = S.RETRIEVAL
     offered = vectors.embed_hash(rules, "text").select(
         F.col("doc_ord").alias("doc_id"), "vector", tx.tokens(F.col("text")).alias("tokens"), "source_weight"
     )
-    best = tables.cut(blocks.top_k(asked, offered, _blended_blocks, k, digits=4), "best")
+    best = tables.cut(blocks.top_k(asked, offered, _blended_blocks, k, digits=4, cells="tokens"), "best")
     named = tables.lookup(
         best, rules.select(F.col("doc_ord").alias("doc_id"), "id", "source", "text"), ["doc_id"], "inner"
     )

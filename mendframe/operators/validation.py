@@ -1,8 +1,10 @@
 """Cell validation, duplicate detection and the clean / anomaly split.
 
-``validate`` adds three columns to any table: ``_row_id``, ``_row_ord`` and
-``_anomalies`` (array of structs, empty for a clean row). All rules are chosen
-once from the schema, so a row only pays for the checks its columns need.
+``validate`` adds four columns to any table: ``_row_id``, ``_row_ord``,
+``_bad`` (plain condition, all compiled code) and ``_anomalies`` (array of
+structs, empty for a clean row). Filtering on ``_bad`` first means the array is
+only ever built for bad rows. All rules are chosen once from the schema, so a
+row only pays for the checks its columns need.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from mendframe.functions import tables, text as tx
 from mendframe.settings import ValidationSpec
 
 ANOMALY = "struct<column_name:string,value:string,error_type:string,anomaly_hint:string>"
-INTERNAL = ("_row_id", "_row_ord", "_anomalies", "_duplicates")
+INTERNAL = ("_row_id", "_row_ord", "_bad", "_anomalies", "_duplicates")
 
 _NUMBERS = (T.NumericType,)
 _TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -57,31 +59,48 @@ def _anomaly(column: str, value: Column, error: tuple[str, str]) -> Column:
     )
 
 
+def _checks(rows: DataFrame, spec: ValidationSpec) -> list[tuple[str, Column, Column | None, bool]]:
+    """(column, text, format check, required) of every column that can fail, in name order."""
+    columns = [c for c in rows.columns if c not in INTERNAL]
+    checks = []
+    for column in sorted(set(columns) | set(spec.required)):
+        valid, required = is_valid(rows, column, spec.logical_type(column)), column in spec.required
+        if required or valid is not None:
+            checks.append((column, cell_text(rows, column), valid, required))
+    return checks
+
+
+def row_fails(rows: DataFrame, spec: ValidationSpec) -> Column:
+    """True when a row has any null or format error."""
+    bad = F.lit(False)
+    for _, value, valid, required in _checks(rows, spec):
+        missing = tx.is_missing(value)
+        if valid is None:
+            fails = missing
+        else:
+            fails = missing | ~valid if required else ~missing & ~valid
+        bad = bad | fails
+    return bad
+
+
 def row_anomalies(rows: DataFrame, spec: ValidationSpec) -> Column:
     """Null and format errors of one row, in column-name order.
 
     A missing required cell stops the checks of that column; a missing
     optional cell is skipped.
     """
-    checks = []
-    columns = [c for c in rows.columns if c not in INTERNAL]
-    for column in sorted(set(columns) | set(spec.required)):
-        value = cell_text(rows, column)
-        logical = spec.logical_type(column)
-        valid = is_valid(rows, column, logical)
-        required = column in spec.required
+    found = []
+    for column, value, valid, required in _checks(rows, spec):
+        missing = tx.is_missing(value)
+        format_error = None if valid is None else _anomaly(column, value, S.type_error(spec.logical_type(column)))
         if required:
-            check = F.when(tx.is_missing(value), _anomaly(column, value, S.NULL_ERROR))
-            if valid is not None:
-                check = check.when(~valid, _anomaly(column, value, S.type_error(logical)))
-        elif valid is not None:
-            check = F.when(~tx.is_missing(value) & ~valid, _anomaly(column, value, S.type_error(logical)))
+            check = F.when(missing, _anomaly(column, value, S.NULL_ERROR))
+            found.append(check if format_error is None else check.when(~valid, format_error))
         else:
-            continue
-        checks.append(check)
-    if not checks:
+            found.append(F.when(~missing & ~valid, format_error))
+    if not found:
         return F.array().cast(f"array<{ANOMALY}>")
-    return F.array_compact(F.array(*checks)).cast(f"array<{ANOMALY}>")
+    return F.array_compact(F.array(*found)).cast(f"array<{ANOMALY}>")
 
 
 def row_identifier(rows: DataFrame, ordinal: Column | None) -> Column:
@@ -111,28 +130,37 @@ def duplicate_keys(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     )
 
 
-def mark_duplicates(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Add ``_duplicates``: sorted names of unique columns whose value repeats."""
+def _flag_duplicates(rows: DataFrame, columns: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """Add a boolean (or NULL) per unique column; return the table and the flag names by column."""
     present = sorted({c for c in columns if c in rows.columns})
     if not present:
-        return rows.withColumn("_duplicates", F.array().cast("array<string>"))
+        return rows, {}
     repeated = tables.cut(duplicate_keys(rows, tuple(present)), "duplicates")
-    flags = []
+    flags = {}
     for i, column in enumerate(present):
-        keys = repeated.where(F.col("column_name") == column).select(
-            F.col("dup_key").alias(f"_key{i}"), F.lit(True).alias(f"_dup{i}")
-        )
+        key, flag = f"_key{i}", f"_dup{i}"
+        counted = repeated.where(F.col("column_name") == column).select(F.col("dup_key").alias(key), "n")
         rows = tables.lookup(
-            rows.withColumn(f"_key{i}", tx.dedup_key(cell_text(rows, column))), keys, [f"_key{i}"]
-        ).drop(f"_key{i}")
-        flags.append(F.when(F.col(f"_dup{i}"), F.lit(column)))
-    return rows.withColumn("_duplicates", F.array_compact(F.array(*flags))).drop(
-        *(f"_dup{i}" for i in range(len(present)))
-    )
+            rows.withColumn(key, tx.dedup_key(cell_text(rows, column))),
+            counted.select(key, F.lit(True).alias(flag)),
+            [key],
+            hot=tables.heaviest(counted, [key]),
+        ).drop(key)
+        flags[column] = flag
+    return rows, flags
+
+
+def mark_duplicates(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Add ``_duplicates``: sorted names of unique columns whose value repeats."""
+    marked, flags = _flag_duplicates(rows, columns)
+    if not flags:
+        return marked.withColumn("_duplicates", F.array().cast("array<string>"))
+    names = F.array_compact(F.array(*(F.when(F.col(flag), F.lit(column)) for column, flag in flags.items())))
+    return marked.withColumn("_duplicates", names).drop(*flags.values())
 
 
 def validate(rows: DataFrame, spec: ValidationSpec, order_by: str | Column | None = None) -> DataFrame:
-    """Input columns plus ``_row_id``, ``_row_ord`` and ``_anomalies``.
+    """Input columns plus ``_row_id``, ``_row_ord``, ``_bad`` and ``_anomalies``.
 
     ``order_by`` is an integer column or expression that gives the row order;
     without it rows are numbered in scan order.
@@ -143,34 +171,29 @@ def validate(rows: DataFrame, spec: ValidationSpec, order_by: str | Column | Non
     else:
         order = F.col(order_by) if isinstance(order_by, str) else order_by
         rows = rows.withColumn("_row_ord", order.cast("bigint"))
-    marked = mark_duplicates(rows, spec.unique)
+    marked, flags = _flag_duplicates(rows, spec.unique)
     base = marked.select(*(f"`{c}`" for c in columns))
-    duplicate_errors = F.transform(
-        F.col("_duplicates"),
-        lambda name: F.struct(
-            name.alias("column_name"),
-            F.element_at(
-                F.create_map(*(x for c in spec.unique if c in columns
-                               for x in (F.lit(c), cell_text(base, c)))), name
-            ).alias("value"),
-            F.lit(S.DUPLICATE_ERROR[0]).alias("error_type"),
-            F.lit(S.DUPLICATE_ERROR[1]).alias("anomaly_hint"),
-        ),
-    ) if any(c in columns for c in spec.unique) else None
-    anomalies = row_anomalies(base, spec)
-    if duplicate_errors is not None:
-        anomalies = F.concat(anomalies, duplicate_errors.cast(f"array<{ANOMALY}>"))
+    bad, found = row_fails(base, spec), row_anomalies(base, spec)
+    if flags:
+        repeats = [
+            F.when(F.col(flag), _anomaly(column, cell_text(base, column), S.DUPLICATE_ERROR))
+            for column, flag in flags.items()
+        ]
+        found = F.concat(found, F.array_compact(F.array(*repeats)).cast(f"array<{ANOMALY}>"))
+        for flag in flags.values():
+            bad = bad | F.coalesce(F.col(flag), F.lit(False))
     return marked.select(
         *(f"`{c}`" for c in columns),
         row_identifier(base, F.col("_row_ord")).alias("_row_id"),
         "_row_ord",
-        anomalies.alias("_anomalies"),
+        bad.alias("_bad"),
+        found.alias("_anomalies"),
     )
 
 
 def clean_rows(validated: DataFrame) -> DataFrame:
     """Rows without any anomaly, in their input shape."""
-    return validated.where(F.size("_anomalies") == 0).drop("_row_id", "_row_ord", "_anomalies")
+    return validated.where(~F.col("_bad")).drop("_row_id", "_row_ord", "_bad", "_anomalies")
 
 
 def anomalies(validated: DataFrame) -> DataFrame:
@@ -183,7 +206,7 @@ def anomalies(validated: DataFrame) -> DataFrame:
         *(x for c in columns for x in (F.lit(c), cell_text(validated, c)))
     ).cast("map<string,string>")
     return (
-        validated.where(F.size("_anomalies") > 0)
+        validated.where("_bad")
         .select(
             F.col("_row_id").alias("id"),
             F.col("_row_ord").alias("row_ord"),
@@ -238,9 +261,9 @@ def summarize(validated: DataFrame, spec: ValidationSpec) -> DataFrame:
 
     One pass: rows are first counted per list of error types they carry.
     """
-    per_pattern = validated.groupBy(
-        F.transform("_anomalies", lambda a: a["error_type"]).alias("errors")
-    ).agg(F.count("*").alias("n"))
+    errors = F.when(F.col("_bad"), F.transform("_anomalies", lambda a: a["error_type"]))
+    errors = F.coalesce(errors, F.array().cast("array<string>"))
+    per_pattern = validated.groupBy(errors.alias("errors")).agg(F.count("*").alias("n"))
 
     def times(kind: str) -> Column:
         return F.sum(F.size(F.filter("errors", lambda e: e == kind)) * F.col("n"))

@@ -45,13 +45,14 @@ def found_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.cut(validation.anomalies(validated_orders(spark, sf_dir)), "anomalies")
 
 
-def order_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members, _ = clustering.assign_members(found_orders(spark, sf_dir))
-    return tables.cut(members, "members")
+def order_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(members, groups) of dirty orders by failure signature."""
+    members, groups = clustering.assign_members(found_orders(spark, sf_dir))
+    return tables.cut(members, "members"), groups
 
 
-def order_clusters(members: DataFrame) -> DataFrame:
-    clusters, _ = clustering.assign_uids(clustering.build_clusters(members), None, "2024-01-01")
+def order_clusters(members: DataFrame, groups: DataFrame) -> DataFrame:
+    clusters, _ = clustering.assign_uids(clustering.build_clusters(members, groups), None, "2024-01-01")
     return tables.cut(remediation.with_profile(clustering.mark_cache_hits(clusters, None)), "profiled")
 
 
@@ -75,8 +76,8 @@ def order_run(spark: SparkSession, sf_dir: str, relaxed: bool) -> runs.RunResult
 
 def order_plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(remediations, plan, staged) of dirty orders by the deterministic rules."""
-    members = order_members(spark, sf_dir)
-    remediations = tables.cut(remediation.remediate(order_clusters(members)), "remediations")
+    members, groups = order_groups(spark, sf_dir)
+    remediations = tables.cut(remediation.remediate(order_clusters(members, groups)), "remediations")
     plan, staged = execution.stage(remediations, members)
     return remediations, tables.cut(plan, "plan"), staged
 
@@ -420,7 +421,7 @@ def vector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def signature_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_clusters(order_members(spark, sf_dir)).select(
+    return order_clusters(*order_groups(spark, sf_dir)).select(
         "cluster_id", "cluster_uid", "size", "target_column", "pattern_key", "cache_hit",
         F.size("sample_rows").alias("samples"),
     )
@@ -428,7 +429,7 @@ def signature_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sample_rows_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = clustering.sample_rows(order_members(spark, sf_dir))
+    samples = clustering.sample_rows(order_groups(spark, sf_dir)[0])
     return samples.select("cluster_id", F.posexplode("sample_rows").alias("pos", "row")).select(
         "cluster_id", "pos", F.col("row")["anomaly_uid"].alias("anomaly_uid"), F.col("row")["value"].alias("value")
     )
@@ -445,13 +446,13 @@ def pattern_keys_full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cluster_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = clustering.cluster_documents(order_clusters(order_members(spark, sf_dir)))
+    documents = clustering.cluster_documents(order_clusters(*order_groups(spark, sf_dir)))
     return documents.select("id", "document", F.round(F.col("vector")[0], 6).alias("v0"), F.col("metadata")["size"].alias("size"))
 
 
 @query
 def cluster_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.cluster_metrics(clustering.build_clusters(order_members(spark, sf_dir)))
+    return clustering.cluster_metrics(clustering.build_clusters(*order_groups(spark, sf_dir)))
 
 
 def _shape_text() -> Column:
@@ -465,8 +466,8 @@ def registry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, registry = tables.scratch_path(spark, "registry"), None
     for day, odd in (("2024-01-01", 1), ("2024-01-02", 0)):
         batch = found.where(F.col("row_ord") % 2 == odd)
-        members, _ = clustering.assign_members(batch, _shape_text())
-        clusters = clustering.build_clusters(tables.cut(members, "members"))
+        members, groups = clustering.assign_members(batch, _shape_text())
+        clusters = clustering.build_clusters(tables.cut(members, "members"), groups)
         _, registry = clustering.assign_uids(clusters, state.load_registry(spark, folder), day)
         state.save_table(registry, folder)
     return state.load_registry(spark, folder)
@@ -477,9 +478,9 @@ def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of the second batch whose pattern the first batch had."""
     found = found_orders(spark, sf_dir)
     first, _ = clustering.assign_members(found.where("row_ord % 2 = 1"), _shape_text())
-    second, _ = clustering.assign_members(found.where("row_ord % 2 = 0"), _shape_text())
+    second, groups = clustering.assign_members(found.where("row_ord % 2 = 0"), _shape_text())
     cache = clustering.pattern_keys(first, distinct_texts=True)
-    clusters = clustering.build_clusters(tables.cut(second, "members"))
+    clusters = clustering.build_clusters(tables.cut(second, "members"), groups)
     return clustering.mark_cache_hits(clusters, cache).select("cluster_id", "size", "target_column", "cache_hit")
 
 
@@ -488,7 +489,7 @@ def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def anomaly_family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_clusters(order_members(spark, sf_dir)).select(
+    return order_clusters(*order_groups(spark, sf_dir)).select(
         "cluster_id", "target_column", joined("sample_values").alias("sample_values"), "inferred_anomaly_type"
     )
 
@@ -496,7 +497,7 @@ def anomaly_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def cluster_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     hints = F.array_sort(F.transform(F.map_entries("hint_distribution"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
-    return order_clusters(order_members(spark, sf_dir)).select(
+    return order_clusters(*order_groups(spark, sf_dir)).select(
         "cluster_id", "size", "sample_count", "unique_sample_ratio", "null_ratio", "estimated_severity",
         "is_duplicate", "is_fast_path", F.array_join(hints, "|").alias("hints"),
     )
@@ -507,7 +508,7 @@ def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three documents with the highest token overlap for every benchmark item."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), tx.tokens(F.col("text")).alias("tokens"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id"), tx.tokens(F.col("text")).alias("tokens"))
-    best = blocks.top_k(items, docs, blocks.token_scores(), 3, digits=6)
+    best = blocks.top_k(items, docs, blocks.token_scores(), 3, digits=6, cells="tokens")
     return best.select(
         F.col("query_id").alias("item_id"), "doc_id", F.round("score", 6).alias("overlap"), F.col("rank").cast("bigint").alias("rank")
     )
@@ -551,7 +552,7 @@ def customer_memory(spark: SparkSession, sf_dir: str, profiled: DataFrame) -> Da
 
 @query
 def history_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    profiled = order_clusters(order_members(spark, sf_dir))
+    profiled = order_clusters(*order_groups(spark, sf_dir))
     memory = tables.cut(customer_memory(spark, sf_dir, profiled), "memory")
     return retrieval.historical_documents(profiled, memory).select(
         "cluster_id", "id", "source_weight", F.col("doc_ord").alias("rank")
@@ -560,7 +561,7 @@ def history_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def memory_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    profiled = order_clusters(order_members(spark, sf_dir))
+    profiled = order_clusters(*order_groups(spark, sf_dir))
     memory = tables.cut(customer_memory(spark, sf_dir, profiled), "memory")
     return remediation.remediate(profiled, memory=memory).select(
         "cluster_id", "transformation_type", "confidence_score", "reasoning", "fallback_value", "model_used",
@@ -571,7 +572,7 @@ def memory_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def cluster_memory_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest stored documents of every cluster over whole document texts."""
-    profiled = retrieval.with_queries(order_clusters(order_members(spark, sf_dir)))
+    profiled = retrieval.with_queries(order_clusters(*order_groups(spark, sf_dir)))
     memory = vectors.embed_hash(
         table(spark, sf_dir, "documents").select(
             F.col("doc_id").alias("doc_ord"), F.concat(F.lit("d"), "doc_id").alias("id"), F.col("text").alias("document")
@@ -585,7 +586,7 @@ def cluster_memory_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def blended_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule context: rules, earlier remediations and stored clusters together."""
-    profiled = order_clusters(order_members(spark, sf_dir))
+    profiled = order_clusters(*order_groups(spark, sf_dir))
     memory = tables.cut(customer_memory(spark, sf_dir, profiled), "memory")
     asked = retrieval.with_queries(profiled)
     stored = clustering.cluster_documents(profiled).join(profiled.select(F.col("cluster_uid").alias("id"), "cluster_ord"), "id")
@@ -601,7 +602,7 @@ def blended_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fast_path_remediation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remediation.remediate(order_clusters(order_members(spark, sf_dir))).select(
+    return remediation.remediate(order_clusters(*order_groups(spark, sf_dir))).select(
         "cluster_id", "cluster_uid", "transformation_type", "code", "confidence_score", "reasoning", "fallback_value",
         "inferred_anomaly_type", "model_used", "size", "guardrail_action", "risk_level", "requires_human_review",
         joined("validation_checks").alias("validation_checks"), "target_column",
@@ -611,7 +612,7 @@ def fast_path_remediation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def static_answer_remediation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in answers parsed for every cluster, as if nothing were known."""
-    profiled = order_clusters(order_members(spark, sf_dir))
+    profiled = order_clusters(*order_groups(spark, sf_dir))
     answers = remediation.static_answers(profiled)
     rows = profiled.select("cluster_id", "cache_hit", "pattern_key", "inferred_anomaly_type").join(answers, "pattern_key")
     return remediation.parse_responses(rows).select(
@@ -662,7 +663,7 @@ def parse_model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def remediation_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memory, rule, answer and quarantine side by side, as counts."""
-    profiled = order_clusters(order_members(spark, sf_dir))
+    profiled = order_clusters(*order_groups(spark, sf_dir))
     memory = tables.cut(customer_memory(spark, sf_dir, profiled).where("mem_ord % 9 <> 0"), "memory")
     answers = remediation.static_answers(profiled).where("pattern_key < '9'")
     routed = tables.cut(remediation.remediate(profiled, memory, answers), "routed")
@@ -671,7 +672,7 @@ def remediation_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def prompt_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    payloads = retrieval.prompt_payloads(order_clusters(order_members(spark, sf_dir)))
+    payloads = retrieval.prompt_payloads(order_clusters(*order_groups(spark, sf_dir)))
 
     def part(path: str, name: str) -> Column:
         return F.get_json_object("payload", path).alias(name)
@@ -687,7 +688,7 @@ def prompt_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def remediation_memory_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs appended to the log, one broken line between them, then scanned."""
-    profiled = order_clusters(order_members(spark, sf_dir))
+    profiled = order_clusters(*order_groups(spark, sf_dir))
     decided = tables.cut(remediation.remediate(profiled), "decided")
     folder = tables.scratch_path(spark, "memory-log")
     for day in ("2024-01-01T00:00:00", "2024-01-02T00:00:00"):
@@ -798,8 +799,8 @@ def execution_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def failing_plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Dirty orders with given codes: some refused, some failing on a row, some fine."""
-    members = order_members(spark, sf_dir)
-    decided = remediation.remediate(order_clusters(members))
+    members, groups = order_groups(spark, sf_dir)
+    decided = remediation.remediate(order_clusters(members, groups))
     codes = {
         1: "lambda x: float(x.replace(',', ''))",  # fails on some rows
         2: "lambda x: x.lower()",  # never NULL here
@@ -979,7 +980,9 @@ def schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 def row_hash_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a second delivery that were not processed before."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    processed = orders.where("o_orderkey % 3 <> 0").select(quality.row_hash(orders).alias("row_hash"))
+    processed = tables.cut(
+        orders.where("o_orderkey % 3 <> 0").select(quality.row_hash(orders).alias("row_hash")), "processed"
+    )
     changed = orders.withColumn(
         "o_orderstatus", F.when(F.col("o_orderkey") % 10 == 1, F.lit(None)).otherwise(F.col("o_orderstatus"))
     )
@@ -1086,8 +1089,8 @@ def batch_anomaly_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def quarantine_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarantined members with reviews: a third approved, a third edited, some rejected, rest open."""
-    members = order_members(spark, sf_dir)
-    decided = remediation.remediate(order_clusters(members))
+    members, groups = order_groups(spark, sf_dir)
+    decided = remediation.remediate(order_clusters(members, groups))
     plan, _ = execution.stage(tables.cut(decided, "decided"), members)
     held = plan.where("execution_status = 'quarantined'").select("cluster_id")
     held_members = tables.lookup(members, tables.cut(held, "held"), ["cluster_id"], "left_semi").select(

@@ -295,6 +295,8 @@ SELECT anomaly_uid, sha256({_TEXT}) AS text_digest, 'anomaly_' || anomaly_uid AS
 CHECKS["hash_embedding"] = """
 SELECT c_custkey, CAST(i AS INTEGER) AS pos, round(CAST('0x' || substr(sha256(c_name), i * 2 + 1, 2) AS INTEGER) / 255.0::DOUBLE, 6) AS value
 FROM customer, range(32) AS r(i)"""
+CHECKS["text_vectors"] = r"""
+SELECT doc_id, 256::INTEGER AS dimensions, CASE WHEN regexp_matches(text, '[\p{L}\p{N}_]') THEN 1.0 ELSE 0.0 END::DOUBLE AS squared_length FROM documents"""
 CHECKS["cosine_topk"] = """
 WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id,
     round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS score FROM embeddings a, embeddings b)

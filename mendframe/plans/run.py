@@ -87,7 +87,7 @@ def run(
     summary = tables.one_row(validation.summarize_found(rows, found, spec))
     members, groups = clustering.assign_members(found, text, embed, threshold)
     members = tables.cut(members, "members")
-    clusters = clustering.build_clusters(members, distinct_patterns)
+    clusters = clustering.build_clusters(members, groups, distinct_patterns)
     clusters, new_registry = clustering.assign_uids(clusters, registry, seen_at)
     profiled = tables.cut(remediation.with_profile(clustering.mark_cache_hits(clusters, pattern_cache)), "clusters")
     remediations = tables.cut(remediation.remediate(profiled, memory, responses), "remediations")

@@ -26,9 +26,10 @@ MISSING_CELL = ("", "null", "none", "nan", "n/a", "na")  # stripped, lower case
 MISSING_SAMPLE = ("none", "nan", "null", "")  # lower case, not stripped
 MISSING_INPUT = ("null", "None", "none", "NULL", "N/A", "n/a", "")  # exact text
 
-EMAIL_REGEX = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
-DATE_REGEX = r"^(?:\p{Nd}{4}-\p{Nd}{2}-\p{Nd}{2}|\p{Nd}{2}/\p{Nd}{2}/\p{Nd}{4}|\p{Nd}{2}-\p{Nd}{2}-\p{Nd}{4})$"
-NUMERIC_REGEX = r"^-?\p{Nd}+(?:\.\p{Nd}+)?$"
+EMAIL_REGEX = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+DATE_REGEX = r"(?:\p{Nd}{4}-\p{Nd}{2}-\p{Nd}{2}|\p{Nd}{2}/\p{Nd}{2}/\p{Nd}{4}|\p{Nd}{2}-\p{Nd}{2}-\p{Nd}{4})"
+# a plain decimal number in which commas may stand anywhere
+NUMERIC_REGEX = r",*+(?:-,*+)?+(?:\p{Nd},*+)++(?:\.,*+(?:\p{Nd},*+)++)?+"
 
 # Looser shapes used when guessing the family of a group of samples.
 SAMPLE_DATE_REGEX = (
@@ -160,6 +161,8 @@ SALTS = 1_024
 LEADER_BATCH = 256
 LEADER_BATCH_MAX = 4_096
 KNN_BLOCK_ROWS = 20_000
+BLOCK_CELLS = 2_000_000  # array elements of one block held in a task
+SAMPLE_LOOKAHEAD = 50  # rows per cluster looked at first for distinct samples
 NATIVE_CODES = 64
 
 
