@@ -7,7 +7,8 @@ from pyspark.sql import Column, functions as F
 from mendframe import settings as S
 
 
-_SPACE = "[" + "".join(f"\\u{ord(ch):04x}" for ch in S.WHITESPACE) + "]"
+# the characters of settings.WHITESPACE as a class
+_SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _EDGE = f"^{_SPACE}|{_SPACE}$"
 
 

@@ -32,6 +32,10 @@ def cell_text(rows: DataFrame, column: str) -> Column:
     return F.to_json(name) if isinstance(kind, _NESTED) else name.cast("string")
 
 
+def _is_text(rows: DataFrame, column: str) -> bool:
+    return column in rows.columns and isinstance(rows.schema[column].dataType, T.StringType)
+
+
 def is_valid(rows: DataFrame, column: str, logical: str | None) -> Column | None:
     """Format check for a column, or None when nothing can fail.
 
@@ -71,14 +75,22 @@ def _checks(rows: DataFrame, spec: ValidationSpec) -> list[tuple[str, Column, Co
 
 
 def row_fails(rows: DataFrame, spec: ValidationSpec) -> Column:
-    """True when a row has any null or format error."""
+    """True when a row has any null or format error.
+
+    A value of the right format is never missing, so good cells are settled by
+    the format check alone.
+    """
     bad = F.lit(False)
-    for _, value, valid, required in _checks(rows, spec):
+    for column, value, valid, required in _checks(rows, spec):
         missing = tx.is_missing(value)
         if valid is None:
             fails = missing
+        elif required and _is_text(rows, column):
+            fails = F.coalesce(~valid, F.lit(True))
+        elif required:
+            fails = missing | ~valid
         else:
-            fails = missing | ~valid if required else ~missing & ~valid
+            fails = F.coalesce(~valid & ~missing, F.lit(False))
         bad = bad | fails
     return bad
 
