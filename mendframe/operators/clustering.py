@@ -129,8 +129,9 @@ def sample_rows(members: DataFrame, k: int = S.SAMPLE_ROWS, ahead: int = S.SAMPL
     distinct = tables.cut(_distinct_rows(near), "distinct")
     full = heads.groupBy("cluster_id").count().where(F.col("count") >= ahead)
     enough = distinct.groupBy("cluster_id").count().where(F.col("count") >= k)
-    short = tables.cut(full.join(enough, "cluster_id", "left_anti").select("cluster_id"), "short")
+    short = full.join(enough, "cluster_id", "left_anti").select("cluster_id")
     if not short.isEmpty():
+        short = tables.cut(short, "short")
         rest = _distinct_rows(tables.lookup(members, short, ["cluster_id"], "left_semi"))
         distinct = distinct.join(short, "cluster_id", "left_anti").unionByName(rest)
     kept = tables.first_per_key(distinct, ["cluster_id"], ["_at"], k)
