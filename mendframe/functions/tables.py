@@ -64,7 +64,7 @@ def with_partition_position(rows: DataFrame) -> DataFrame:
 
 
 def number_positions(rows: DataFrame, output: str) -> DataFrame:
-    """Turn ``_part``/``_at`` into contiguous 1-based numbers.
+    """Turn ``_part``/``_at`` of a written table into contiguous 1-based numbers.
 
     Only one count per partition is collected into a running total, so the
     broadcast side is bounded by the number of partitions.
@@ -80,8 +80,12 @@ def number_positions(rows: DataFrame, output: str) -> DataFrame:
 
 
 def with_ordinal(rows: DataFrame, output: str = "row_ord") -> DataFrame:
-    """Contiguous 1-based row numbers in scan order (for file scans)."""
-    return number_positions(with_partition_position(rows), output)
+    """Contiguous 1-based row numbers in the order of the partitions.
+
+    Counts and rows are read from one written copy: a plan that is evaluated
+    twice may be cut into other partitions the second time.
+    """
+    return number_positions(cut(with_partition_position(rows), "positions"), output)
 
 
 def ranked(rows: DataFrame, order: Sequence[str | Column], output: str = "rank") -> DataFrame:
