@@ -10,6 +10,7 @@ from __future__ import annotations
 import ast
 import math
 import operator
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 from typing import Any
@@ -32,6 +33,9 @@ ALLOWED_CALLS = {
 }
 ALLOWED_METHODS = ("replace", "strip", "lower", "upper")
 
+RESULT_BYTES = 64 << 20  # memory that one value of a repair may take
+MISSING_OPERAND = "operation on a missing value"
+
 
 class Rejected(ValueError):
     """The repair may not run at all."""
@@ -41,31 +45,47 @@ class NotNative(Exception):
     """The repair has no Column form."""
 
 
+class _Checker(ast.NodeVisitor):
+    """Goes through the inside of a repair; a kind of node without a rule here only has to be allowed."""
+
+    def visit(self, node: ast.AST) -> None:
+        if type(node).__name__ not in ALLOWED_NODES:
+            raise Rejected(f"a repair cannot contain {type(node).__name__}")
+        super().visit(node)
+
+    def visit_Lambda(self, node: ast.Lambda) -> None:
+        raise Rejected("a repair cannot contain another lambda")
+
+    def visit_Attribute(self, node: ast.Attribute) -> None:
+        raise Rejected(f"a repair cannot read the attribute {node.attr}")
+
+    def visit_Call(self, node: ast.Call) -> None:
+        match node.func:
+            case ast.Name(id=name) if name in ALLOWED_CALLS:
+                inside = [*node.args, *node.keywords]
+            case ast.Attribute(value=base, attr=method) if method in ALLOWED_METHODS:
+                inside = [base, *node.args, *node.keywords]
+            case other:
+                raise Rejected(f"a repair cannot call {ast.unparse(other)}")
+        for part in inside:
+            self.visit(part)
+
+
 @lru_cache(maxsize=4096)
 def parse(code: str) -> ast.Lambda:
     """Check a repair against the whitelist and return its syntax tree."""
     try:
-        body = ast.parse(code.strip(), mode="eval").body
-    except (SyntaxError, ValueError, RecursionError, MemoryError) as problem:
+        repair = ast.parse(code.strip(), mode="eval").body
+        if isinstance(repair, ast.Lambda):
+            checker = _Checker()
+            checker.visit(repair.args)
+            checker.visit(repair.body)
+            return repair
+    except (SyntaxError, RecursionError, MemoryError) as problem:
         raise Rejected(f"invalid syntax: {problem}") from None
-    called = {id(node.func) for node in ast.walk(body) if isinstance(node, ast.Call)}
-    for node in ast.walk(body):
-        name = type(node).__name__
-        if name not in ALLOWED_NODES:
-            raise Rejected(f"Disallowed syntax in remediation code: {name}")
-        if isinstance(node, ast.Attribute) and (id(node) not in called or node.attr not in ALLOWED_METHODS):
-            raise Rejected("Only safe string cleanup methods are allowed in remediation code")
-        if isinstance(node, ast.Call):
-            if isinstance(node.func, ast.Name):
-                if node.func.id not in ALLOWED_CALLS:
-                    raise Rejected("Only simple safe built-in calls are allowed in remediation code")
-            elif not isinstance(node.func, ast.Attribute):
-                raise Rejected("Unsupported callable in remediation code")
-    if not isinstance(body, ast.Lambda):
-        raise Rejected("Remediation code must be a lambda expression")
-    if any(isinstance(node, ast.Lambda) for node in ast.walk(body.body)):
-        raise Rejected("Nested lambdas are not supported in remediation code")
-    return body
+    except ValueError as problem:
+        raise problem if isinstance(problem, Rejected) else Rejected(f"invalid syntax: {problem}") from None
+    raise Rejected("a repair has to be a lambda")
 
 
 # -- Column form ------------------------------------------------------------
@@ -288,13 +308,19 @@ def to_column(code: str, source: Column) -> Term:
 # -- evaluation in Arrow batches ---------------------------------------------
 
 
-def _bounded(left: Any, right: Any, op: Any) -> Any:
-    """Refuse repairs that would blow up memory."""
-    if op is operator.pow and isinstance(right, (int, float)) and abs(right) > 1000:
-        raise ValueError("exponent too large")
-    if op is operator.mul and any(isinstance(v, (str, list, tuple)) for v in (left, right)):
-        if any(isinstance(v, int) and v > 100_000 for v in (left, right)):
-            raise ValueError("repetition too large")
+def _calculated(left: Any, right: Any, op: Any) -> Any:
+    """A binary operation; one whose result would not fit into a worker fails like one out of memory."""
+    size = 0
+    if op is operator.pow and isinstance(left, int) and isinstance(right, int):
+        size = left.bit_length() * right // 8
+    elif op is operator.mul:
+        for several, times in ((left, right), (right, left)):
+            if isinstance(times, int) and isinstance(several, (str, list, tuple)):
+                size = len(several) * times
+            elif isinstance(times, int) and isinstance(several, int):
+                size = (several.bit_length() + times.bit_length()) // 8
+    if size > RESULT_BYTES:
+        raise MemoryError("the result does not fit into memory")
     return op(left, right)
 
 
@@ -328,7 +354,7 @@ def _value(node: ast.AST | None, names: dict[str, Any]) -> Any:
         case ast.UnaryOp(op=op, operand=operand):
             return _UNARY[type(op).__name__](_value(operand, names))
         case ast.BinOp(left=left, op=op, right=right):
-            return _bounded(_value(left, names), _value(right, names), _BINARY[type(op).__name__])
+            return _calculated(_value(left, names), _value(right, names), _BINARY[type(op).__name__])
         case ast.Compare(left=left, ops=ops, comparators=others):
             current = _value(left, names)
             for op, other in zip(ops, others):
@@ -372,6 +398,14 @@ def evaluate(code: str, value: str | None) -> str | None:
     return str(result)
 
 
+def _reason(problem: Exception) -> str:
+    """Text of a failure, the same as the Column form gives for an operation on None."""
+    text = str(problem) or type(problem).__name__
+    if isinstance(problem, (AttributeError, TypeError)) and re.search(r"\bNone(Type)?\b", text):
+        return MISSING_OPERAND
+    return text
+
+
 def _evaluate_batch(codes: pd.Series, values: pd.Series) -> pd.DataFrame:
     results, errors = [], []
     for code, value in zip(codes, values):
@@ -380,7 +414,7 @@ def _evaluate_batch(codes: pd.Series, values: pd.Series) -> pd.DataFrame:
             errors.append(None)
         except Exception as problem:  # any failure marks the row, never the job
             results.append(None)
-            errors.append(str(problem) or type(problem).__name__)
+            errors.append(_reason(problem))
     return pd.DataFrame({"value": results, "error": errors}, dtype=object)
 
 
@@ -422,7 +456,7 @@ def apply_codes(rows: DataFrame, codes: DataFrame, code: str = "code", value: st
         result = F.when(F.col(code) == text, term.value).otherwise(result)
         if term.fails is not None:
             error = F.when(
-                (F.col(code) == text) & F.coalesce(term.fails, F.lit(False)), F.lit("operation on a missing value")
+                (F.col(code) == text) & F.coalesce(term.fails, F.lit(False)), F.lit(MISSING_OPERAND)
             ).otherwise(error)
     can_fail = any(t.fails is not None for t in native.values())
     known = F.col(code).isin(*native) if native else F.lit(False)

@@ -20,8 +20,9 @@ _ROW_FIELDS = ("anomaly_hint", "anomaly_uid", "column_name", "error_type", "id",
 
 
 def order_key() -> Column:
-    """Position of an anomaly in the input as one number (row, then place in the row)."""
-    return (F.col("row_ord").cast("decimal(30,0)") * F.lit(65536) + F.col("pos")).cast("decimal(38,0)")
+    """Position of an anomaly in the input as one number (row, then place in the row); unknown ones come last."""
+    known = (F.col("row_ord").cast("decimal(30,0)") * F.lit(65536) + F.col("pos")).cast("decimal(38,0)")
+    return F.coalesce(known, F.lit("9" * 38).cast("decimal(38,0)"))
 
 
 def _image_text() -> Column:
@@ -72,11 +73,11 @@ def assign_members(
 ) -> tuple[DataFrame, DataFrame]:
     """Anomalies with their ``cluster_id``, and the table of groups.
 
-    Equal texts are collapsed first, so only distinct texts are embedded,
+    A NULL text counts as empty. Equal texts are collapsed first, so only distinct texts are embedded,
     clustered and numbered. Cluster numbers follow the first anomaly.
     """
     text = signature_text(found) if text is None else text
-    keyed = found.withColumn("_text", text)
+    keyed = found.withColumn("_text", F.coalesce(text, F.lit("")))
     texts = keyed.groupBy("_text").agg(F.min(order_key()).alias("_first"), F.count("*").alias("_weight"))
     named = F.format_string("cluster_%d", "cluster_ord")
     numbered = tables.ranked(tables.cut(texts, "texts"), ["_first", "_text"], "item")
@@ -134,8 +135,8 @@ def sample_rows(members: DataFrame, k: int = S.SAMPLE_ROWS, ahead: int = S.SAMPL
         short = tables.cut(short, "short")
         rest = _distinct_rows(tables.lookup(members, short, ["cluster_id"], "left_semi"))
         distinct = distinct.join(short, "cluster_id", "left_anti").unionByName(rest)
-    kept = tables.first_per_key(distinct, ["cluster_id"], ["_at"], k)
     columns = [c for c in distinct.columns if c not in keys]
+    kept = tables.first_per_key(distinct, ["cluster_id"], ["_at", *columns], k)
     pairs = F.create_map(*(x for c in columns for x in (F.lit(c), F.col(c).cast("string"))))
     row = F.to_json(pairs).alias("row")  # maps have no order, so they are sorted as text
     # at most k rows per cluster are left here

@@ -153,11 +153,16 @@ def fix_success_rate(runs: DataFrame, time: str, width: str) -> DataFrame:
 def review_quarantine(quarantined: DataFrame, reviews: DataFrame) -> DataFrame:
     """Quarantined members with the reviewer's decision applied.
 
-    ``reviews``: member_id, decision (approve or reject), new_value. An
-    approval without a new value keeps the old one; an unreviewed member
-    stays pending.
+    ``reviews``: member_id, decision (approve or reject), new_value and, where
+    members are reviewed more than once, reviewed_at: the newest review counts,
+    of equally new ones the last in the order of decision and value. An approval
+    without a new value keeps the old one; an unreviewed member stays pending.
     """
-    joined = quarantined.join(reviews, "member_id", "left")
+    age = F.col("reviewed_at") if "reviewed_at" in reviews.columns else F.lit(0)
+    newest = reviews.groupBy("member_id").agg(
+        F.max_by(F.struct("decision", "new_value"), F.struct(age, "decision", "new_value")).alias("_review")
+    )
+    joined = quarantined.join(newest.select("member_id", "_review.*"), "member_id", "left")
     status = (
         F.when(F.col("decision") == "approve", F.lit("approved"))
         .when(F.col("decision") == "reject", F.lit("rejected"))

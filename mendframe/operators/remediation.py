@@ -326,14 +326,6 @@ def remembered_decisions(profiled: DataFrame, memory: DataFrame) -> DataFrame:
     return best.where(usable).select("cluster_id", decision.alias("remembered"))
 
 
-REMEDIATION_COLUMNS = (
-    "cluster_id", "cluster_uid", "transformation_type", "code", "confidence_score", "reasoning",
-    "fallback_value", "inferred_anomaly_type", "model_used", "size", "cache_hit", "pattern_key",
-    "guardrail_action", "risk_level", "requires_human_review", "validation_checks", "raw_response",
-    "target_column",
-)
-
-
 def remediate(
     profiled: DataFrame, memory: DataFrame | None = None, responses: DataFrame | None = None
 ) -> DataFrame:
@@ -370,7 +362,7 @@ def remediate(
                "model_used", "cache_hit", "raw_response")
     columns = {name: F.col(f"_chosen.{name}") for name in decided} | plan
     return rows.select(
-        *(columns[c].alias(c) if c in columns else F.col(c) for c in REMEDIATION_COLUMNS), *kept
+        *(columns[c].alias(c) if c in columns else F.col(c) for c in S.REMEDIATION_COLUMNS), *kept
     )
 
 

@@ -256,6 +256,63 @@ def csv_source_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _breakdown_of(readers.resolve_input(spark, {"input_path": path}))
 
 
+@query
+def csv_quoted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells with line breaks, quotes and commas inside quotes come back whole."""
+    path = tables.scratch_path(spark, "quoted") + ".csv"
+    note = F.concat(F.lit('said "'), "c_name", F.lit('",\nthen left\n'), "c_mktsegment")
+    table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("id"), note.alias("note"), F.col("c_nationkey").cast("string").alias("nation")
+    ).write.csv(path, header=True, escape='"')
+    return readers.resolve_input(spark, {"input_path": path, "multiline": True})
+
+
+@query
+def csv_malformed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with a cell too many or too few, by the number of cells that the header has."""
+    path = tables.scratch_path(spark, "malformed") + ".csv"
+    key = F.col("c_custkey")
+    line = F.concat_ws(
+        ",", key.cast("string"), F.when(key % 7 != 0, F.col("c_mktsegment")), F.col("c_nationkey").cast("string"),
+        F.when(key % 10 == 3, F.lit("EXTRA")),
+    )
+    lines = table(spark, sf_dir, "customer").select(line.alias("id,segment,nation"))
+    lines.write.csv(path, header=True, sep="\x01")  # one column, so that lines are written as they are
+    return readers.flag_long_rows(spark, path).where("malformed").select("id", "malformed")
+
+
+@query
+def validate_aggregated_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that come out of a shuffle keep their number, are all judged, and count up without gaps."""
+    rows = dirty_orders(spark, sf_dir)
+    grouped = rows.groupBy("id").agg(*(F.max(c).alias(c) for c in rows.columns if c != "id"))
+    judged = validation.validate(grouped, orders_spec())
+    lanes_total = validation.clean_rows(judged).agg(F.count("*").alias("clean_rows"))
+    found = judged.agg(
+        F.count("*").alias("rows"), F.count_if("_bad").alias("bad_rows"), F.min("_row_ord").alias("first_ord"),
+        F.max("_row_ord").alias("last_ord"), F.countDistinct("_row_ord").alias("ordinals"),
+    )
+    return found.crossJoin(F.broadcast(lanes_total))  # one row each
+
+
+@query
+def null_text_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anomalies without a text form a group of their own and none is lost."""
+    text = F.when(F.col("error_type") != "null_block_error", F.col("value"))
+    members, groups = clustering.assign_members(found_orders(spark, sf_dir), text)
+    sizes = groups.groupBy("_text").agg(F.sum("_weight").alias("size"))
+    counted = members.groupBy(F.col("text").alias("_text")).agg(F.count("*").alias("members"))
+    return sizes.join(counted, "_text").withColumnRenamed("_text", "text")
+
+
+@query
+def null_order_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anomalies whose row has no known position keep their clusters, sizes and samples."""
+    found = found_orders(spark, sf_dir).withColumn("row_ord", F.lit(None).cast("bigint"))
+    clusters = clustering.build_clusters(*clustering.assign_members(found))
+    return clusters.select("target_column", "size", F.size("sample_rows").alias("samples"))
+
+
 @query
 def jsonl_source_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON lines with blank and non-object lines between the rows."""
@@ -664,8 +721,8 @@ def parse_model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def remediation_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memory, rule, answer and quarantine side by side, as counts."""
     profiled = order_clusters(*order_groups(spark, sf_dir))
-    memory = tables.cut(customer_memory(spark, sf_dir, profiled).where("mem_ord % 9 <> 0"), "memory")
-    answers = remediation.static_answers(profiled).where("pattern_key < '9'")
+    memory = tables.cut(customer_memory(spark, sf_dir, profiled), "memory")
+    answers = remediation.static_answers(profiled)
     routed = tables.cut(remediation.remediate(profiled, memory, answers), "routed")
     return remediation.remediation_summary(routed, "mock")
 

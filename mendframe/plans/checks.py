@@ -236,6 +236,20 @@ _orders("clean_rows", "SELECT d.* FROM dirty d WHERE id NOT IN (SELECT id FROM f
 _BREAKDOWN = "SELECT column_name, error_type, count(*) AS anomalies FROM found GROUP BY ALL"
 for _name in ("anomaly_breakdown", "csv_source_validation", "jsonl_source_validation", "anomaly_directory_scan"):
     _orders(_name, _BREAKDOWN)
+CHECKS["csv_quoted_rows"] = """
+SELECT CAST(c_custkey AS VARCHAR) AS id, 'said "' || c_name || '",' || chr(10) || 'then left' || chr(10) || c_mktsegment AS note,
+  CAST(c_nationkey AS VARCHAR) AS nation FROM customer"""
+CHECKS["csv_malformed_rows"] = """
+SELECT CAST(c_custkey AS VARCHAR) AS id, true AS malformed FROM customer WHERE (c_custkey % 7 = 0) <> (c_custkey % 10 = 3)"""
+_orders("validate_aggregated_input", """
+SELECT count(*) AS rows, (SELECT count(DISTINCT id) FROM found) AS bad_rows, CAST(1 AS BIGINT) AS first_ord, count(*) AS last_ord,
+  count(*) AS ordinals, count(*) - (SELECT count(DISTINCT id) FROM found) AS clean_rows FROM dirty""")
+_orders("null_text_clusters", """
+SELECT coalesce(CASE WHEN error_type <> 'null_block_error' THEN value END, '') AS text, count(*) AS size, count(*) AS members
+FROM found GROUP BY 1""")
+_orders("null_order_clusters", """
+SELECT column_name AS target_column, count(*) AS size, CAST(least(count(*), 5) AS INT) AS samples
+FROM found GROUP BY column_name, error_type""")
 _orders("ingestion_summary", """
 SELECT 'completed' AS status, (SELECT count(*) FROM dirty) AS input_rows,
   (SELECT count(*) FROM dirty) - count(DISTINCT id) AS clean_rows, count(DISTINCT id) AS bad_rows, count(*) AS anomalies,
@@ -509,7 +523,7 @@ SELECT conv_id, turn, transformation_type, code, confidence_score, 'null' AS fal
   CASE WHEN transformation_type = 'quarantine' THEN 'quarantine' WHEN confidence_score < 0.85 THEN 'staging_only' ELSE 'auto_apply_with_audit' END AS guardrail_action,
   CASE WHEN transformation_type = 'quarantine' THEN 'high' WHEN confidence_score < 0.85 THEN 'medium' ELSE 'low' END AS risk_level,
   transformation_type = 'quarantine' OR confidence_score < 0.85 AS requires_human_review FROM r"""
-_orders("remediation_routing", _REUSE.format(keep="m.mem_ord % 9 <> 0") + """,
+_orders("remediation_routing", _REUSE.format(keep="true") + """,
 kinds AS (
   SELECT d.family, coalesce(r.transformation_type,
     CASE WHEN d.transformation_type <> 'quarantine' THEN d.transformation_type ELSE 'quarantine' END) AS kind,

@@ -125,13 +125,16 @@ GUARDRAIL_PLANS = {
     "auto": ("auto_apply_with_audit", "low", ("schema_check", "determinism_check")),
 }
 
-CONTRACT_FIELDS = (
-    "cache_hit", "cluster_id", "cluster_uid", "code", "confidence_score",
-    "fallback_value", "guardrail_action", "inferred_anomaly_type", "member_ids",
-    "model_used", "pattern_key", "reasoning", "requires_human_review",
-    "risk_level", "size", "transformation_type", "validation_checks",
+REMEDIATION_COLUMNS = (
+    "cluster_id", "cluster_uid", "transformation_type", "code", "confidence_score", "reasoning",
+    "fallback_value", "inferred_anomaly_type", "model_used", "size", "cache_hit", "pattern_key",
+    "guardrail_action", "risk_level", "requires_human_review", "validation_checks", "raw_response",
+    "target_column",
 )
 
+# A remediation to execute also names its members; what the model said and the target are optional.
+CONTRACT_FIELDS = (*(c for c in REMEDIATION_COLUMNS if c not in ("raw_response", "target_column")), "member_ids")
+
 GUARDRAIL_POLICY = {
     "min_confidence_for_review_pass": 0.75,
     "min_confidence_for_promotion": 0.9,

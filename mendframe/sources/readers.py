@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from pathlib import PurePosixPath
@@ -18,12 +19,17 @@ PATH_KEYS = ("input_path", "source_file", "dataset_path")
 
 
 def read_csv(spark: SparkSession, path: str | list[str], multiline: bool = False) -> DataFrame:
-    """Header CSV, all text; a byte-order mark and blank lines are dropped."""
+    """Header CSV, all text; a byte-order mark and blank lines are dropped.
+
+    Line breaks inside quotes need ``multiline``, which reads each file in one task;
+    ``flag_long_rows`` shows rows with more cells than the header.
+    """
     return spark.read.csv(path, header=True, inferSchema=False, encoding="UTF-8", multiLine=multiline, escape='"')
 
 
-def flag_long_rows(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """CSV rows with ``malformed``: more or fewer cells than the given columns."""
+def flag_long_rows(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """CSV rows with ``malformed``: more or fewer cells than the columns, by default those of the header."""
+    columns = spark.read.csv(path, header=True, inferSchema=False).columns if columns is None else columns
     fields = [T.StructField(c, T.StringType()) for c in columns]
     schema = T.StructType([*fields, T.StructField("_corrupt_record", T.StringType())])
     rows = spark.read.schema(schema).csv(path, header=True, mode="PERMISSIVE", enforceSchema=True, escape='"')
@@ -82,11 +88,13 @@ def widen(rows: DataFrame, columns: Sequence[str] | None = None, column: str = "
     return rows.select(*others, *(F.col(column)[c].alias(c) for c in columns))
 
 
-def read_rows(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Table of any supported input file, chosen by suffix."""
+def read_rows(
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, multiline: bool = False
+) -> DataFrame:
+    """Table of any supported input file, chosen by suffix; ``multiline`` is for CSV with quoted line breaks."""
     suffix = PurePosixPath(path).suffix.lower()
     if suffix == ".csv":
-        return read_csv(spark, path)
+        return read_csv(spark, path, multiline)
     if suffix == ".json":
         return widen(read_json(spark, path), columns).drop("pos", "file")
     if suffix == ".jsonl":
@@ -97,7 +105,7 @@ def read_rows(spark: SparkSession, path: str, columns: Sequence[str] | None = No
 def resolve_input(spark: SparkSession, source: DataFrame | Mapping[str, Any]) -> DataFrame | None:
     """A given table beats a path; the first path setting that is filled wins.
 
-    None when nothing is given. A missing file raises.
+    ``multiline`` in the source allows quoted line breaks in CSV. None when nothing is given. A missing file raises.
     """
     if isinstance(source, DataFrame):
         return source
@@ -105,7 +113,7 @@ def resolve_input(spark: SparkSession, source: DataFrame | Mapping[str, Any]) ->
     if isinstance(rows, DataFrame):
         return rows
     path = next((source[k] for k in PATH_KEYS if source.get(k)), None)
-    return None if path is None else read_rows(spark, str(path))
+    return None if path is None else read_rows(spark, str(path), multiline=bool(source.get("multiline")))
 
 
 def load_schema(spark: SparkSession, inline: Mapping[str, Any] | None = None, path: str | None = None) -> dict[str, Any]:
@@ -126,7 +134,7 @@ def read_anomaly_directory(spark: SparkSession, folder: str) -> DataFrame:
     """All anomaly files of a folder as maps, in name order.
 
     Reads .json, .jsonl, .csv and .parquet together; unreadable CSV and
-    Parquet files are left out.
+    Parquet files are left out with a warning.
     """
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -144,7 +152,8 @@ def read_anomaly_directory(spark: SparkSession, folder: str) -> DataFrame:
             for file in files:  # headers and schemas differ from file to file
                 try:
                     rows = read_csv(spark, file) if suffix == ".csv" else spark.read.parquet(file)
-                except Exception:
+                except Exception as problem:
+                    warnings.warn(f"{file} is left out: {str(problem)[:200]}", stacklevel=2)
                     continue
                 pairs = [x for c in rows.columns for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]
                 row = F.create_map(*pairs).cast("map<string,string>").alias("row")

@@ -7,10 +7,14 @@ appears, so a failed write is never read.
 
 from __future__ import annotations
 
+import re
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from mendframe.operators.clustering import REGISTRY
 
+DAMAGED = re.compile(r"CANNOT_READ_FILE_FOOTER|FAILED_READ_FILE|is not a Parquet file|UNABLE_TO_INFER_SCHEMA")
 MEMORY = (
     "memory_id string, timestamp_utc string, cluster_id string, cluster_uid string, pattern_key string, "
     "target_column string, inferred_anomaly_type string, transformation_type string, code string, "
@@ -35,14 +39,16 @@ def _versions(spark: SparkSession, folder: str) -> list[int]:
 
 
 def load_table(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """Newest readable version, or an empty table."""
+    """Newest whole version, or an empty table; only files that are damaged make it go back a version."""
     for version in reversed(_versions(spark, folder)):
         try:
             rows = spark.read.schema(schema).parquet(f"{folder}/v{version}")
             rows.limit(1).collect()
             return rows
-        except Exception:
-            continue
+        except Exception as problem:
+            if not DAMAGED.search(str(problem)):
+                raise
+            warnings.warn(f"{folder}/v{version} is damaged and left out", stacklevel=2)
     return spark.createDataFrame([], schema)
 
 

@@ -13,11 +13,12 @@ from mendframe.settings import ValidationSpec
 def validate_stream(rows: DataFrame, spec: ValidationSpec, order_by: str | Column) -> DataFrame:
     """The stateless rules on a stream.
 
-    Finding every member of a duplicate group needs all rows; on a stream use
-    ``windowed_duplicates`` instead.
+    Finding every member of a duplicate group needs all rows, so unique columns
+    are refused; on a stream use ``windowed_duplicates`` instead.
     """
-    stateless = ValidationSpec(types=spec.types, required=spec.required)
-    return validation.validate(rows, stateless, order_by=order_by)
+    if spec.unique:
+        raise ValueError(f"unique columns {sorted(spec.unique)} need all rows; use windowed_duplicates on a stream")
+    return validation.validate(rows, spec, order_by=order_by)
 
 
 def start_lanes(

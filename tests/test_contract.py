@@ -4,6 +4,7 @@ import __spark_entry__ as contract
 from compare import check_engine, compare
 from conftest import SF
 from mendframe.plans import samples
+from mendframe.settings import ValidationSpec
 from mendframe.streaming import lanes
 
 
@@ -31,4 +32,6 @@ def test_row_filter_is_compiled_and_columns_are_pruned(spark):
 
 def test_stream_refuses_nothing_it_can_do(spark, tmp_path):
     rows = spark.readStream.schema("id string, amount string").json(str(tmp_path))
-    assert lanes.validate_stream(rows, samples.orders_spec(), "id").isStreaming
+    assert lanes.validate_stream(rows, ValidationSpec.build(required_columns=["amount"]), "id").isStreaming
+    with pytest.raises(ValueError, match="windowed_duplicates"):
+        lanes.validate_stream(rows, samples.orders_spec(), "id")

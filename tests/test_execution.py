@@ -79,7 +79,7 @@ def test_stage_is_all_or_nothing(spark):
     status = {r.cluster_id: r for r in plan.collect()}
     assert {c: r.execution_status for c, r in status.items()} == {
         "a": "staged", "b": "execution_failed", "c": "execution_failed", "d": "quarantined"}
-    assert "Only simple safe" in status["c"].execution_error and status["b"].risk_level == "high"
+    assert "cannot call" in status["c"].execution_error and status["b"].risk_level == "high"
     (row,) = staged.collect()
     assert (row.transformed_value, row.source_row_after) == ("1200.50", {"id": "1", "amount": "1200.50"})
     summary = X.execution_summary(plan).first()

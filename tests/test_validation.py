@@ -17,28 +17,35 @@ def run(spark, rows, columns, spec=ValidationSpec()):
     return V.clean_rows(validated).collect(), found
 
 
-def test_five_row_sample(spark):
-    spec = ValidationSpec.build(required_columns=["transaction_date", "customer_email", "amount"])
+def test_one_fault_per_kind_among_good_rows(spark):
+    """Parcels: a broken weight, a blank depot, two good rows, a shipping day in words, a contact without domain."""
+    spec = ValidationSpec.build({"columns": {
+        "weight": {"type": "numeric", "required": True}, "shipped": {"type": "date", "required": True},
+        "depot": {"required": True}, "contact": {"type": "email"},
+    }})
     rows = [
-        ("1", "03-12-2024", "a@example.com", "10"),
-        ("2", "2024/03/12", "b@example.com", "20"),
-        ("3", "2024-03-12", "abc@", "30"),
-        ("4", "2024-03-12", "d@example.com", "12,0x"),
-        ("5", "2024-03-12", "N/A", "50"),
+        ("p-70", "0.75 kg", "2031-10-30", "North", "desk@depot.org"),
+        ("p-71", "12", "30/10/2031", "  ", "desk@depot.org"),
+        ("p-72", "-3.5", "2031-11-01", "South", None),
+        ("p-73", "8", "first of May", "East", ""),
+        ("p-74", "1,024", "01-11-2031", "West", "desk.depot.org"),
+        ("p-75", "64", "2031-11-02", "West", "night+desk@depot.org"),
     ]
-    clean, found = run(spark, rows, ["id", "transaction_date", "customer_email", "amount"], spec)
-    assert [r.id for r in clean] == ["1"]
-    assert [a.anomaly_uid for a in found] == [
-        "2:transaction_date:date_format_error", "3:customer_email:email_format_error",
-        "4:amount:numeric_format_error", "5:customer_email:null_block_error",
-    ]
-    assert found[0].source_row["amount"] == "20"
+    clean, found = run(spark, rows, ["id", "weight", "shipped", "depot", "contact"], spec)
+    assert [r.id for r in clean] == ["p-72", "p-75"]
+    kinds = {(a.id, a.column_name): a.error_type for a in found}
+    assert kinds == {
+        ("p-70", "weight"): "numeric_format_error", ("p-71", "depot"): "null_block_error",
+        ("p-73", "shipped"): "date_format_error", ("p-74", "contact"): "email_format_error",
+    }
+    assert all(a.source_row["id"] == a.id for a in found)
 
 
 def test_errors_follow_column_order_and_optional_missing_is_skipped(spark):
-    clean, found = run(spark, [("March 12, 2024", "broken@", None)], ["event_date", "customer_email", "amount"])
+    spec = ValidationSpec.build({"columns": {"z_mail": {"type": "email"}, "a_day": {"type": "date"}, "m_sum": {"type": "numeric"}}})
+    clean, found = run(spark, [("nobody at home", "yesterday", "")], ["z_mail", "a_day", "m_sum"], spec)
     assert not clean
-    assert [a.column_name for a in found] == ["customer_email", "event_date"]
+    assert [a.column_name for a in found] == ["a_day", "z_mail"]
     assert found[0].id == "1"
 
 
