@@ -32,7 +32,8 @@ def flag_long_rows(spark: SparkSession, path: str, columns: Sequence[str] | None
     columns = spark.read.csv(path, header=True, inferSchema=False).columns if columns is None else columns
     fields = [T.StructField(c, T.StringType()) for c in columns]
     schema = T.StructType([*fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(schema).csv(path, header=True, mode="PERMISSIVE", enforceSchema=True, escape='"')
+    counted = spark.read.schema(schema).option("columnPruning", False)  # else cells beyond the wanted ones are not seen
+    rows = counted.csv(path, header=True, mode="PERMISSIVE", enforceSchema=True, escape='"')
     return rows.withColumn("malformed", F.col("_corrupt_record").isNotNull())
 
 
