@@ -121,3 +121,31 @@ def top_k(
         tables.Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     )
     return local.withColumn("rank", numbered).where(F.col("rank") <= k)
+
+
+def top_k_tokens(queries: DataFrame, docs: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """Best ``k`` docs per query by Jaccard overlap of ``tokens``, as (query_id, doc_id, score, rank).
+
+    An equi-join on the token: work follows shared tokens, not queries times docs. The
+    query side is broadcast after its size was checked; otherwise a token is an ordinary
+    shuffle key. Where fewer than ``k`` docs share a token, the lowest doc ids fill up with
+    score 0. Missing tokens count as none; ties go to the lower doc_id.
+    """
+    def sized(rows: DataFrame, key: str, size: str) -> DataFrame:
+        return rows.select(key, F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")).withColumn(
+            size, F.size("tokens")
+        )
+
+    asked = tables.cut(sized(queries, "query_id", "n_query"), "asked")
+    words = asked.select("query_id", "n_query", F.explode("tokens").alias("token"))
+    words = F.broadcast(words) if tables.is_small(asked) else words
+    held = sized(docs, "doc_id", "n_doc").select("doc_id", "n_doc", F.explode("tokens").alias("token"))
+    shared = held.join(words, "token").groupBy("query_id", "doc_id", "n_query", "n_doc").agg(F.count("*").alias("n"))
+    scored = shared.select(
+        "query_id", "doc_id", F.round(F.col("n") / (F.col("n_query") + F.col("n_doc") - F.col("n")), digits).alias("score")
+    )
+    lowest = docs.select("doc_id").orderBy("doc_id").limit(k)  # k rows
+    fill = asked.select("query_id").crossJoin(F.broadcast(lowest)).withColumn("score", F.lit(0.0))
+    every = scored.unionByName(fill).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(tables.Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    return every.withColumn("rank", rank).where(F.col("rank") <= k)

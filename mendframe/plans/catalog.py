@@ -562,10 +562,13 @@ def cluster_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three documents with the highest token overlap for every benchmark item."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), tx.tokens(F.col("text")).alias("tokens"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id"), tx.tokens(F.col("text")).alias("tokens"))
-    best = blocks.top_k(items, docs, blocks.token_scores(), 3, digits=6, cells="tokens")
+    """Three documents with the highest token overlap for every benchmark item; some texts are NULL or empty."""
+    key = F.col("item_id")
+    item = F.when(key % 11 == 3, F.lit(None)).when(key % 11 == 5, F.lit("")).otherwise(F.col("text"))
+    items = table(spark, sf_dir, "benchmark").select(key.alias("query_id"), tx.tokens(item).alias("tokens"))
+    text = F.when(F.col("doc_id") % 13 != 1, F.col("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", tx.tokens(text).alias("tokens"))
+    best = blocks.top_k_tokens(items, docs, 3)
     return best.select(
         F.col("query_id").alias("item_id"), "doc_id", F.round("score", 6).alias("overlap"), F.col("rank").cast("bigint").alias("rank")
     )

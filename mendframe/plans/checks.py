@@ -386,8 +386,10 @@ SELECT cluster_id, size, CAST(least(size, 5) AS INTEGER) AS sample_count, 1.0::D
   is_duplicate, is_duplicate OR family IN ('date_format', 'type_cast', 'null_fill') AS is_fast_path,
   array_to_string(list_sort([error_type || '=' || least(size, 5), anomaly_hint || '=' || least(size, 5)]), '|') AS hints FROM profiled""")
 CHECKS["token_jaccard"] = """
-WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS t FROM documents),
-q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS t FROM benchmark),
+WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(CASE WHEN doc_id % 13 = 1 THEN '' ELSE text END), '[a-z0-9_]+')) AS t
+  FROM documents),
+q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(CASE WHEN item_id % 11 IN (3, 5) THEN '' ELSE text END), '[a-z0-9_]+')) AS t
+  FROM benchmark),
 de AS (SELECT doc_id, unnest(t) AS w FROM d), qe AS (SELECT item_id, unnest(t) AS w FROM q),
 shared AS (SELECT item_id, doc_id, count(*) AS n FROM de JOIN qe USING (w) GROUP BY ALL),
 s AS (SELECT q.item_id, d.doc_id, round(coalesce(n, 0) / greatest(len(q.t) + len(d.t) - coalesce(n, 0), 1), 6) AS overlap
