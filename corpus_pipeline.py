@@ -17,7 +17,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that SimHash links."""
+    """One document of each group whose five-word shingles SimHash finds similar to 0.8 or more."""
     ship(spark)
     return simhash.keep_first(docs)
 

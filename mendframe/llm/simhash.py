@@ -2,31 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from mendframe.functions import tables
-from mendframe.llm.common import ascii_words, packed
+from mendframe.llm.common import ascii_words, mixed, packed
 from mendframe.llm.components import components
 
 BITS = 64
 SEED = 42
 SHINGLE_WORDS = 4
 MAX_DISTANCE = 4
+WIDE_WORDS = 4  # 64-bit words of the wide sketch
+WIDE_SHINGLE_WORDS = 5
+WIDE_SIMILARITY = 0.8  # of the shingle sets (Jaccard), as the wide sketch estimates it
 CHUNK = 8_192  # fingerprints of one index key that meet at most once in a task, beside another chunk
 SHORT_RUN = 16  # runs of a key up to this length are compared all at once
 
 
-def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
-    """SimHash of a text's word shingles, repeats included; 0 without words."""
+def _shingle_hashes(text: str | None, shingle_words: int) -> Iterator[np.ndarray]:
+    """XXH64 of a text's word shingles, repeats included, in pieces; the whole sequence if it is shorter."""
     found = ascii_words(text)
     if not found:
-        return 0
+        return
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -35,12 +39,26 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     else:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(BITS, np.int64)
     for at in range(0, len(starts), 65_536):
         spans = zip(starts[at : at + 65_536].tolist(), ends[at : at + 65_536].tolist())
-        hashes = np.array([digest(joined[i:j], SEED) for i, j in spans], ">u8")
-        ones += np.unpackbits(hashes.view(np.uint8)).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(starts)).tobytes(), "big")
+        yield np.fromiter((digest(joined[i:j], SEED) for i, j in spans), np.uint64)
+
+
+def _majority(pieces: Iterator[np.ndarray], words: int) -> list[int]:
+    """Bits that are one in over half the hashes, as 64-bit words; word i takes the hashes mixed with i."""
+    ones, total = np.zeros(words * BITS, np.int64), 0
+    for hashes in pieces:
+        each = [hashes if not i else mixed(hashes ^ np.uint64(i)) for i in range(words)]
+        data = np.stack(each, axis=1).astype(">u8")
+        ones += np.unpackbits(data.view(np.uint8).reshape(len(hashes), -1), axis=1).sum(axis=0, dtype=np.int64)
+        total += len(hashes)
+    packed_bits = np.packbits(ones * 2 > total).tobytes()
+    return [int.from_bytes(packed_bits[8 * i : 8 * i + 8], "big") for i in range(words)]
+
+
+def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
+    """SimHash of a text's word shingles, repeats included; 0 without words."""
+    return _majority(_shingle_hashes(text, shingle_words), 1)[0]
 
 
 def fingerprints(docs: DataFrame, text: str = "text", output: str = "fp", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
@@ -61,8 +79,8 @@ def _segments(max_distance: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def _keys(distinct: DataFrame, max_distance: int) -> DataFrame:
-    """(key, fp): the first segment of each chain, equal, and either half of the second.
+def _keys(fp: Column, max_distance: int, first_tag: int = 0) -> Column:
+    """Array of index keys of a fingerprint: the first segment of each chain, equal, and either half of the second.
 
     Pigeonring: fingerprints at most d bits apart, cut into d + 1 segments, have
     a segment from which every chain of j segments differs in at most
@@ -70,7 +88,6 @@ def _keys(distinct: DataFrame, max_distance: int) -> DataFrame:
     differs in one bit at most, so one of that segment's halves is equal, too.
     """
     segments = _segments(max_distance)
-    fp = F.col("fp")
     keys = []
     for i, (offset, width) in enumerate(segments):
         turned = fp if not offset else F.shiftleft(fp, offset).bitwiseOR(F.shiftrightunsigned(fp, BITS - offset))
@@ -79,9 +96,9 @@ def _keys(distinct: DataFrame, max_distance: int) -> DataFrame:
         half = following // 2
         for which, (skip, take) in enumerate(((width, half), (width + half, following - half))):
             part = F.shiftrightunsigned(F.shiftleft(turned, skip), BITS - take) if take else F.lit(0).cast("long")
-            tag = F.lit(2 * i + which).cast("long")
+            tag = F.lit(first_tag + 2 * i + which).cast("long")
             keys.append(F.shiftleft(tag, 56).bitwiseOR(F.shiftleft(first, take)).bitwiseOR(part))
-    return distinct.select(F.explode(F.array(*keys)).alias("key"), "fp")
+    return F.array(*keys)
 
 
 def _chain_masks(max_distance: int) -> tuple[np.ndarray, list[int]]:
@@ -96,22 +113,42 @@ def _chain_masks(max_distance: int) -> tuple[np.ndarray, list[int]]:
     return masks, [(j + 2) * max_distance // count for j in range(count - 2)]
 
 
-def _linked(difference: np.ndarray, chain: np.ndarray, masks: np.ndarray, budgets: list[int], most: int) -> np.ndarray:
+Test = Callable[[np.ndarray, np.ndarray], np.ndarray]  # (differences, keys) -> positions that link
+
+
+def _chain_test(max_distance: int) -> Test:
     """Positions whose chains stay within every budget, then within the whole distance."""
-    left = np.arange(len(difference))
-    for j, budget in enumerate(budgets):
-        left = left[np.bitwise_count(difference[left] & masks[chain[left], j]) <= budget]
-    return left[np.bitwise_count(difference[left]) <= most]
+    masks, budgets = _chain_masks(max_distance)
+
+    def test(difference: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        difference, chain = difference[:, 0], keys >> 57
+        left = np.arange(len(difference))
+        for j, budget in enumerate(budgets):
+            left = left[np.bitwise_count(difference[left] & masks[chain[left], j]) <= budget]
+        return left[np.bitwise_count(difference[left]) <= max_distance]
+
+    return test
 
 
-def _run_links(run: np.ndarray, chain: int, masks: np.ndarray, budgets: list[int], most: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """A spanning forest of the links among one key's fingerprints, by breadth first."""
-    found, rest = [], run
+def _wide_test(most: int) -> Test:
+    """Positions within ``most`` bits of the whole sketch; half of it is looked at first."""
+
+    def test(difference: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        half = difference.shape[1] // 2
+        left = np.flatnonzero(np.bitwise_count(difference[:, :half]).sum(axis=1, dtype=np.int64) <= most)
+        return left[np.bitwise_count(difference[left]).sum(axis=1, dtype=np.int64) <= most]
+
+    return test
+
+
+def _run_links(run: np.ndarray, key: int, test: Test) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A spanning forest of the links among one key's fingerprints, by breadth first, as positions."""
+    found, rest = [], np.arange(len(run))
     while len(rest) > 1:
         waiting, rest = [rest[0]], rest[1:]
         while waiting and len(rest):
             node = waiting.pop()
-            hits = _linked(rest ^ node, np.full(len(rest), chain), masks, budgets, most)
+            hits = test(run[rest] ^ run[node], np.full(len(rest), key))
             if len(hits):
                 reached = rest[hits]
                 found.append((np.full(len(hits), node), reached))
@@ -120,33 +157,32 @@ def _run_links(run: np.ndarray, chain: int, masks: np.ndarray, budgets: list[int
     return found
 
 
-def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """(a, b) links that join all fingerprints at ``max_distance`` bits or fewer.
+def _linked_runs(keyed: DataFrame, words: list[str], test: Test) -> DataFrame:
+    """(a, b) links among rows (key, node, words...) that share a key and pass the test.
 
-    ``distinct`` has one row per fingerprint ``fp``. A key's fingerprints are
-    compared in one sorted run, and of its links a spanning forest is given
-    out, so the output is linear in the index. Keys with more than ``CHUNK``
-    fingerprints are dealt in chunks, and each pair of chunks is a run of its
-    own: no task holds more than two chunks, and no pair is left out.
+    A key's rows are compared in one sorted run, and of its links a spanning forest is
+    given out, so the output is linear in the index. Keys with more than ``CHUNK`` rows
+    are dealt in chunks, and each pair of chunks is a run of its own: no task holds more
+    than two chunks, and no pair is left out.
     """
-    masks, budgets = _chain_masks(max_distance)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
+        held: list[np.ndarray] | None = None
         for batch in batches:
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            held = [np.concatenate((x, y.astype(x.dtype))) for x, y in zip(held, new)]
-            key, part, _ = held
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+            new = [*new[:3], np.stack(new[3:], axis=1).view(np.uint64)]
+            held = new if held is None else [np.concatenate(pair) for pair in zip(held, new)]
+            key, part = held[:2]
             last = int(np.argmax((key == key[-1]) & (part == part[-1])))
             if last:
                 yield from edges(*(x[:last] for x in held))
                 held = [x[last:] for x in held]
-        yield from edges(*held)
+        if held is not None:
+            yield from edges(*held)
 
-    def edges(key: np.ndarray, part: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def edges(key: np.ndarray, part: np.ndarray, node: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(key) < 2:
             return
-        chain = (key >> 57).astype(np.int64)
         heads = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]))))
         lengths = np.diff(np.append(heads, len(key)))
         run = np.repeat(np.arange(len(heads)), lengths)
@@ -154,33 +190,50 @@ def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
         found = []
         for step in range(1, min(SHORT_RUN, int(lengths.max()))):
             at = np.flatnonzero(short[:-step] & (run[step:] == run[:-step]))
-            hits = at[_linked(fp[at] ^ fp[at + step], chain[at], masks, budgets, max_distance)]
-            found.append((fp[hits], fp[hits + step]))
+            hits = at[test(bits[at] ^ bits[at + step], key[at])]
+            found.append((hits, hits + step))
         for head, length in zip(heads[lengths > SHORT_RUN].tolist(), lengths[lengths > SHORT_RUN].tolist()):
-            found += _run_links(fp[head : head + length], int(chain[head]), masks, budgets, max_distance)
-        a, b = (np.concatenate(x).view(np.int64) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-        if len(a):
+            for left, right in _run_links(bits[head : head + length], int(key[head]), test):
+                found.append((left + head, right + head))
+        if sum(len(left) for left, _ in found):
+            a, b = (node[np.concatenate(side)] for side in zip(*found))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    keyed = _keys(distinct, max_distance)
     crowded = tables.cut(
         keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
         .select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")),
         "crowded",
     )
+    others = F.array_remove(F.sequence(F.lit(0), F.col("chunks") - 1).cast("array<long>"), F.col("own"))
     dealt = (
         tables.lookup(keyed, crowded, ["key"])
-        .withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("chunks", F.lit(1))))
-        .withColumn(
-            "other",
-            F.explode(F.when(F.col("chunks") > 1, F.array_remove(F.sequence(F.lit(0), F.col("chunks") - 1).cast("array<long>"), F.col("own")))
-                      .otherwise(F.array(F.lit(0).cast("long")))),
-        )
-        .select("key", (F.least("own", "other") * F.lit(1 << 31) + F.greatest("own", "other")).alias("part"), "fp")
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1))))
+        .withColumn("other", F.explode(F.when(F.col("chunks") > 1, others).otherwise(F.array(F.lit(0).cast("long")))))
+        .select("key", (F.least("own", "other") * F.lit(1 << 31) + F.greatest("own", "other")).alias("part"), "node", *words)
+    )
+    runs = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "node")
+    return runs.mapInArrow(compare, "a long, b long")
+
+
+def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """(a, b) links that join all fingerprints at ``max_distance`` bits or fewer; one row per ``fp``."""
+    keyed = distinct.select(F.explode(_keys(F.col("fp"), max_distance)).alias("key"), F.col("fp").alias("node"), "fp")
+    return _linked_runs(keyed, ["fp"], _chain_test(max_distance))
+
+
+def _named(hashed: DataFrame, distinct: DataFrame, joined: DataFrame, node: str) -> DataFrame:
+    """``hashed`` plus ``component_id``: the smallest id of all rows whose nodes are joined."""
+    joined = joined.select(F.col("node").alias(node), "root")
+    members = tables.lookup(distinct.select(node, "rep"), joined, [node], how="inner")
+    smallest = members.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = tables.lookup(joined, tables.cut(smallest, "smallest"), ["root"]).select(node, "component_id")
+    classes = tables.cut(
+        tables.lookup(distinct.select(node, "rep"), tables.cut(named, "named"), [node]).select(
+            node, F.coalesce("component_id", "rep").alias("component_id")
+        ),
+        "classes",
     )
-    runs = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "fp")
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-    return runs.mapInArrow(compare, schema)
+    return tables.lookup(hashed, classes, [node])
 
 
 def near_duplicates(
@@ -203,35 +256,72 @@ def near_duplicates(
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     hashed = tables.cut(fingerprints(keyed, shingle_words=shingle_words).drop("text"), "fingerprints")
     distinct = tables.cut(hashed.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    joined = components(links(distinct.select("fp"), max_distance)).select(F.col("node").alias("fp"), "root")
-    members = tables.lookup(distinct, joined, ["fp"], how="inner")
-    smallest = members.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = tables.lookup(joined, tables.cut(smallest, "smallest"), ["root"]).select("fp", "component_id")
-    classes = tables.cut(
-        tables.lookup(distinct, tables.cut(named, "named"), ["fp"]).select(
-            "fp", F.coalesce("component_id", "rep").alias("component_id")
-        ),
-        "classes",
-    )
-    return tables.lookup(hashed, classes, ["fp"]).select(
+    joined = components(links(distinct.select("fp"), max_distance))
+    return _named(hashed, distinct, joined, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id.
+def most_bits(similarity: float, bits: int = WIDE_WORDS * BITS) -> int:
+    """Differing bits that SimHash expects of sets of equal size at a Jaccard similarity."""
+    return math.floor(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
 
-    Rows that repeat that id keep one row. Of documents without id, one per fingerprint
-    stays where its whole component has no id.
+def similar_documents(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    shingle_words: int = WIDE_SHINGLE_WORDS,
+    similarity: float = WIDE_SIMILARITY,
+) -> DataFrame:
+    """(doc_id, fingerprint, component_id) where the wide sketch estimates a similarity of at least ``similarity``.
+
+    A sketch of 256 bits is four SimHash words of the same shingles. Each word is indexed
+    by its pigeonring keys, forty in all, and rows that share a key are compared over the
+    whole sketch. A pair at the threshold shares no key in about one case of six, nearer
+    pairs hardly ever do; farther pairs never link but by the sketch's own error, about two
+    hundredths of the bits. ``fingerprint`` is the sketch's hash. Odd rows are treated as in
+    ``near_duplicates``.
+    """
+
+    @F.pandas_udf("array<long>")
+    def sketched(texts: pd.Series) -> pd.Series:
+        found = [_majority(_shingle_hashes(x, shingle_words), WIDE_WORDS) for x in texts]
+        return pd.Series(list(np.array(found, np.uint64).view(np.int64)), dtype=object)
+
+    words = [f"w{i}" for i in range(WIDE_WORDS)]
+    wide = docs.select(F.col(doc_id).alias("doc_id"), sketched(F.col(text)).alias("sketch")).select(
+        "doc_id", *(F.col("sketch")[i].alias(w) for i, w in enumerate(words))
+    )
+    hashed = tables.cut(wide.withColumn("node", F.xxhash64(*words)), "sketches")
+    distinct = tables.cut(hashed.groupBy("node", *words).agg(F.min("doc_id").alias("rep")), "distinct")
+    per_word = 2 * (MAX_DISTANCE + 1)
+    keys = F.flatten(F.array(*(_keys(F.col(w), MAX_DISTANCE, per_word * i) for i, w in enumerate(words))))
+    keyed = distinct.select(F.explode(keys).alias("key"), "node", *words)
+    joined = components(_linked_runs(keyed, words, _wide_test(most_bits(similarity))))
+    return _named(hashed.select("doc_id", "node"), distinct, joined, "node").select(
+        "doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each group of similar ones: the one with the smallest id.
+
+    Rows that repeat that id keep one row. Of documents without id, one per text stays
+    where its whole group has no id.
     """
-    found = near_duplicates(docs, doc_id, text, **options)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     rows = packed(docs, doc_id=F.col(doc_id), text=F.col(text))
+    found = tables.cut(similar_documents(rows.drop("_in")), "similar")
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     first = tables.lookup(rows.drop("text"), tables.cut(kept, "kept"), ["doc_id"], how="left_semi").dropDuplicates(["doc_id"])
-    unnamed = rows.where(F.col("doc_id").isNull())
-    if unnamed.isEmpty():
+    if found.where("component_id is null").isEmpty():
         return first.select("_in.*")
-    hashed = fingerprints(unnamed, shingle_words=options.get("shingle_words", SHINGLE_WORDS))
-    lone = found.where(F.col("component_id").isNull()).select(F.conv("fingerprint", 16, -10).cast("long").alias("fp")).distinct()
-    rest = tables.lookup(hashed, lone, ["fp"], how="left_semi").dropDuplicates(["fp"])
+    lone = rows.where(F.col("doc_id").isNull()).withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    named = rows.where(F.col("doc_id").isNotNull())
+    both = lone.select(F.concat(F.lit("~"), "digest").alias("key"), "text").unionByName(
+        named.select(F.concat(F.lit("!"), F.col("doc_id").cast("string")).alias("key"), "text")
+    )
+    lonely = similar_documents(both, "key").where(F.col("component_id").startswith("~") & (F.col("doc_id") == F.col("component_id")))
+    digests = lonely.select(F.substring("doc_id", 2, 64).alias("digest")).distinct()
+    rest = tables.lookup(lone, tables.cut(digests, "lonely"), ["digest"], how="left_semi").dropDuplicates(["digest"])
     return first.select("_in").unionByName(rest.select("_in")).select("_in.*")

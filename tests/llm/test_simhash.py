@@ -117,3 +117,32 @@ def test_whole_table_against_brute_force(spark):
         first[want[fp]] = min(doc, first.get(want[fp], doc))
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in QUERIES["op1_simhash_near_dedup"](spark, "/root/testdata/sf0.001").collect()}
     assert got == {doc: (f"{fp:016x}", first[want[fp]]) for doc, fp in prints.items()}
+
+
+def shingles(text, k=5):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def test_similar_documents_are_those_of_high_jaccard(spark, documents):
+    rng = random.Random(11)
+    rows, pairs = [], []
+    for i in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        near, far = list(words), list(words)
+        for at in rng.sample(range(300), rng.randint(0, 3)):
+            near[at] = f"n{rng.randrange(10**6)}"
+        for at in rng.sample(range(300), 60):
+            far[at] = f"f{rng.randrange(10**6)}"
+        rows += [(10 * i, " ".join(words)), (10 * i + 1, " ".join(near)), (10 * i + 2, " ".join(far))]
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(documents(rows, extra=True)).collect()}
+    texts = dict(rows)
+
+    def jaccard(a, b):
+        x, y = shingles(texts[a]), shingles(texts[b])
+        return len(x & y) / len(x | y)
+
+    near = [10 * i for i in range(60) if jaccard(10 * i, 10 * i + 1) >= 0.9]
+    assert len(near) > 50 and sum(found[i] == found[i + 1] for i in near) >= 0.98 * len(near)
+    assert not any(found[10 * i + 2] != 10 * i + 2 and jaccard(10 * i, 10 * i + 2) < 0.6 for i in range(60))
+    assert simhash.most_bits(1.0) == 0 and simhash.most_bits(0.8) == 38
