@@ -24,7 +24,7 @@ def vector_scores(query: str = "vector", doc: str = "vector") -> Scorer:
     """Cosine similarity of two vector columns."""
 
     def score(queries: pd.DataFrame, docs: pd.DataFrame) -> np.ndarray:
-        return _unit(queries[query]) @ _unit(docs[doc]).T
+        return cosines(queries[query], docs[doc])
 
     return score
 
@@ -60,14 +60,23 @@ def squared_distances(query: str = "vector", doc: str = "vector") -> Scorer:
     return score
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    matrix = np.stack(vectors.tolist()).astype(float)
+def cosines(left: pd.Series, right: pd.Series) -> np.ndarray:
+    """Cosine similarity of every vector with every other; missing and zero vectors are near nothing."""
+    width = max((0 if v is None else len(v) for side in (left, right) for v in side), default=0)
+    return _unit(left, width) @ _unit(right, width).T
+
+
+def _unit(vectors: pd.Series, width: int) -> np.ndarray:
+    matrix = np.zeros((len(vectors), width))
+    for row, vector in zip(matrix, vectors):
+        if vector is not None and len(vector):
+            row[:] = vector
     lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
     return matrix / np.where(lengths == 0, 1.0, lengths)
 
 
 def _blocks(rows: DataFrame, cells: str, block_rows: int) -> int:
-    count, elements = rows.agg(F.count("*"), F.coalesce(F.sum(F.size(cells)), F.lit(0))).first()
+    count, elements = rows.agg(F.count("*"), F.coalesce(F.sum(F.greatest(F.size(cells), F.lit(0))), F.lit(0))).first()
     return max(1, -(-count // block_rows), -(-elements // S.BLOCK_CELLS))
 
 
@@ -79,13 +88,14 @@ def top_k(
     digits: int | None = None,
     block_rows: int = S.KNN_BLOCK_ROWS,
     cells: str = "vector",
+    at_least: float | None = None,
 ) -> DataFrame:
     """Best ``k`` docs per query as (query_id bigint, doc_id bigint, score, rank).
 
     ``queries`` has ``query_id`` and ``docs`` has ``doc_id``, both bigint, plus
     what the scorer reads. Ties go to the lower doc_id. ``digits`` rounds the
     score before ranking. A block is bounded in rows and in elements of the
-    array column ``cells``.
+    array column ``cells``. Scores below ``at_least`` are no matches.
     """
     doc_blocks, query_blocks = (_blocks(side, cells, block_rows) for side in (docs, queries))
     spread_docs = docs.withColumn("_db", F.pmod(F.xxhash64("doc_id"), F.lit(doc_blocks))).withColumn(
@@ -106,13 +116,14 @@ def top_k(
             scores = score(some, ds)
             if digits is not None:
                 scores = np.floor(scores * 10**digits + 0.5) / 10**digits
-            order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            order = np.argsort(-scores, axis=1, kind="stable")[:, :k] if k > 1 else scores.argmax(axis=1)[:, None]
             parts.append(pd.DataFrame({
                 "query_id": np.repeat(some["query_id"].to_numpy(), order.shape[1]),
                 "doc_id": ids[order].ravel(),
                 "score": np.take_along_axis(scores, order, axis=1).ravel(),
             }))
-        return pd.concat(parts)
+        found = pd.concat(parts)
+        return found if at_least is None else found[found["score"] >= at_least]
 
     local = spread_queries.groupBy("_qb", "_db").cogroup(spread_docs.groupBy("_qb", "_db")).applyInPandas(
         best, "query_id bigint, doc_id bigint, score double"

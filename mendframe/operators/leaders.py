@@ -1,83 +1,86 @@
 """Threshold clustering against fixed leaders.
 
 A vector joins the first leader, in item order, whose cosine similarity
-reaches the threshold; a vector that meets none becomes a leader. The result
-is that of the sequential first-fit rule and does not depend on partitioning.
+reaches the threshold; a vector that meets no earlier leader becomes one. Leaders
+do not move while items join them, so the result does not depend on partitioning.
 
-Each round takes the earliest still unassigned vectors (a bounded batch),
-finds the leaders among them, and lets every unassigned vector test only those
-new leaders in Arrow batches. That is exact: no later vector can become a
-leader before the batch, and all of the rest already failed every older
-leader. The batch grows from round to round.
+All undecided items are decided side by side, in rounds: an item without an
+earlier undecided neighbour leads, and what a new leader reaches is settled.
+Neighbours are tested block against block; a block pair gives out one row per
+item, so neither pairs nor vectors pass through the driver. Rounds follow the
+longest chain of items that each wait for an earlier one, not the number of
+leaders. Once the undecided items fit into one bounded task, that task ends it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from mendframe import settings as S
-from mendframe.functions import tables
+from mendframe.functions import blocks, tables
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    matrix = np.stack(vectors.tolist()).astype(float)
-    lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return matrix / np.where(lengths == 0, 1.0, lengths)
-
-
-def _first_fit(matrix: np.ndarray, threshold: float) -> list[int]:
-    """Positions of the leaders among a batch in order."""
-    similar = matrix @ matrix.T >= threshold
+def _first_fit(parts: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+    """The leaders among a bounded number of rows, item by item."""
+    held = list(parts)
+    if not held:
+        return
+    rows = pd.concat(held).sort_values("item", ignore_index=True)
+    similar = blocks.cosines(rows["vector"], rows["vector"]) >= threshold
     leaders: list[int] = []
-    for row in range(len(matrix)):
+    for row in range(len(rows)):
         if not similar[row, leaders].any():
             leaders.append(row)
-    return leaders
+    yield rows.loc[leaders, ["item", "vector"]]
+
+
+def _earliest(items: DataFrame, others: DataFrame, threshold: float) -> DataFrame:
+    """(item, near): the earliest of ``others`` before an item that reaches the threshold; written."""
+
+    def near(queries: pd.DataFrame, docs: pd.DataFrame) -> np.ndarray:
+        similar = blocks.cosines(queries["vector"], docs["vector"]) >= threshold
+        earlier = docs["doc_id"].to_numpy()[None, :] < queries["query_id"].to_numpy()[:, None]
+        return (similar & earlier).astype(float)
+
+    best = blocks.top_k(
+        items.withColumnRenamed("item", "query_id"), others.withColumnRenamed("item", "doc_id"), near, 1, at_least=1.0
+    )
+    return tables.cut(best.select(F.col("query_id").alias("item"), F.col("doc_id").alias("near")), "near")
 
 
 def leader_clusters(
     items: DataFrame, threshold: float = S.SIMILARITY_THRESHOLD, batch: int = S.LEADER_BATCH
 ) -> DataFrame:
-    """Add ``leader`` (the ``item`` value of the leader) to (item bigint, vector).
+    """(item, leader) of (item bigint, vector): the ``item`` value of each item's leader.
 
-    ``item`` is unique and gives the order.
+    ``item`` is unique and gives the order. ``batch`` is the number of items one
+    task may hold at the end; it does not change the result. A zero or missing
+    vector is near no other unless the threshold is zero or less. No items: no rows.
     """
-    spark = items.sparkSession
-    todo = tables.cut(items.select("item", "vector"), "leaders")
-    rounds: list[DataFrame] = []
-    while True:
-        head = todo.orderBy("item").limit(batch).toPandas()  # bounded by the batch size
-        if head.empty:
-            break
-        matrix = _matrix(head["vector"])
-        chosen = _first_fit(matrix, threshold)
-        shared = spark.sparkContext.broadcast((head["item"].to_numpy()[chosen], matrix[chosen]))
-
-        def assign(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, leaders = shared.value
-            for rows in batches:
-                if rows.empty:
-                    continue
-                fits = _matrix(rows["vector"]) @ leaders.T >= threshold
-                # a leader always fits itself; rounding must not lose it
-                fits |= rows["item"].to_numpy()[:, None] == ids[None, :]
-                first = ids[fits.argmax(axis=1)]
-                rows["leader"] = pd.Series(first, index=rows.index).where(fits.any(axis=1)).astype("Int64")
-                yield rows
-
-        assigned = tables.cut(
-            todo.mapInPandas(assign, "item bigint, vector array<double>, leader bigint"), "leaders"
-        )
-        rounds.append(assigned.where("leader IS NOT NULL").select("item", "leader"))
-        if len(head) < batch:  # the batch held everything
-            break
-        todo = assigned.where("leader IS NULL").select("item", "vector")
-        batch = min(batch * 2, S.LEADER_BATCH_MAX)
-    if not rounds:
-        return items.select("item", F.col("item").alias("leader")).limit(0)
-    return reduce(DataFrame.unionByName, rounds)
+    every = tables.cut(items.select("item", F.coalesce("vector", F.array().cast("array<double>")).alias("vector")), "items")
+    undecided, found, settled = every, [], []
+    while undecided.count() > batch:
+        waiting = _earliest(undecided, undecided, threshold).select("item")
+        heads = tables.cut(tables.lookup(undecided, waiting, ["item"], "left_anti"), "heads")
+        rest = tables.cut(tables.lookup(undecided, waiting, ["item"], "left_semi"), "rest")
+        reached = _earliest(rest, heads, threshold)
+        found.append(heads)
+        settled.append(reached)
+        undecided = tables.cut(tables.lookup(rest, reached.select("item"), ["item"], "left_anti"), "undecided")
+    last = undecided.repartition(1).mapInPandas(partial(_first_fit, threshold=threshold), every.schema)
+    for heads in found:
+        last = last.unionByName(heads)
+    leaders = tables.cut(last, "leaders")
+    # a leader of a later round may be the earlier item, so all are asked again
+    joined = _earliest(every, leaders, threshold)
+    for reached in settled:
+        joined = joined.unionByName(reached)
+    first = tables.cut(joined.groupBy("item").agg(F.min("near").alias("near")), "first")
+    own = leaders.select("item", F.col("item").alias("_own"))
+    placed = tables.lookup(tables.lookup(every.select("item"), own, ["item"]), first, ["item"])
+    return placed.select("item", F.coalesce("_own", "near", "item").alias("leader"))

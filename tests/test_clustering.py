@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF
 from mendframe.functions import blocks, tables, vectors
-from mendframe.operators import clustering as C, validation as V
+from mendframe.operators import clustering as C, leaders, validation as V
 from mendframe.operators.leaders import leader_clusters
 from mendframe.plans import samples
 
@@ -39,6 +39,19 @@ def test_leaders_equal_the_sequential_rule(embeddings, threshold, batch):
     assert [got[r.item] for r in rows] == [rows[j].item for j in want]
 
 
+def test_rounds_do_not_follow_the_leaders(spark, monkeypatch):
+    """Vectors that are near nothing all lead in the first round; missing ones lead, too."""
+    rows = [(i, [float(i == j) for j in range(150)]) for i in range(150)] + [(150, None), (151, [])]
+    asked = []
+    earliest = leaders._earliest
+    monkeypatch.setattr(leaders, "_earliest", lambda *a: asked.append(1) or earliest(*a))
+    items = spark.createDataFrame(rows, "item bigint, vector array<double>")
+    got = leader_clusters(items, 0.85, batch=10).collect()
+    assert sorted((r.item, r.leader) for r in got) == [(i, i) for i in range(152)]
+    assert len(asked) == 3  # two in the only round, one for the members
+    assert leader_clusters(items.limit(0)).count() == 0
+
+
 def test_block_search_equals_brute_force(embeddings, monkeypatch):
     rows = sorted(embeddings.collect())
     matrix = np.array([r.vector for r in rows])
