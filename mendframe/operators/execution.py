@@ -49,6 +49,34 @@ def check_contracts(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     )
 
 
+_CONTRACT_TYPES = {
+    "confidence_score": "double", "size": "bigint", "cache_hit": "boolean", "requires_human_review": "boolean",
+    "validation_checks": "array<string>",
+}
+
+
+def _with_contract(remediations: DataFrame) -> DataFrame:
+    """Remediations with every contract column, their ``missing_fields`` and ``_status``."""
+    lacking = missing_contract_fields(remediations.columns)
+    missing = F.array(*map(F.lit, lacking)).cast("array<string>")
+    if "missing_fields" in remediations.columns:
+        named = F.coalesce("missing_fields", F.array().cast("array<string>"))
+        missing = F.array_sort(F.array_union(named, missing))
+    rows = remediations.withColumns({c: F.lit(None).cast(_CONTRACT_TYPES.get(c, "string")) for c in lacking})
+    rows = rows.withColumn("missing_fields", missing)
+    broken = F.size("missing_fields") > 0
+    forced = {
+        "cluster_id": F.when(broken, F.coalesce("cluster_id", F.lit("unknown"))).otherwise(F.col("cluster_id")),
+        "cluster_uid": F.when(broken, F.coalesce("cluster_uid", F.lit("unknown"))).otherwise(F.col("cluster_uid")),
+        "requires_human_review": broken | F.col("requires_human_review"),
+        "risk_level": F.when(broken, F.lit("high")).otherwise(F.col("risk_level")),
+        "transformation_type": F.when(broken, F.lit("quarantine")).otherwise(F.col("transformation_type")),
+        "guardrail_action": F.when(broken, F.lit("quarantine")).otherwise(F.col("guardrail_action")),
+    }
+    status = F.when(broken, F.lit("invalid_contract")).otherwise(_base_status())
+    return rows.withColumns(forced).withColumn("_status", status)
+
+
 def _base_status() -> Column:
     held = (F.col("transformation_type") == "quarantine") | (F.col("guardrail_action") == "quarantine")
     return F.when(held, F.lit("quarantined")).otherwise(F.lit("staged"))
@@ -121,14 +149,12 @@ def stage(
     """(execution plan, staged rows).
 
     ``members`` are anomalies with ``cluster_id`` and ``member_id``. A cluster
-    whose code is refused or fails on any row stages nothing.
+    whose code is refused or fails on any row stages nothing. So does a record
+    that breaks the contract: one that names ``missing_fields``, as raw payloads do
+    after ``check_contracts``, or any record of a table that lacks a column.
     """
-    lacking = missing_contract_fields(remediations.columns)
-    if lacking:
-        raise ValueError(f"remediation table lacks {lacking}")
-    checked = remediations.withColumn("_status", _base_status()).withColumn(
-        "_code_error", F.when(F.col("_status") == "staged", code_error(F.col("code")))
-    )
+    checked = _with_contract(remediations)
+    checked = checked.withColumn("_code_error", F.when(F.col("_status") == "staged", code_error(F.col("code"))))
     checked = tables.cut(checked, "checked")
     runnable = checked.where("_status = 'staged' AND _code_error IS NULL")
     plan_side = runnable.select("cluster_id", "cluster_uid", "code", "fallback_value")
@@ -168,7 +194,7 @@ def stage(
         return F.when(failed, F.lit(value)).otherwise(F.col(column)).alias(column)
 
     changed = ("guardrail_action", "risk_level", "requires_human_review")
-    kept = [c for c in remediations.columns if c not in changed]
+    kept = [c for c in checked.columns if c not in (*changed, "missing_fields") and not c.startswith("_")]
     status = F.when(failed, F.lit("execution_failed")).otherwise(F.col("_status"))
     plan = plan.select(
         *kept,
@@ -178,7 +204,7 @@ def stage(
         F.coalesce("affected_rows", F.lit(0)).cast("bigint").alias("affected_rows"),
         F.col("size").cast("bigint").alias("member_count"),
         F.coalesce("unmatched_count", F.lit(0)).cast("bigint").alias("unmatched_count"),
-        F.array().cast("array<string>").alias("missing_fields"),
+        "missing_fields",
         error.alias("execution_error"),
     )
     return plan, staged

@@ -4,18 +4,19 @@ A vector joins the first leader, in item order, whose cosine similarity
 reaches the threshold; a vector that meets no earlier leader becomes one. Leaders
 do not move while items join them, so the result does not depend on partitioning.
 
-All undecided items are decided side by side, in rounds: an item without an
-earlier undecided neighbour leads, and what a new leader reaches is settled.
-Neighbours are tested block against block; a block pair gives out one row per
-item, so neither pairs nor vectors pass through the driver. Rounds follow the
-longest chain of items that each wait for an earlier one, not the number of
-leaders. Once the undecided items fit into one bounded task, that task ends it.
+Undecided items are decided in rounds of two steps. One task settles a bounded
+number of the earliest, which is all it takes where texts form families. Then all
+others are decided side by side: an item without an earlier undecided neighbour
+leads. After each step, whatever a new leader reaches is settled, too. Neighbours
+are tested block against block, and a block pair gives out one row per item at most,
+so neither pairs nor vectors pass through the driver. Rounds follow the longest
+chain of items that each wait for an earlier one, not the number of leaders.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -63,23 +64,31 @@ def leader_clusters(
     vector is near no other unless the threshold is zero or less. No items: no rows.
     """
     every = tables.cut(items.select("item", F.coalesce("vector", F.array().cast("array<double>")).alias("vector")), "items")
-    undecided, found, settled = every, [], []
-    while undecided.count() > batch:
-        waiting = _earliest(undecided, undecided, threshold).select("item")
-        heads = tables.cut(tables.lookup(undecided, waiting, ["item"], "left_anti"), "heads")
-        rest = tables.cut(tables.lookup(undecided, waiting, ["item"], "left_semi"), "rest")
-        reached = _earliest(rest, heads, threshold)
-        found.append(heads)
+    found, settled, unsure = [], [], []
+
+    def first_fit(rows: DataFrame) -> DataFrame:
+        return rows.repartition(1).mapInPandas(partial(_first_fit, threshold=threshold), every.schema)
+
+    def settle(rows: DataFrame, heads: DataFrame, earliest: bool) -> DataFrame:
+        """What new leaders leave undecided. If they are the earliest rows, no later leader comes before them."""
+        found.append(tables.cut(heads, "heads"))
+        rest = tables.cut(tables.lookup(rows, found[-1].select("item"), ["item"], "left_anti"), "rest")
+        reached = _earliest(rest, found[-1], threshold)
         settled.append(reached)
-        undecided = tables.cut(tables.lookup(rest, reached.select("item"), ["item"], "left_anti"), "undecided")
-    last = undecided.repartition(1).mapInPandas(partial(_first_fit, threshold=threshold), every.schema)
-    for heads in found:
-        last = last.unionByName(heads)
-    leaders = tables.cut(last, "leaders")
-    # a leader of a later round may be the earlier item, so all are asked again
-    joined = _earliest(every, leaders, threshold)
-    for reached in settled:
-        joined = joined.unionByName(reached)
+        if not earliest:
+            unsure.append(tables.lookup(rest, reached.select("item"), ["item"], "left_semi"))
+        return tables.cut(tables.lookup(rest, reached.select("item"), ["item"], "left_anti"), "undecided")
+
+    undecided = every
+    while undecided.count() > batch:
+        undecided = settle(undecided, first_fit(undecided.orderBy("item").limit(batch)), True)
+        if undecided.count() > batch:
+            waiting = _earliest(undecided, undecided, threshold).select("item")
+            undecided = settle(undecided, tables.lookup(undecided, waiting, ["item"], "left_anti"), False)
+    leaders = tables.cut(reduce(DataFrame.unionByName, found, first_fit(undecided)), "leaders")
+    # leaders of later steps may be the earlier items for these
+    again = tables.cut(reduce(DataFrame.unionByName, unsure, undecided), "unsure")
+    joined = reduce(DataFrame.unionByName, settled, _earliest(again, leaders, threshold))
     first = tables.cut(joined.groupBy("item").agg(F.min("near").alias("near")), "first")
     own = leaders.select("item", F.col("item").alias("_own"))
     placed = tables.lookup(tables.lookup(every.select("item"), own, ["item"]), first, ["item"])

@@ -331,8 +331,8 @@ def remediate(
 ) -> DataFrame:
     """One remediation per cluster.
 
-    ``responses`` holds external answers as (pattern_key, raw[, model_used]);
-    a cluster that needs one and has none is quarantined.
+    ``responses`` holds external answers as (pattern_key, raw[, model_used, answered_at]);
+    of several answers the newest counts. A cluster that needs one and has none is quarantined.
     """
     rows = profiled
     none = F.lit(None).cast(DECISION)
@@ -342,9 +342,9 @@ def remediate(
         rows = rows.withColumn("remembered", none)
     if responses is not None:
         model = F.col("model_used") if "model_used" in responses.columns else F.lit("external")
-        answers = responses.groupBy("pattern_key").agg(
-            F.min(F.struct("raw", model.alias("model_used"))).alias("answer")
-        )
+        age = [F.col("answered_at")] if "answered_at" in responses.columns else []
+        answer = F.struct("raw", model.alias("model_used"))
+        answers = responses.groupBy("pattern_key").agg(F.max_by(answer, F.struct(*age, answer)).alias("answer"))
         rows = rows.join(answers, "pattern_key", "left").select(*rows.columns, "answer.raw", "answer.model_used")
         rows = parse_responses(rows).withColumn("answered", F.when(F.col("raw").isNotNull(), F.col("parsed")))
     else:

@@ -643,9 +643,8 @@ def cluster_memory_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
-def blended_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rule context: rules, earlier remediations and stored clusters together."""
+def retrieved_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules, earlier remediations and stored clusters together."""
     profiled = order_clusters(*order_groups(spark, sf_dir))
     memory = tables.cut(customer_memory(spark, sf_dir, profiled), "memory")
     asked = retrieval.with_queries(profiled)
@@ -656,8 +655,23 @@ def blended_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
         retrieval.historical_documents(profiled, memory),
     ]
     extra = [tables.cut(e, "extra") for e in extra]
-    found = retrieval.retrieve(profiled, tables.cut(benchmark_rules(spark, sf_dir), "rules"), extra)
-    return found.select("cluster_id", F.col("rank").cast("bigint").alias("rank"), "id", "source", F.round("score", 4).alias("score"))
+    return retrieval.retrieve(profiled, tables.cut(benchmark_rules(spark, sf_dir), "rules"), extra)
+
+
+@query
+def blended_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieved_rules(spark, sf_dir).select(
+        "cluster_id", F.col("rank").cast("bigint").alias("rank"), "id", "source", F.round("score", 4).alias("score")
+    )
+
+
+@query
+def rule_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    context = retrieval.rule_context(retrieved_rules(spark, sf_dir))
+    return context.select(
+        "cluster_id", joined("retrieved_rules.id").alias("rules"), joined("retrieval_sources").alias("sources"),
+        F.size("retrieved_rules").cast("bigint").alias("documents"),
+    )
 
 
 @query
@@ -1026,6 +1040,40 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_summary(order_run(spark, sf_dir, relaxed=True))
 
 
+@query
+def two_run_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One delivery twice: the second run knows the families and reuses what the first decided."""
+    folder = tables.scratch_path(spark, "state")
+    rules = tables.cut(benchmark_rules(spark, sf_dir), "rules")
+    done = []
+    for number, day in ((1, "2024-01-01T00:00:00+00:00"), (2, "2024-01-02T00:00:00+00:00")):
+        result = runs.run_with_state(
+            dirty_orders(spark, sf_dir), orders_spec(), folder, day, order_by=F.col("id").cast("bigint"), rules=rules, stand_in=True
+        )
+        entries = state.scan_memory(spark, f"{folder}/memory").agg(F.count("*").alias("log_entries"))
+        vectors_held = state.load_table(spark, f"{folder}/vectors", state.VECTORS).agg(F.count("*").alias("stored_vectors"))
+        totals = tables.one_row(entries.join(vectors_held, F.lit(True)))  # one row each
+        seen = result.remediations.join(result.registry.select("pattern_key", "seen_count"), "pattern_key")
+        done.append(seen.join(F.broadcast(totals), F.lit(True)).select(
+            F.lit(number).alias("run"), "cluster_uid", "transformation_type", "confidence_score", "seen_count", "cache_hit",
+            "model_used", "log_entries", "stored_vectors",
+        ))
+    return done[0].unionByName(done[1])
+
+
+@query
+def run_invalid_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan over remediations of which half break the contract."""
+    members, groups = order_groups(spark, sf_dir)
+    decided = remediation.remediate(order_clusters(members, groups))
+    broken = F.when(F.col("cluster_ord") % 2 == 0, F.array(F.lit("size"), F.lit("code")))
+    plan, _ = execution.stage(tables.cut(decided.withColumn("missing_fields", broken), "decided"), members)
+    return plan.select(
+        "cluster_id", joined("missing_fields").alias("missing_fields"), "execution_status", "transformation_type",
+        "affected_rows", "requires_human_review",
+    )
+
+
 # -- checks, records and streams ------------------------------------------------------------
 
 

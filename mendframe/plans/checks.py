@@ -458,7 +458,7 @@ d AS (SELECT doc_id, {_vector("text")} AS v FROM documents),
 s AS (SELECT cluster_id, doc_id, list_sum(list_transform(list_zip(q.v, d.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS distance FROM q, d)
 SELECT cluster_id, 'd' || doc_id AS id, round(greatest(0.0, 1.0 - least(1.0, distance)), 4) AS source_weight,
   row_number() OVER (PARTITION BY cluster_id ORDER BY distance, doc_id) AS rank FROM s QUALIFY rank <= 5""")
-_orders("blended_retrieval", _HISTORY + _ASKED + f""",
+_CHOSEN = _HISTORY + _ASKED + f""",
 stored AS (
   SELECT c.cluster_uid AS id, c.cluster_ord AS doc_ord, json_object('cluster_uid', c.cluster_uid, 'runtime_cluster_id', c.cluster_id,
     'pattern_key', c.pattern_key, 'size', c.size, 'target_column', c.column_name,
@@ -489,14 +489,34 @@ measured AS (
 blended AS (
   SELECT *, round(0.2::DOUBLE * w + 0.3::DOUBLE * len(list_intersect(qt, dt)) / greatest(len(qt) + len(dt) - len(list_intersect(qt, dt)), 1)
     + 0.5::DOUBLE * c, 4) AS score FROM measured
-)
+),
+chosen AS (
 SELECT cluster_id, rank, id, source, score FROM (
   SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, tier, doc_ord) AS rank FROM blended WHERE NOT fast
 ) WHERE rank <= 5
 UNION ALL
 SELECT cluster_id, rank, id, source, 0.3 FROM (
   SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY doc_ord) AS rank FROM measured WHERE fast AND tier = 0
-) WHERE rank <= 2""")
+) WHERE rank <= 2
+)
+"""
+_orders("blended_retrieval", _CHOSEN + "SELECT * FROM chosen")
+_orders("rule_context", _CHOSEN + """
+SELECT cluster_id, string_agg(id, '|' ORDER BY rank) AS rules, string_agg(DISTINCT source, '|' ORDER BY source) AS sources,
+  count(*) AS documents FROM chosen GROUP BY cluster_id""")
+_orders("two_run_memory", """,
+runs AS (SELECT *, run = 2 AND confidence_score >= 0.75 AS known FROM decided, (VALUES (1), (2)) AS r(run))
+SELECT run, cluster_uid, transformation_type, confidence_score, CAST(run AS BIGINT) AS seen_count, known AS cache_hit,
+  CASE WHEN known THEN 'cache/remediation_memory' WHEN model_used = 'none' THEN 'mock/static' ELSE model_used END AS model_used,
+  (SELECT count(*) FROM decided) * run AS log_entries, (SELECT count(*) FROM decided) * (run + 1) AS stored_vectors
+FROM runs""")
+_orders("run_invalid_contract", """
+SELECT cluster_id, CASE WHEN cluster_ord % 2 = 0 THEN 'code|size' ELSE '' END AS missing_fields,
+  CASE WHEN cluster_ord % 2 = 0 THEN 'invalid_contract' WHEN transformation_type = 'quarantine' THEN 'quarantined' ELSE 'staged' END AS execution_status,
+  CASE WHEN cluster_ord % 2 = 0 OR transformation_type = 'quarantine' THEN 'quarantine' ELSE transformation_type END AS transformation_type,
+  CASE WHEN cluster_ord % 2 = 0 OR transformation_type = 'quarantine' THEN 0 ELSE size END AS affected_rows,
+  cluster_ord % 2 = 0 OR requires_human_review AS requires_human_review
+FROM decided""")
 _orders("fast_path_remediation", """
 SELECT cluster_id, cluster_uid, transformation_type, code, confidence_score, reasoning, fallback_value,
   family AS inferred_anomaly_type, model_used, size, guardrail_action, risk_level, requires_human_review,

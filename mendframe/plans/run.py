@@ -8,10 +8,10 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mendframe.functions import tables
-from mendframe.operators import clustering, execution, guardrails, promotion, remediation, validation
+from mendframe.functions import tables, vectors
+from mendframe.operators import clustering, execution, guardrails, promotion, remediation, retrieval, validation
 from mendframe.settings import ValidationSpec
-from mendframe.sources import sinks
+from mendframe.sources import sinks, state
 
 
 @dataclass
@@ -33,8 +33,19 @@ class RunResult:
     promoted_clusters: DataFrame
     promoted_rows: DataFrame
     promotion: DataFrame
+    cluster_vectors: DataFrame
+    context: DataFrame | None
+    prompts: DataFrame
     extra: dict[str, Any] = field(default_factory=dict)
 
+    def save_state(self, folder: str, recorded_at: str) -> None:
+        """Leave the registry, the remediation log and the vectors for later runs."""
+        records = tables.cut(remediation.memory_records(self.remediations, recorded_at), "records")
+        documents = remediation.memory_document(records).withColumn("vector", vectors.hash_vector(F.col("document")))
+        state.save_table(state.upsert_vectors(self.cluster_vectors, documents), f"{folder}/vectors")
+        state.append_memory(records, f"{folder}/memory")
+        state.save_table(self.registry, f"{folder}/registry")
+
     @property
     def clean_rows(self) -> DataFrame:
         return validation.clean_rows(self.validated)
@@ -71,6 +82,9 @@ def run(
     pattern_cache: DataFrame | None = None,
     memory: DataFrame | None = None,
     responses: DataFrame | None = None,
+    rules: DataFrame | None = None,
+    cluster_memory: DataFrame | None = None,
+    stand_in: bool = False,
     guardrail_policy: Mapping[str, Any] | None = None,
     promotion_policy: Mapping[str, Any] | None = None,
     seen_at: str = "1970-01-01T00:00:00+00:00",
@@ -80,6 +94,11 @@ def run(
     Stage results of anomaly scale are written once to the shared folder, so
     later stages neither recompute them nor depend on an executor. Errors
     raise; nothing is swallowed.
+
+    ``rules`` (doc_ord, id, source, text, source_weight) gives every cluster its rule
+    context, together with ``memory`` and ``cluster_memory``, the stored vectors.
+    With ``stand_in``, clusters without an answer of their own in ``responses`` get
+    the fixed answer of their family.
     """
     spec = spec or ValidationSpec()
     validated = validation.validate(rows, spec, order_by)
@@ -90,6 +109,12 @@ def run(
     clusters = clustering.build_clusters(members, groups, distinct_patterns)
     clusters, new_registry = clustering.assign_uids(clusters, registry, seen_at)
     profiled = tables.cut(remediation.with_profile(clustering.mark_cache_hits(clusters, pattern_cache)), "clusters")
+    documents = clustering.cluster_documents(profiled)
+    cluster_vectors = tables.cut(state.upsert_vectors(cluster_memory, documents), "vectors")
+    context = None if rules is None else _context(profiled, rules, memory, cluster_vectors)
+    prompts = retrieval.prompt_payloads(profiled, context)
+    if stand_in:
+        responses = _with_stand_ins(profiled, context, responses)
     remediations = tables.cut(remediation.remediate(profiled, memory, responses), "remediations")
     plan, staged = execution.stage(remediations, members)
     plan = tables.cut(plan, "plan")
@@ -102,15 +127,57 @@ def run(
     guard_summary = tables.one_row(guardrails.guardrail_summary(
         decisions, breaker.circuit_breaker_active, breaker.circuit_breaker_reasons
     ))
-    state = promotion.promotion_state(guard_summary, promotion_policy)
-    ready = promotion.promoted_clusters(decisions, state.first().promotion_blocked)
+    judged = promotion.promotion_state(guard_summary, promotion_policy)
+    ready = promotion.promoted_clusters(decisions, judged.first().promotion_blocked)
     promoted = promotion.promoted_rows(staged, ready)
     return RunResult(
         validated=validated, summary=summary, anomalies=found, members=members, clusters=profiled,
         registry=new_registry, remediations=remediations, plan=plan, staged=staged, snapshot=snapshot,
         decisions=decisions, guard_summary=guard_summary, promoted_clusters=ready, promoted_rows=promoted,
-        promotion=promotion.promotion_summary(state, ready, promoted), extra={"groups": groups},
+        promotion=promotion.promotion_summary(judged, ready, promoted), cluster_vectors=cluster_vectors,
+        context=context, prompts=prompts, extra={"groups": groups},
+    )
+
+
+def _context(profiled: DataFrame, rules: DataFrame, memory: DataFrame | None, stored: DataFrame) -> DataFrame:
+    """Rule context of every cluster; the extra documents are at most k per cluster and kind."""
+    numbered = tables.cut(tables.ranked(stored, ["id"], "doc_ord"), "stored")
+    extra = [retrieval.cluster_memory_documents(retrieval.with_queries(profiled), numbered)]
+    if memory is not None:
+        extra.append(retrieval.historical_documents(profiled, memory))
+    found = retrieval.retrieve(profiled, rules, [tables.cut(documents, "extra") for documents in extra])
+    return tables.cut(retrieval.rule_context(found), "context")
+
+
+def _with_stand_ins(profiled: DataFrame, context: DataFrame | None, responses: DataFrame | None) -> DataFrame:
+    """Answers with a fixed one for every pattern that has none."""
+    if context is not None:
+        profiled = profiled.join(context.select("cluster_id", "top_rule"), "cluster_id", "left")
+    fixed = remediation.static_answers(profiled)
+    if responses is None:
+        return fixed
+    fresh = fixed.join(responses.select("pattern_key").distinct(), "pattern_key", "left_anti")
+    return responses.unionByName(fresh, allowMissingColumns=True)
+
+
+def run_with_state(
+    rows: DataFrame, spec: ValidationSpec | None, folder: str, seen_at: str, **options: Any
+) -> RunResult:
+    """A run that knows what earlier runs left in ``folder`` and leaves its own there.
+
+    ``options`` are those of ``run``. The state is saved after all stages are done, so a
+    run that fails leaves the state as it was.
+    """
+    spark = rows.sparkSession
+    result = run(
+        rows, spec, seen_at=seen_at,
+        registry=state.load_registry(spark, f"{folder}/registry"),
+        memory=state.scan_memory(spark, f"{folder}/memory"),
+        cluster_memory=state.load_table(spark, f"{folder}/vectors", state.VECTORS),
+        **options,
     )
+    result.save_state(folder, seen_at)
+    return result
 
 
 def run_summary(result: RunResult) -> DataFrame:

@@ -161,7 +161,7 @@ TRUSTED_FILE_BYTES = 4 << 20  # a written table of this file size is small witho
 ONE_TASK_ROWS = 200_000  # narrow rows that one task may sort
 HOT_KEYS = 1_000  # heaviest keys that are taken out of a shuffle join
 SALTS = 1_024
-LEADER_BATCH = 4_096  # undecided vectors that one task may settle at the end
+LEADER_BATCH = 1_024  # undecided vectors that one task settles at a time
 KNN_BLOCK_ROWS = 20_000
 BLOCK_CELLS = 2_000_000  # array elements of one block held in a task
 SAMPLE_LOOKAHEAD = 50  # rows per cluster looked at first for distinct samples

@@ -23,10 +23,20 @@ MEMORY = (
 VECTORS = "id string, vector array<double>, document string, metadata map<string,string>"
 
 
+def _located(spark: SparkSession, folder: str) -> tuple:
+    """A folder and its file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path, system = _located(spark, folder)
+    return system.exists(path)
+
+
 def _versions(spark: SparkSession, folder: str) -> list[int]:
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    path, system = _located(spark, folder)
     if not system.exists(path):
         return []
     done = []
@@ -70,10 +80,12 @@ def append_memory(records: DataFrame, folder: str) -> None:
 
 
 def scan_memory(spark: SparkSession, folder: str) -> DataFrame:
-    """Remediation log in append order (``mem_ord``); bad lines are skipped.
+    """Remediation log in append order (``mem_ord``), empty before its first entry; bad lines are skipped.
 
     A memory id starts with its time, so time and id give the order.
     """
+    if not _exists(spark, folder):
+        return spark.createDataFrame([], f"{MEMORY}, mem_ord string")
     rows = spark.read.schema(MEMORY).json(folder, mode="DROPMALFORMED").where("memory_id IS NOT NULL")
     order = F.concat_ws("|", F.coalesce("timestamp_utc", F.lit("")), "memory_id")
     return rows.withColumn("mem_ord", order)
