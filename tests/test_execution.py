@@ -143,3 +143,28 @@ def test_reviews(spark):
     reviews = spark.createDataFrame([("a", "approve", "9"), ("b", "reject", None)], "member_id string, decision string, new_value string")
     rows = {r.member_id: (r.review_status, r.reviewed_value) for r in quality.review_quarantine(held, reviews).collect()}
     assert rows == {"a": ("approved", "9"), "b": ("rejected", None), "c": ("pending", None)}
+
+
+def test_stage_marks_records_that_break_the_contract(spark):
+    """A table that lacks a column has no valid record; nothing is staged and nothing raises."""
+    rows = spark.createDataFrame(
+        [("c1", "u1", "rule", "lambda x: x", 2), (None, None, "rule", "lambda x: x", 1)],
+        "cluster_id string, cluster_uid string, transformation_type string, code string, size bigint",
+    )
+    whole = rows.withColumns({
+        "confidence_score": F.lit(0.9), "reasoning": F.lit(""), "fallback_value": F.lit("null"), "cache_hit": F.lit(False),
+        "inferred_anomaly_type": F.lit("type_cast"), "model_used": F.lit("m"), "pattern_key": F.lit("p"),
+        "guardrail_action": F.lit("auto_apply_with_audit"), "risk_level": F.lit("low"),
+        "requires_human_review": F.lit(False), "validation_checks": F.array(F.lit("schema_check")),
+    })
+    members = spark.createDataFrame(
+        [("m1", "c1", "a", "1"), ("m2", "c1", "a", None)], "member_id string, cluster_id string, column_name string, value string"
+    )
+    plan, staged = X.stage(whole.drop("code", "risk_level"), members)
+    assert staged.count() == 0
+    found = {(r.cluster_id, r.execution_status, tuple(r.missing_fields), r.risk_level, r.requires_human_review) for r in plan.collect()}
+    assert found == {(c, "invalid_contract", ("code", "risk_level"), "high", True) for c in ("c1", "unknown")}
+    plan, staged = X.stage(whole.where("cluster_id = 'c1'"), members)
+    assert [(r.execution_status, list(r.missing_fields), r.affected_rows) for r in plan.collect()] == [("staged", [], 2)]
+    summary = X.execution_summary(X.stage(whole.drop("code"), members)[0]).first()
+    assert (summary.total, summary.invalid_contract, summary.quarantined, summary.applied_rows) == (2, 2, 0, 0)

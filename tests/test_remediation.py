@@ -111,3 +111,12 @@ def test_rule_context_and_prompt(spark):
     assert by["f"] == [("r_0", 0.3), ("r_1", 0.3)] and len(by["s"]) == 3
     payload = retrieval.prompt_payloads(both, retrieval.rule_context(found)).where("cluster_id = 'f'").first().payload
     assert '"quarantine_if_ambiguous":true' in payload and '"retrieval_sources":["rules.txt"]' in payload
+
+
+def test_newest_answer_counts(spark):
+    def answer(code):
+        return '{"transformation_type": "lambda", "confidence_score": 0.9, "code": "%s"}' % code
+
+    rows = [("p", answer("lambda x: 'new'"), 3), ("p", answer("lambda x: 'a'"), 1), ("p", answer("lambda x: 'z'"), 2)]
+    answers = spark.createDataFrame(rows, "pattern_key string, raw string, answered_at bigint")
+    assert R.remediate(profile(spark, ["abc"]), responses=answers).first().code == "lambda x: 'new'"
