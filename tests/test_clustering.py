@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF
+from inputs import SF
 from mendframe.functions import blocks, tables, vectors
 from mendframe.operators import clustering as C, leaders, validation as V
 from mendframe.operators.leaders import leader_clusters

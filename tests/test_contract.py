@@ -2,7 +2,7 @@ import pytest
 
 import __spark_entry__ as contract
 from compare import check_engine, compare
-from conftest import SF
+from inputs import SF
 from mendframe.plans import samples
 from mendframe.settings import ValidationSpec
 from mendframe.streaming import lanes

@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from conftest import SF
+from inputs import SF
 from mendframe.functions import tables, text as tx
 from mendframe.operators import validation as V
 from mendframe.plans import samples
