@@ -19,9 +19,12 @@ BITS = 64
 SEED = 42
 SHINGLE_WORDS = 4
 MAX_DISTANCE = 4
-WIDE_WORDS = 4  # 64-bit words of the wide sketch
+WIDE_WORDS = 5  # 64-bit words of the wide sketch; each has index keys of its own
+COMPARED_WORDS = 3  # words of it that travel with the keys and are compared
 WIDE_SHINGLE_WORDS = 5
-WIDE_SIMILARITY = 0.8  # of the shingle sets (Jaccard), as the wide sketch estimates it
+WIDE_SIMILARITY = 0.8  # of the shingle sets (Jaccard)
+SPREAD = 2.0  # standard deviations above the expected distance that still make a candidate
+FIRST_CHECKS = 2  # candidates per document whose texts are compared first
 CHUNK = 8_192  # fingerprints of one index key that meet at most once in a task, beside another chunk
 SHORT_RUN = 16  # runs of a key up to this length are compared all at once
 
@@ -131,12 +134,10 @@ def _chain_test(max_distance: int) -> Test:
 
 
 def _wide_test(most: int) -> Test:
-    """Positions within ``most`` bits of the whole sketch; half of it is looked at first."""
+    """Positions within ``most`` bits of the compared words."""
 
     def test(difference: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        half = difference.shape[1] // 2
-        left = np.flatnonzero(np.bitwise_count(difference[:, :half]).sum(axis=1, dtype=np.int64) <= most)
-        return left[np.bitwise_count(difference[left]).sum(axis=1, dtype=np.int64) <= most]
+        return np.flatnonzero(np.bitwise_count(difference).sum(axis=1, dtype=np.int64) <= most)
 
     return test
 
@@ -211,7 +212,8 @@ def _linked_runs(keyed: DataFrame, words: list[str], test: Test) -> DataFrame:
         .withColumn("other", F.explode(F.when(F.col("chunks") > 1, others).otherwise(F.array(F.lit(0).cast("long")))))
         .select("key", (F.least("own", "other") * F.lit(1 << 31) + F.greatest("own", "other")).alias("part"), "node", *words)
     )
-    runs = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "node")
+    # another order for each key, so that the forests of a group differ
+    runs = dealt.repartition("key", "part").sortWithinPartitions("key", "part", F.xxhash64("node", "key"))
     return runs.mapInArrow(compare, "a long, b long")
 
 
@@ -262,9 +264,84 @@ def near_duplicates(
     )
 
 
-def most_bits(similarity: float, bits: int = WIDE_WORDS * BITS) -> int:
-    """Differing bits that SimHash expects of sets of equal size at a Jaccard similarity."""
-    return math.floor(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def most_bits(similarity: float, bits: int = COMPARED_WORDS * BITS) -> int:
+    """Differing bits of a candidate: what SimHash expects of sets of equal size at a Jaccard similarity, plus ``SPREAD``."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * share + SPREAD * math.sqrt(bits * share * (1 - share)))
+
+
+def _shingle_set(text: str | None, shingle_words: int) -> np.ndarray:
+    pieces = list(_shingle_hashes(text, shingle_words))
+    return np.unique(np.concatenate(pieces)) if pieces else np.zeros(0, np.uint64)
+
+
+def jaccard(left: str | None, right: str | None, shingle_words: int = WIDE_SHINGLE_WORDS) -> float:
+    """Similarity of the shingle sets of two whole texts; 1 where neither has words."""
+    a, b = _shingle_set(left, shingle_words), _shingle_set(right, shingle_words)
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared) if len(a) or len(b) else 1.0
+
+
+def _with_text(pairs: DataFrame, end: str, texts: DataFrame) -> DataFrame:
+    """Add the text of one end of every pair; a node in more than ``CHUNK`` pairs is dealt over several tasks."""
+    crowded = tables.cut(
+        pairs.groupBy(end).agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
+        .select(end, F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")),
+        "crowded",
+    )
+    parts = F.coalesce("chunks", F.lit(1))
+    dealt = tables.lookup(pairs, crowded, [end]).withColumn("part", F.pmod(F.xxhash64("a", "b"), parts).cast("int")).drop("chunks")
+    content = tables.lookup(texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}")), crowded, [end])
+    copies = content.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("chunks")
+    return dealt.join(copies.hint("merge"), [end, "part"]).drop("part")
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """The pairs whose whole texts are at least ``similarity`` alike."""
+
+    @F.pandas_udf("boolean")
+    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(x, y, shingle_words) >= similarity for x, y in zip(left, right)], dtype=bool)
+
+    both = _with_text(_with_text(pairs, "a", texts), "b", texts)
+    return tables.cut(both.where(alike("text_a", "text_b")).select("a", "b"), "alike")
+
+
+def _texts_of(pairs: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text): the text behind every node of a pair, read from the documents again."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = tables.cut(tables.lookup(distinct.select("node", "digest"), tables.cut(ends, "ends"), ["node"], how="inner"), "wanted")
+    read = docs.select(_digest(F.col("text")).alias("digest"), "text")
+    once = tables.lookup(read, wanted.select("digest"), ["digest"], how="left_semi").groupBy("digest").agg(F.min("text").alias("text"))
+    return tables.cut(tables.lookup(wanted, tables.cut(once, "once"), ["digest"]).select("node", "text"), "texts")
+
+
+def _digest(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _checked(candidates: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """Components of the candidates that an exact comparison of the texts confirms.
+
+    A group of near copies has many candidates and needs few of them. So a few of each
+    document are compared first, and of the others only those that lie between documents
+    still apart. No candidate that could join anything is left out.
+    """
+    ends = candidates.select(F.inline(F.array(F.struct(F.col("a").alias("node"), "a", "b"), F.struct(F.col("b").alias("node"), "a", "b"))))
+    first = tables.cut(
+        tables.first_per_key(ends, ["node"], [F.xxhash64("a", "b")], FIRST_CHECKS).select("a", "b").distinct(), "first"
+    )
+    confirmed = _alike(first, texts, shingle_words, similarity)
+    roots = components(confirmed)
+    rest = candidates.join(first, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        up = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        rest = tables.lookup(rest, up, [end])
+    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    rest = tables.cut(rest.where(apart).select("a", "b"), "rest")
+    if rest.isEmpty():
+        return roots
+    return components(confirmed.unionByName(_alike(rest, texts, shingle_words, similarity)))
 
 
 def similar_documents(
@@ -274,13 +351,15 @@ def similar_documents(
     shingle_words: int = WIDE_SHINGLE_WORDS,
     similarity: float = WIDE_SIMILARITY,
 ) -> DataFrame:
-    """(doc_id, fingerprint, component_id) where the wide sketch estimates a similarity of at least ``similarity``.
-
-    A sketch of 256 bits is four SimHash words of the same shingles. Each word is indexed
-    by its pigeonring keys, forty in all, and rows that share a key are compared over the
-    whole sketch. A pair at the threshold shares no key in about one case of six, nearer
-    pairs hardly ever do; farther pairs never link but by the sketch's own error, about two
-    hundredths of the bits. ``fingerprint`` is the sketch's hash. Odd rows are treated as in
+    """(doc_id, fingerprint, component_id) where documents have a Jaccard similarity of at least ``similarity``.
+
+    A sketch of 320 bits is five SimHash words of the same shingles. Each word is indexed
+    by its pigeonring keys, fifty in all. Rows that share a key are compared over three
+    of the words; those within the distance that SimHash expects at the similarity, and
+    two standard deviations more, are candidates. The shingle sets of their whole texts
+    decide, so nothing below the similarity is ever linked. A pair right at the threshold
+    shares no key in about one case of eight, nearer pairs hardly ever do. Texts with equal
+    sketches are one. ``fingerprint`` is the sketch's hash. Odd rows are treated as in
     ``near_duplicates``.
     """
 
@@ -289,16 +368,22 @@ def similar_documents(
         found = [_majority(_shingle_hashes(x, shingle_words), WIDE_WORDS) for x in texts]
         return pd.Series(list(np.array(found, np.uint64).view(np.int64)), dtype=object)
 
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     words = [f"w{i}" for i in range(WIDE_WORDS)]
-    wide = docs.select(F.col(doc_id).alias("doc_id"), sketched(F.col(text)).alias("sketch")).select(
-        "doc_id", *(F.col("sketch")[i].alias(w) for i, w in enumerate(words))
+    wide = docs.select("doc_id", _digest(F.col("text")).alias("digest"), sketched(F.col("text")).alias("sketch")).select(
+        "doc_id", "digest", *(F.col("sketch")[i].alias(w) for i, w in enumerate(words))
     )
     hashed = tables.cut(wide.withColumn("node", F.xxhash64(*words)), "sketches")
-    distinct = tables.cut(hashed.groupBy("node", *words).agg(F.min("doc_id").alias("rep")), "distinct")
+    distinct = tables.cut(
+        hashed.groupBy("node", *words).agg(F.min("doc_id").alias("rep"), F.min("digest").alias("digest")), "distinct"
+    )
     per_word = 2 * (MAX_DISTANCE + 1)
     keys = F.flatten(F.array(*(_keys(F.col(w), MAX_DISTANCE, per_word * i) for i, w in enumerate(words))))
-    keyed = distinct.select(F.explode(keys).alias("key"), "node", *words)
-    joined = components(_linked_runs(keyed, words, _wide_test(most_bits(similarity))))
+    compared = words[:COMPARED_WORDS]
+    keyed = distinct.select(F.explode(keys).alias("key"), "node", *compared)
+    met = _linked_runs(keyed, compared, _wide_test(most_bits(similarity)))
+    candidates = tables.cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    joined = _checked(candidates, _texts_of(candidates, distinct, docs), shingle_words, similarity)
     return _named(hashed.select("doc_id", "node"), distinct, joined, "node").select(
         "doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id"
     )

@@ -144,5 +144,65 @@ def test_similar_documents_are_those_of_high_jaccard(spark, documents):
 
     near = [10 * i for i in range(60) if jaccard(10 * i, 10 * i + 1) >= 0.9]
     assert len(near) > 50 and sum(found[i] == found[i + 1] for i in near) >= 0.98 * len(near)
-    assert not any(found[10 * i + 2] != 10 * i + 2 and jaccard(10 * i, 10 * i + 2) < 0.6 for i in range(60))
-    assert simhash.most_bits(1.0) == 0 and simhash.most_bits(0.8) == 38
+    for i in range(60):
+        for a, b in ((0, 1), (0, 2), (1, 2)):
+            assert simhash.jaccard(texts[10 * i + a], texts[10 * i + b]) == jaccard(10 * i + a, 10 * i + b)
+        apart = all(jaccard(10 * i + a, 10 * i + 2) < 0.8 for a in (0, 1))
+        assert not (apart and found[10 * i + 2] != 10 * i + 2)
+
+
+def test_no_group_without_links_at_the_similarity(spark):
+    """Each group is what exact links of 0.8 or more join, or a part of it; nine of ten links are found."""
+    docs = {d.doc_id: d.text for d in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(frame).collect()}
+    sets, at = {i: shingles(t) for i, t in docs.items()}, {}
+    for i, grams in sets.items():
+        for gram in grams:
+            at.setdefault(gram, []).append(i)
+    links = set()
+    for i, grams in sets.items():
+        shared = {}
+        for gram in grams:
+            for j in at[gram]:
+                if j < i:
+                    shared[j] = shared.get(j, 0) + 1
+        links |= {(j, i) for j, n in shared.items() if n >= 0.8 * (len(grams) + len(sets[j]) - n)}
+    roots = {i: i for i in docs}
+
+    def root(i):
+        while roots[i] != i:
+            i = roots[i]
+        return i
+
+    for a, b in sorted(links):
+        roots[max(root(a), root(b))] = min(root(a), root(b))
+    blank = [i for i, grams in sets.items() if not grams]
+    assert all(root(i) == root(c) for i, c in found.items() if i not in blank)
+    assert links and sum(found[a] == found[b] for a, b in links) >= 0.9 * len(links)
+
+
+@pytest.mark.parametrize("chunk", [3, 8_192])
+def test_exact_check_of_crowded_candidates(spark, monkeypatch, chunk):
+    """A star of candidates with true and false ones: only true ones join, however the node is dealt."""
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    base = [f"w{i}" for i in range(200)]
+    texts = {0: " ".join(base)}
+    for i in range(1, 40):
+        other = list(base)
+        for at in range(0, 200, 60 if i % 3 else 4):
+            other[at] = f"x{i}"
+        texts[i] = " ".join(other)
+    pairs = [(0, i) for i in range(1, 40)] + [(i, i + 1) for i in range(1, 39)]
+    joined = simhash._checked(
+        spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(list(texts.items()), "node long, text string"), 5, 0.8
+    )
+    roots = {r.node: r.root for r in joined.collect()}
+    together = {i for i in texts if roots.get(i) == roots[0]}
+    assert together == {i for i in texts if i == 0 or i % 3}
+    nothing = spark.createDataFrame([], "a long, b long")
+    assert simhash._checked(nothing, spark.createDataFrame([], "node long, text string"), 5, 0.8).count() == 0
+
+
+def test_radius_of_candidates():
+    assert simhash.most_bits(1.0) == 0 and simhash.most_bits(0.8) == 39 and simhash.jaccard(None, " ") == 1.0
