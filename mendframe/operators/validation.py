@@ -9,11 +9,15 @@ row only pays for the checks its columns need.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from collections.abc import Mapping
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from mendframe import settings as S
 from mendframe.functions import tables, text as tx
 from mendframe.settings import ValidationSpec
+from mendframe.sources import readers
 
 ANOMALY = "struct<column_name:string,value:string,error_type:string,anomaly_hint:string>"
 INTERNAL = ("_row_id", "_row_ord", "_bad", "_anomalies", "_duplicates")
@@ -304,9 +308,29 @@ def summarize_found(rows: DataFrame, found: DataFrame, spec: ValidationSpec) ->
     return _summary(total.withColumn("_k", F.lit(1)).join(counts.withColumn("_k", F.lit(1)), "_k"), spec)
 
 
-def failure(spec: ValidationSpec, rows: DataFrame, message: str) -> DataFrame:
-    """Summary row of a load that failed, with the message."""
-    empty = rows.sparkSession.range(1).select(
+def load(
+    spark: SparkSession, source: DataFrame | Mapping[str, Any], spec: ValidationSpec, order_by: str | Column | None = None
+) -> tuple[DataFrame | None, DataFrame]:
+    """(validated rows or None, summary row with ``error``) of a table or path setting.
+
+    An input that cannot be read gives status ``error`` and the message, as does one that
+    turns out unreadable while its rows are judged; no input and an empty one give
+    ``no_input``.
+    """
+    try:
+        rows = readers.resolve_input(spark, source)
+        if rows is not None:
+            validated = validate(rows, spec, order_by)
+            summary = tables.one_row(summarize(validated, spec))
+            return validated, summary.withColumn("error", F.lit(None).cast("string"))
+    except Exception as problem:  # the caller gets every failure as a status
+        return None, _unread(spark, spec, "error", str(problem))
+    return None, _unread(spark, spec, "no_input", None)
+
+
+def _unread(spark: SparkSession, spec: ValidationSpec, status: str, message: str | None) -> DataFrame:
+    """Summary row where there are no rows to judge."""
+    empty = spark.range(1).select(
         *(F.lit(0).alias(c) for c in ("input_rows", "bad_rows", "anomalies", *_error_kinds()))
     )
-    return _summary(empty, spec).withColumn("status", F.lit("error")).withColumn("error", F.lit(message))
+    return _summary(empty, spec).withColumn("status", F.lit(status)).withColumn("error", F.lit(message).cast("string"))

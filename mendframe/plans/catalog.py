@@ -5,6 +5,7 @@ Each query takes (spark, sf_dir), reads whole tables and returns flat columns.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -180,6 +181,28 @@ def ingestion_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.summarize(validated_orders(spark, sf_dir), orders_spec())
 
 
+@query
+def ingestion_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of whole, empty, absent, unsupported and broken inputs, all made of the orders."""
+    rows = dirty_orders(spark, sf_dir)
+    folder = tables.scratch_path(spark, "statuses")
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.text(f"{folder}/whole.jsonl")
+    rows.select(F.substring(F.to_json(F.struct(*rows.columns)), 1, 9).alias("value")).write.text(f"{folder}/broken.jsonl")
+    sources = {
+        "table": rows, "lines": {"source_file": f"{folder}/whole.jsonl"}, "empty": rows.where("id IS NULL"),
+        "nothing": {"input_path": ""}, "broken": {"input_path": f"{folder}/broken.jsonl"},
+        "absent": {"dataset_path": f"{folder}/none.csv"}, "unsupported": {"input_path": f"{folder}/rows.xml"},
+    }
+    order = F.col("id").cast("bigint")
+    parts = [
+        validation.load(spark, source, orders_spec(), order)[1].select(
+            F.lit(name).alias("input"), "status", "input_rows", "bad_rows", "anomalies", F.col("error").isNotNull().alias("failed")
+        )
+        for name, source in sources.items()
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 @query
 def declared_schema_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declared types beat names; flags, and a required column the table lacks."""

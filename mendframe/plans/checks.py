@@ -260,6 +260,12 @@ SELECT 'completed' AS status, (SELECT count(*) FROM dirty) AS input_rows,
   count(*) FILTER (error_type = 'email_format_error') AS email_format_error,
   count(*) FILTER (error_type = 'null_block_error') AS null_block_error,
   count(*) FILTER (error_type = 'numeric_format_error') AS numeric_format_error FROM found""")
+_orders("ingestion_statuses", """,
+whole AS (SELECT (SELECT count(*) FROM dirty) AS input_rows, count(DISTINCT id) AS bad_rows, count(*) AS anomalies FROM found)
+SELECT input, status, coalesce(input_rows, 0) AS input_rows, coalesce(bad_rows, 0) AS bad_rows, coalesce(anomalies, 0) AS anomalies,
+  status = 'error' AS failed
+FROM (VALUES ('table', 'completed'), ('lines', 'completed'), ('empty', 'no_input'), ('nothing', 'no_input'), ('broken', 'error'),
+  ('absent', 'error'), ('unsupported', 'error')) AS t(input, status) LEFT JOIN whole ON status = 'completed'""")
 CHECKS["declared_schema_validation"] = f"""
 SELECT * FROM (
   SELECT 'c_mktsegment' AS column_name, 'email_format_error' AS error_type, count(*) AS anomalies FROM customer

@@ -37,17 +37,18 @@ def flag_long_rows(spark: SparkSession, path: str, columns: Sequence[str] | None
     return rows.withColumn("malformed", F.col("_corrupt_record").isNotNull())
 
 
-def read_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_json(spark: SparkSession, path: str | list[str], unwrap: bool = True) -> DataFrame:
     """Objects of JSON documents as maps. One file is one task by nature; large inputs are JSON lines."""
     documents = spark.read.text(path, wholetext=True).withColumn("file", _file_name())
-    return json_objects(documents.withColumn("doc", F.ltrim("value", F.lit(BOM))).drop("value"), "doc")
+    return json_objects(documents.withColumn("doc", F.ltrim("value", F.lit(BOM))).drop("value"), "doc", unwrap)
 
 
-def json_objects(documents: DataFrame, doc: str) -> DataFrame:
+def json_objects(documents: DataFrame, doc: str, unwrap: bool = True) -> DataFrame:
     """Objects of JSON text documents as ``row`` maps with ``pos``.
 
     A document is an array, one object, or ``{"records": [...]}``; elements
-    that are not objects are dropped.
+    that are not objects are dropped. Without ``unwrap``, an object that has
+    ``records`` is one row like any other.
     """
     others = [c for c in documents.columns if c != doc]
     strict = {"mode": "FAILFAST"}
@@ -57,7 +58,7 @@ def json_objects(documents: DataFrame, doc: str) -> DataFrame:
     records = tx.strip(F.col("_top")["records"])
     elements = (
         F.when(body.startswith("["), F.from_json(body, "array<string>", strict))
-        .when(records.startswith("["), F.from_json(records, "array<string>", strict))
+        .when(F.lit(unwrap) & records.startswith("["), F.from_json(records, "array<string>", strict))
         .when(body.startswith("{"), F.array(body))
     )
     items = rows.select(*others, F.posexplode(elements).alias("pos", "item"))
@@ -132,10 +133,11 @@ ANOMALY_FIELDS = ("id", "anomaly_uid", "column_name", "value", "error_type", "an
 
 
 def read_anomaly_directory(spark: SparkSession, folder: str) -> DataFrame:
-    """All anomaly files of a folder as maps, in name order.
+    """All anomaly files of a folder as (file, row): a map per object or line.
 
-    Reads .json, .jsonl, .csv and .parquet together; unreadable CSV and
-    Parquet files are left out with a warning.
+    Reads .json, .jsonl, .csv and .parquet together; a JSON document is an array or one
+    object. Unreadable CSV and Parquet files are left out with a warning. ``file`` is the
+    name, for callers that want the rows in name order.
     """
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -146,7 +148,7 @@ def read_anomaly_directory(spark: SparkSession, folder: str) -> DataFrame:
         if not files:
             continue
         if suffix == ".json":
-            parts.append(read_json(spark, files).select("file", "row"))
+            parts.append(read_json(spark, files, unwrap=False).select("file", "row"))
         elif suffix == ".jsonl":
             parts.append(read_jsonl(spark, files))
         else:

@@ -71,3 +71,10 @@ def test_registry_versions_and_broken_files(spark, tmp_path):
     for file in (tmp_path / "registry" / "v2").glob(".*.crc"):
         file.write_bytes(b"")
     assert state.load_registry(spark, folder).count() == 1
+
+
+def test_anomaly_folder_keeps_an_object_with_records_whole(spark, tmp_path):
+    (tmp_path / "one.json").write_text('{"id": "7", "records": [{"id": "8"}, {"id": "9"}]}')
+    (tmp_path / "two.json").write_text('[{"id": "1"}, 4, {"id": "2"}]')
+    rows = readers.read_anomaly_directory(spark, str(tmp_path)).collect()
+    assert sorted((r.file, r.row["id"]) for r in rows) == [("one.json", "7"), ("two.json", "1"), ("two.json", "2")]

@@ -136,3 +136,18 @@ def test_ranks_are_contiguous_on_both_ways(spark, monkeypatch):
     monkeypatch.setattr(tables.S, "ONE_TASK_ROWS", 0)
     large = {r.x: r["rank"] for r in tables.ranked(rows, ["x"]).collect()}
     assert small == large == {i: i + 1 for i in range(500)}
+
+
+def test_load_tells_how_it_went(spark, tmp_path):
+    good, bad = tmp_path / "good.jsonl", tmp_path / "bad.jsonl"
+    good.write_text('{"id": "1", "amount": "x"}\n{"id": "2", "amount": "2"}\n')
+    bad.write_text('{"id": "1"}\n{"id"\n')
+    spec = ValidationSpec.build({"columns": {"amount": {"type": "numeric"}}})
+    cases = {str(good): ("completed", 2, 1), str(bad): ("error", 0, 0), str(tmp_path / "none.csv"): ("error", 0, 0), "": ("no_input", 0, 0)}
+    for path, want in cases.items():
+        validated, summary = V.load(spark, {"input_path": path}, spec)
+        row = summary.first()
+        assert (row.status, row.input_rows, row.anomalies) == want
+        assert (row.error is not None) is (row.status == "error") is (validated is None and path != "")
+    none_yet = spark.createDataFrame([], "id string, amount string")
+    assert V.load(spark, none_yet, spec)[1].first().status == "no_input"
