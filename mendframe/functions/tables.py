@@ -22,16 +22,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(rows: DataFrame, name: str = "stage") -> DataFrame:
+def cut(rows: DataFrame, name: str = "stage", by: Sequence[str] = ()) -> DataFrame:
     """Write a table to the shared folder and go on from the written copy.
 
     The copy survives lost executors, is columnar, and gives later joins real
-    sizes to plan with.
+    sizes to plan with. ``by`` names columns of few values that become folders,
+    so that a filter on them reads only its part.
     """
     spark = rows.sparkSession
     path = scratch_path(spark, name)
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    (rows.write.partitionBy(*by) if by else rows.write).parquet(path)
+    written = spark.read.schema(rows.schema).parquet(path)
+    return written.select(*(f"`{c}`" for c in rows.columns)) if by else written
 
 
 def one_row(rows: DataFrame) -> DataFrame:

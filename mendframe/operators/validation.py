@@ -207,6 +207,11 @@ def validate(rows: DataFrame, spec: ValidationSpec, order_by: str | Column | Non
     )
 
 
+def lean(validated: DataFrame) -> DataFrame:
+    """The same rows for writing: errors are built for bad rows only."""
+    return validated.withColumn("_anomalies", F.when(F.col("_bad"), F.col("_anomalies")))
+
+
 def clean_rows(validated: DataFrame) -> DataFrame:
     """Rows without any anomaly, in their input shape."""
     return validated.where(~F.col("_bad")).drop("_row_id", "_row_ord", "_bad", "_anomalies")

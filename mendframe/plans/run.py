@@ -91,9 +91,9 @@ def run(
 ) -> RunResult:
     """Run all stages in order and return their tables.
 
-    Stage results of anomaly scale are written once to the shared folder, so
-    later stages neither recompute them nor depend on an executor. Errors
-    raise; nothing is swallowed.
+    The judged rows are written once, bad and clean apart, and both lanes are read
+    from there; so are stage results of anomaly scale. Later stages neither recompute
+    them nor depend on an executor. Errors raise; nothing is swallowed.
 
     ``rules`` (doc_ord, id, source, text, source_weight) gives every cluster its rule
     context, together with ``memory`` and ``cluster_memory``, the stored vectors.
@@ -101,9 +101,9 @@ def run(
     the fixed answer of their family.
     """
     spec = spec or ValidationSpec()
-    validated = validation.validate(rows, spec, order_by)
+    validated = tables.cut(validation.lean(validation.validate(rows, spec, order_by)), "judged", by=["_bad"])
     found = tables.cut(validation.anomalies(validated), "anomalies")
-    summary = tables.one_row(validation.summarize_found(rows, found, spec))
+    summary = tables.one_row(validation.summarize_found(validated, found, spec))
     members, groups = clustering.assign_members(found, text, embed, threshold)
     members = tables.cut(members, "members")
     clusters = clustering.build_clusters(members, groups, distinct_patterns)
