@@ -27,6 +27,7 @@ SPREAD = 2.0  # standard deviations above the expected distance that still make
 FIRST_CHECKS = 2  # candidates per document whose texts are compared first
 CHUNK = 8_192  # fingerprints of one index key that meet at most once in a task, beside another chunk
 SHORT_RUN = 16  # runs of a key up to this length are compared all at once
+VERIFIED = 1 << 18  # shingles of one family of candidates that meet at most once in a task, beside another chunk
 
 
 def _shingle_hashes(text: str | None, shingle_words: int) -> Iterator[np.ndarray]:
@@ -320,28 +321,123 @@ def _digest(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def _exact_links(roots: np.ndarray, sizes: np.ndarray, shingles: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
+    """Links (as positions) that join documents of different roots wherever their shingle sets are similar.
+
+    The sets stand one after the other in ``shingles``. A document meets all others at once
+    through the places of its shingles; documents of the most frequent root are only met.
+    """
+    count = len(sizes)
+    number = np.unique(shingles, return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    places = np.repeat(np.arange(count), sizes)[np.argsort(number, kind="stable")]
+    heads = np.concatenate(([0], np.cumsum(np.bincount(number))))
+    label = np.unique(roots, return_inverse=True)[1]
+    left, right = [], []
+    for at in np.flatnonzero(label != np.bincount(label).argmax()).tolist():
+        mine = number[ends[at] - sizes[at] : ends[at]]
+        lengths = heads[mine + 1] - heads[mine]
+        meets = np.repeat(heads[mine] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        shared = np.bincount(places[meets], minlength=count)
+        total = sizes + sizes[at] - shared
+        hits = np.flatnonzero(((shared / np.maximum(total, 1) >= similarity) | (total == 0)) & (label != label[at]))
+        joined, first = np.unique(label[hits], return_index=True)
+        left += [at] * len(joined)
+        right += hits[first].tolist()
+        label[np.isin(label, joined)] = label[at]
+    return left, right
+
+
+def _family_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) links that join all similar documents of each family; rows (family, node, root, shingles).
+
+    Documents with one root are joined already. A family with more than ``VERIFIED``
+    shingles is dealt in chunks, those of its largest root apart from the others, and each
+    pair of chunks that could hold different roots is a task of its own.
+    """
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
+        for batch in batches:
+            names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            heads = [i for i, name in enumerate(names) if not i or name != names[i - 1]]
+            for head, stop in zip(heads, [*heads[1:], len(names)]):
+                if names[head] != current:
+                    yield from linked(held)
+                    current, held = names[head], []
+                part = batch.slice(head, stop - head)
+                lists = part.column(4)
+                held.append([
+                    part.column(2).to_numpy(zero_copy_only=False).copy(), part.column(3).to_numpy(zero_copy_only=False).copy(),
+                    lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64),
+                    lists.flatten().to_numpy(zero_copy_only=False).copy(),
+                ])
+        yield from linked(held)
+
+    def linked(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if held:
+            node, root, sizes, shingles = (np.concatenate(x) for x in zip(*held))
+            left, right = _exact_links(root, sizes, shingles, similarity)
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(node[left]), pa.array(node[right])], ["a", "b"])
+
+    sized = sets.groupBy("family", "root").agg(F.sum(F.size("shingles")).alias("n"))
+    crowded = tables.cut(
+        sized.groupBy("family").agg(F.max_by("root", "n").alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
+        .where(F.col("all") > VERIFIED)
+        .select(
+            "family", "main", F.ceil(F.col("most") / VERIFIED).cast("int").alias("mains"),
+            F.greatest(F.ceil((F.col("all") - F.col("most")) / VERIFIED), F.lit(1)).cast("int").alias("rest"),
+        ),
+        "crowded",
+    )
+    of_main, spread, all_chunks = F.col("root") == F.col("main"), F.xxhash64("node"), F.col("mains") + F.col("rest")
+    own = F.when(of_main, F.pmod(spread, F.col("mains"))).otherwise(F.col("mains") + F.pmod(spread, F.col("rest")))
+    others = F.when(of_main, F.sequence(F.col("mains"), all_chunks - 1)).otherwise(F.sequence(F.lit(0), all_chunks - 1))
+    parts = F.array_remove(others.cast("array<long>"), F.col("own"))
+    dealt = (
+        tables.lookup(sets, crowded, ["family"])
+        .withColumn("own", own.cast("long"))
+        .withColumn("other", F.explode(F.when(F.col("mains").isNotNull(), parts).otherwise(F.array(F.lit(0).cast("long")))))
+        .withColumn("part", F.when(F.col("mains").isNotNull(), F.least("own", "other") * F.lit(1 << 31) + F.greatest("own", "other")).otherwise(0))
+        .select("family", "part", "node", "root", "shingles")
+    )
+    return dealt.repartition("family", "part").sortWithinPartitions("family", "part").mapInArrow(verify, "a long, b long")
+
+
 def _checked(candidates: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """Components of the candidates that an exact comparison of the texts confirms.
+    """Components of the exact links among the documents that candidates join.
 
     A group of near copies has many candidates and needs few of them. So a few of each
-    document are compared first, and of the others only those that lie between documents
-    still apart. No candidate that could join anything is left out.
+    document are compared first. A family is what candidates join, directly or not; where
+    its documents are still apart, all pairs of them from different components are
+    decided. So it does not matter which of the candidates among a family were given out:
+    two similar documents that both hang on a third unlike them meet all the same.
     """
+
+    @F.pandas_udf("array<long>")
+    def shingled(content: pd.Series) -> pd.Series:
+        return pd.Series([_shingle_set(x, shingle_words).view(np.int64) for x in content], dtype=object)
+
     ends = candidates.select(F.inline(F.array(F.struct(F.col("a").alias("node"), "a", "b"), F.struct(F.col("b").alias("node"), "a", "b"))))
     first = tables.cut(
         tables.first_per_key(ends, ["node"], [F.xxhash64("a", "b")], FIRST_CHECKS).select("a", "b").distinct(), "first"
     )
     confirmed = _alike(first, texts, shingle_words, similarity)
     roots = components(confirmed)
-    rest = candidates.join(first, ["a", "b"], "left_anti")
-    for end in ("a", "b"):
-        up = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-        rest = tables.lookup(rest, up, [end])
-    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
-    rest = tables.cut(rest.where(apart).select("a", "b"), "rest")
-    if rest.isEmpty():
+    families = components(candidates).withColumnRenamed("root", "family")
+    members = tables.cut(
+        tables.lookup(families, roots, ["node"]).select("node", "family", F.coalesce("root", "node").alias("root")), "members"
+    )
+    apart = members.groupBy("family").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    apart = tables.cut(apart.select("family"), "apart")
+    if apart.isEmpty():
         return roots
-    return components(confirmed.unionByName(_alike(rest, texts, shingle_words, similarity)))
+    wanted = tables.cut(tables.lookup(members, apart, ["family"], how="inner"), "wanted")
+    sets = tables.cut(
+        tables.lookup(texts, wanted, ["node"], how="inner").select("family", "node", "root", shingled("text").alias("shingles")), "sets"
+    )
+    return components(confirmed.unionByName(_family_links(sets, similarity)))
 
 
 def similar_documents(
@@ -357,7 +453,8 @@ def similar_documents(
     by its pigeonring keys, fifty in all. Rows that share a key are compared over three
     of the words; those within the distance that SimHash expects at the similarity, and
     two standard deviations more, are candidates. The shingle sets of their whole texts
-    decide, so nothing below the similarity is ever linked. A pair right at the threshold
+    decide, within everything that candidates join, so nothing below the similarity is ever
+    linked and no unlike document stands between two alike. A pair right at the threshold
     shares no key in about one case of eight, nearer pairs hardly ever do. Texts with equal
     sketches are one. ``fingerprint`` is the sketch's hash. Odd rows are treated as in
     ``near_duplicates``.

@@ -206,3 +206,45 @@ def test_exact_check_of_crowded_candidates(spark, monkeypatch, chunk):
 
 def test_radius_of_candidates():
     assert simhash.most_bits(1.0) == 0 and simhash.most_bits(0.8) == 39 and simhash.jaccard(None, " ") == 1.0
+
+
+def test_pairs_in_a_family_with_a_template(spark, documents):
+    """Near copies among many pages that share a template (Jaccard 0.74 among all) are found, and nothing else."""
+    rng = random.Random(5)
+    shared, rows = [f"t{i}" for i in range(300)], []
+    for i in range(500):
+        own = [f"o{rng.randrange(10**9)}" for _ in range(52)]
+        near = [f"n{rng.randrange(10**9)}" if at in (10, 20, 30) else w for at, w in enumerate(own)]
+        rows += [(2 * i, " ".join(shared + own)), (2 * i + 1, " ".join(shared + near))]
+    sets = [shingles(text) for _, text in rows]
+    assert len(sets[0] & sets[1]) > 0.9 * len(sets[0] | sets[1]) and len(sets[0] & sets[2]) < 0.75 * len(sets[0] | sets[2])
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(documents(rows)).collect()}
+    assert sum(found[2 * i + 1] == 2 * i for i in range(500)) == 500
+    assert all(found[2 * i] == 2 * i for i in range(500))
+
+
+@pytest.mark.parametrize("most", [50, 1 << 18])
+def test_exact_check_of_families_in_parts(spark, monkeypatch, most):
+    """However a family is dealt, its documents join as brute force joins them."""
+    monkeypatch.setattr(simhash, "VERIFIED", most, raising=False)
+    rng, texts = random.Random(3), {}
+    shared = [f"t{i}" for i in range(20)]
+    for i in range(40):
+        own = [f"o{i % 13}-{j}" for j in range(20)]
+        own[rng.randrange(20)] = f"x{i}"
+        texts[i] = " ".join(shared + own)
+    pairs = [(i, i + 1) for i in range(39)]
+    joined = simhash._checked(
+        spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(list(texts.items()), "node long, text string"), 5, 0.7
+    )
+    got, label = {r.node: r.root for r in joined.collect()}, {i: i for i in texts}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    for i in texts:
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.7 * len(sets[i] | sets[j]):
+                old, new = label[i], label[j]
+                label = {k: new if v == old else v for k, v in label.items()}
+    assert 1 < len(set(label.values())) < 40
+    for i in texts:
+        for j in range(i):
+            assert (got.get(i, ("alone", i)) == got.get(j, ("alone", j))) == (label[i] == label[j])
