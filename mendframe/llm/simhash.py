@@ -276,6 +276,12 @@ def _shingle_set(text: str | None, shingle_words: int) -> np.ndarray:
     return np.unique(np.concatenate(pieces)) if pieces else np.zeros(0, np.uint64)
 
 
+def _set_sketch(shingles: np.ndarray) -> list[int]:
+    """The wide sketch of a shingle set, each shingle counted once, and the set's own hash."""
+    pieces = (shingles[at : at + 65_536] for at in range(0, len(shingles), 65_536))
+    return [*_majority(pieces, WIDE_WORDS), xxhash.xxh64_intdigest(shingles.tobytes(), SEED)]
+
+
 def jaccard(left: str | None, right: str | None, shingle_words: int = WIDE_SHINGLE_WORDS) -> float:
     """Similarity of the shingle sets of two whole texts; 1 where neither has words."""
     a, b = _shingle_set(left, shingle_words), _shingle_set(right, shingle_words)
@@ -449,28 +455,29 @@ def similar_documents(
 ) -> DataFrame:
     """(doc_id, fingerprint, component_id) where documents have a Jaccard similarity of at least ``similarity``.
 
-    A sketch of 320 bits is five SimHash words of the same shingles. Each word is indexed
+    A sketch of 320 bits is five SimHash words of the set of shingles, each counted once
+    however often it occurs, as in the similarity. Each word is indexed
     by its pigeonring keys, fifty in all. Rows that share a key are compared over three
     of the words; those within the distance that SimHash expects at the similarity, and
     two standard deviations more, are candidates. The shingle sets of their whole texts
     decide, within everything that candidates join, so nothing below the similarity is ever
     linked and no unlike document stands between two alike. A pair right at the threshold
     shares no key in about one case of eight, nearer pairs hardly ever do. Texts with equal
-    sketches are one. ``fingerprint`` is the sketch's hash. Odd rows are treated as in
+    shingle sets are one. ``fingerprint`` is the set's hash. Odd rows are treated as in
     ``near_duplicates``.
     """
 
     @F.pandas_udf("array<long>")
     def sketched(texts: pd.Series) -> pd.Series:
-        found = [_majority(_shingle_hashes(x, shingle_words), WIDE_WORDS) for x in texts]
+        found = [_set_sketch(_shingle_set(x, shingle_words)) for x in texts]
         return pd.Series(list(np.array(found, np.uint64).view(np.int64)), dtype=object)
 
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     words = [f"w{i}" for i in range(WIDE_WORDS)]
     wide = docs.select("doc_id", _digest(F.col("text")).alias("digest"), sketched(F.col("text")).alias("sketch")).select(
-        "doc_id", "digest", *(F.col("sketch")[i].alias(w) for i, w in enumerate(words))
+        "doc_id", "digest", *(F.col("sketch")[i].alias(w) for i, w in enumerate([*words, "node"]))
     )
-    hashed = tables.cut(wide.withColumn("node", F.xxhash64(*words)), "sketches")
+    hashed = tables.cut(wide, "sketches")
     distinct = tables.cut(
         hashed.groupBy("node", *words).agg(F.min("doc_id").alias("rep"), F.min("digest").alias("digest")), "distinct"
     )

@@ -248,3 +248,16 @@ def test_exact_check_of_families_in_parts(spark, monkeypatch, most):
     for i in texts:
         for j in range(i):
             assert (got.get(i, ("alone", i)) == got.get(j, ("alone", j))) == (label[i] == label[j])
+
+
+def test_repeated_passages_count_once(spark, documents):
+    """Sets decide: a passage that stands eight times keeps a pair, a line that fills two texts makes none."""
+    rng = random.Random(17)
+    rows = []
+    for i in range(50):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:100] + words[80:100] * 7 + words[100:]))]
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(documents(rows)).collect()}
+    assert sum(found[2 * i + 1] == 2 * i for i in range(50)) == 50
+    spam = [(i, "spam " * 100 + " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))) for i in range(10)]
+    assert all(r.doc_id == r.component_id for r in simhash.similar_documents(documents(spam)).collect())
