@@ -446,6 +446,31 @@ def _checked(candidates: DataFrame, texts: DataFrame, shingle_words: int, simila
     return components(confirmed.unionByName(_family_links(sets, similarity)))
 
 
+def _joined(docs: DataFrame, shingle_words: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, digest, node, ...) of every row of (doc_id, text), one row per node, and (node, root) of joined nodes."""
+
+    @F.pandas_udf("array<long>")
+    def sketched(texts: pd.Series) -> pd.Series:
+        found = [_set_sketch(_shingle_set(x, shingle_words)) for x in texts]
+        return pd.Series(list(np.array(found, np.uint64).view(np.int64)), dtype=object)
+
+    words = [f"w{i}" for i in range(WIDE_WORDS)]
+    wide = docs.select("doc_id", _digest(F.col("text")).alias("digest"), sketched(F.col("text")).alias("sketch")).select(
+        "doc_id", "digest", *(F.col("sketch")[i].alias(w) for i, w in enumerate([*words, "node"]))
+    )
+    hashed = tables.cut(wide, "sketches")
+    distinct = tables.cut(
+        hashed.groupBy("node", *words).agg(F.min("doc_id").alias("rep"), F.min("digest").alias("digest")), "distinct"
+    )
+    per_word = 2 * (MAX_DISTANCE + 1)
+    keys = F.flatten(F.array(*(_keys(F.col(w), MAX_DISTANCE, per_word * i) for i, w in enumerate(words))))
+    compared = words[:COMPARED_WORDS]
+    keyed = distinct.select(F.explode(keys).alias("key"), "node", *compared)
+    met = _linked_runs(keyed, compared, _wide_test(most_bits(similarity)))
+    candidates = tables.cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    return hashed, distinct, _checked(candidates, _texts_of(candidates, distinct, docs), shingle_words, similarity)
+
+
 def similar_documents(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -466,51 +491,26 @@ def similar_documents(
     shingle sets are one. ``fingerprint`` is the set's hash. Odd rows are treated as in
     ``near_duplicates``.
     """
-
-    @F.pandas_udf("array<long>")
-    def sketched(texts: pd.Series) -> pd.Series:
-        found = [_set_sketch(_shingle_set(x, shingle_words)) for x in texts]
-        return pd.Series(list(np.array(found, np.uint64).view(np.int64)), dtype=object)
-
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    words = [f"w{i}" for i in range(WIDE_WORDS)]
-    wide = docs.select("doc_id", _digest(F.col("text")).alias("digest"), sketched(F.col("text")).alias("sketch")).select(
-        "doc_id", "digest", *(F.col("sketch")[i].alias(w) for i, w in enumerate([*words, "node"]))
-    )
-    hashed = tables.cut(wide, "sketches")
-    distinct = tables.cut(
-        hashed.groupBy("node", *words).agg(F.min("doc_id").alias("rep"), F.min("digest").alias("digest")), "distinct"
-    )
-    per_word = 2 * (MAX_DISTANCE + 1)
-    keys = F.flatten(F.array(*(_keys(F.col(w), MAX_DISTANCE, per_word * i) for i, w in enumerate(words))))
-    compared = words[:COMPARED_WORDS]
-    keyed = distinct.select(F.explode(keys).alias("key"), "node", *compared)
-    met = _linked_runs(keyed, compared, _wide_test(most_bits(similarity)))
-    candidates = tables.cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    joined = _checked(candidates, _texts_of(candidates, distinct, docs), shingle_words, similarity)
+    hashed, distinct, joined = _joined(docs, shingle_words, similarity)
     return _named(hashed.select("doc_id", "node"), distinct, joined, "node").select(
         "doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of similar ones: the one with the smallest id.
+    """``docs`` with one row of each group of similar ones: the one with the smallest id.
 
-    Rows that repeat that id keep one row. Of documents without id, one per text stays
-    where its whole group has no id.
+    Rows without id come last, so one stays only where its whole group has no id. Where
+    rows of a group share the smallest id, that with the smallest digest of its text stays;
+    rows of other groups do not lose theirs by having the same id.
     """
     rows = packed(docs, doc_id=F.col(doc_id), text=F.col(text))
-    found = tables.cut(similar_documents(rows.drop("_in")), "similar")
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    first = tables.lookup(rows.drop("text"), tables.cut(kept, "kept"), ["doc_id"], how="left_semi").dropDuplicates(["doc_id"])
-    if found.where("component_id is null").isEmpty():
-        return first.select("_in.*")
-    lone = rows.where(F.col("doc_id").isNull()).withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
-    named = rows.where(F.col("doc_id").isNotNull())
-    both = lone.select(F.concat(F.lit("~"), "digest").alias("key"), "text").unionByName(
-        named.select(F.concat(F.lit("!"), F.col("doc_id").cast("string")).alias("key"), "text")
-    )
-    lonely = similar_documents(both, "key").where(F.col("component_id").startswith("~") & (F.col("doc_id") == F.col("component_id")))
-    digests = lonely.select(F.substring("doc_id", 2, 64).alias("digest")).distinct()
-    rest = tables.lookup(lone, tables.cut(digests, "lonely"), ["digest"], how="left_semi").dropDuplicates(["digest"])
-    return first.select("_in").unionByName(rest.select("_in")).select("_in.*")
+    hashed, _, joined = _joined(rows.drop("_in"), WIDE_SHINGLE_WORDS, WIDE_SIMILARITY)
+    grouped = tables.lookup(hashed.select("doc_id", "digest", "node"), joined, ["node"])
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+    best = grouped.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(order).alias("best"))
+    name = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("-"))
+    kept = tables.cut(best.select("best.doc_id", "best.digest").select(name.alias("key"), "digest"), "kept")
+    keyed = rows.select("_in", name.alias("key"), _digest(F.col("text")).alias("digest"))
+    return tables.lookup(keyed, kept, ["key", "digest"], how="left_semi").dropDuplicates(["key", "digest"]).select("_in.*")

@@ -261,3 +261,14 @@ def test_repeated_passages_count_once(spark, documents):
     assert sum(found[2 * i + 1] == 2 * i for i in range(50)) == 50
     spam = [(i, "spam " * 100 + " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))) for i in range(10)]
     assert all(r.doc_id == r.component_id for r in simhash.similar_documents(documents(spam)).collect())
+
+
+def test_rows_with_one_id_and_different_texts(spark, documents):
+    """One row of each group stays, also where its id stands on rows of other groups."""
+    rng = random.Random(23)
+    a, b, c, d = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(100)) for _ in range(4))
+    rows = [(5, b), (5, a), (3, b + " more"), (7, c), (7, d), (7, d), (None, c), (None, "x y z"), (None, "x y z")]
+    for order in (rows, rows[::-1]):
+        kept = simhash.keep_first(documents(order, extra=True)).collect()
+        want = [(5, a), (3, b + " more"), (7, c), (7, d), (None, "x y z")]
+        assert sorted((str(r.doc_id), r.text) for r in kept) == sorted((str(i), t) for i, t in want)
