@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from mendframe.llm import brown_lm, chat, decontamination, language_id, mixing, quality, sharding, simhash, url_filter, warc
+from mendframe.llm import brown_lm, chat, decontamination, language_id, mixing, periodic_runs, quality, sharding, simhash, url_filter, warc
 from mendframe.llm.common import table
 
 EPOCH = 1_704_067_200  # 2024-01-01
@@ -91,6 +91,11 @@ def feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def periodic_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return periodic_runs.digest_runs(docs, periodic_runs.with_planted_tails(F.col("text"), F.col("doc_id")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": simhash_near_dedup,
     "op2_lm_scoring": lm_scoring,
@@ -102,4 +107,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": url_filters,
     "op9_chat_formatting": chat_formatting,
     "op10_feistel_sharding": feistel_sharding,
+    "op11_periodic_runs": periodic_word_runs,
 }
