@@ -1,8 +1,8 @@
 r"""SQL of the operators' queries, where SQL can express them.
 
 Without SQL, and why: op1 (XXH64 and components), op2 (exchange clustering), op3 (random
-vectors), op6 (edit distance inside a text), op10 (CRC-32). Their tests compare them
-with brute force, held-out texts or an exact round trip.
+vectors), op6 (edit distance inside a text), op10 and op11 (CRC-32; runs of any period),
+op12 (every window of bytes). Their tests compare them with brute force, held-out texts or an exact round trip.
 """
 
 from __future__ import annotations
@@ -175,10 +175,48 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
+DIVERGENCE = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower
+    FROM documents
+), w AS (
+    SELECT id, lang, source, unnest(regexp_extract_all(lower, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), k AS (
+    SELECT lang, term, count(*) AS all_n FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 30
+), v AS (
+    SELECT lang, count(*) AS kept, sum(all_n) AS lang_total FROM k GROUP BY lang
+), g AS (
+    SELECT DISTINCT lang, source FROM d
+), c AS (
+    SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY lang, source, term
+), t AS (
+    SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY g.lang, g.source
+), p AS (
+    SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n,
+        1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (total + 5 * kept) AS p,
+        1 + 1000000000::HUGEINT * (all_n + 5) // (lang_total + 5 * kept) AS q
+    FROM t JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term
+), m AS (
+    SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), both_parts AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(m.value, 0) AS BIGINT) AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN m ON m.lang = a.lang AND m.source = a.source AND m.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q
+), ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM both_parts
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
 CHECKS: dict[str, str] = {
     "op4_warc_normaliser": WARC,
     "op5_source_mixing": MIXING,
     "op7_quality_rules": _quality(),
     "op8_url_filters": URL_FILTERS,
     "op9_chat_formatting": CHAT,
+    "op13_source_divergence": DIVERGENCE,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from mendframe.llm import brown_lm, chat, decontamination, language_id, mixing, periodic_runs, quality, sharding, simhash, url_filter, warc
+from mendframe.llm import brown_lm, chat, decontamination, divergence, language_id, mixing, periodic_runs, quality, sharding, simhash, suffix_dedup, url_filter, warc
 from mendframe.llm.common import table
 
 EPOCH = 1_704_067_200  # 2024-01-01
@@ -96,6 +96,14 @@ def periodic_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest_runs(docs, periodic_runs.with_planted_tails(F.col("text"), F.col("doc_id")))
 
 
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest_repeated(table(spark, sf_dir, "documents"))
+
+
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": simhash_near_dedup,
     "op2_lm_scoring": lm_scoring,
@@ -108,4 +116,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_formatting": chat_formatting,
     "op10_feistel_sharding": feistel_sharding,
     "op11_periodic_runs": periodic_word_runs,
+    "op12_suffix_array_dedup": suffix_array_dedup,
+    "op13_source_divergence": source_divergence,
 }
