@@ -1,25 +1,21 @@
 """One-argument repair expressions over a value column.
 
 A repair is text such as ``lambda x: None if x is None else str(x).strip()``.
-The usual string clean-ups become Spark Columns. Whatever else passes the
-whitelist is evaluated node by node in Arrow batches; text is never executed.
+Text is parsed and checked, never executed; ``repairs`` compiles what passes to Spark
+Columns.
 """
 
 from __future__ import annotations
 
 import ast
-import math
-import operator
-import re
-from dataclasses import dataclass
 from functools import lru_cache
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mendframe import settings as S
-from mendframe.functions import text as tx
+from mendframe.functions import repairs, sqltext, tables
+from mendframe.functions.sqltext import Sql
 
 # What a repair may contain.
 ALLOWED_NODES = (
@@ -28,23 +24,14 @@ ALLOWED_NODES = (
     "UAdd", "BinOp", "Add", "Sub", "Mult", "Div", "Mod", "Pow", "Call", "Attribute", "Subscript",
     "Slice", "List", "Tuple", "Dict",
 )
-ALLOWED_CALLS = {
-    "str": str, "int": int, "float": float, "len": len, "min": min, "max": max, "abs": abs, "round": round,
-}
+ALLOWED_CALLS = ("str", "int", "float", "len", "min", "max", "abs", "round")
 ALLOWED_METHODS = ("replace", "strip", "lower", "upper")
 
-RESULT_BYTES = 64 << 20  # memory that one value of a repair may take
-MISSING_OPERAND = "operation on a missing value"
-
 
 class Rejected(ValueError):
     """The repair may not run at all."""
 
 
-class NotNative(Exception):
-    """The repair has no Column form."""
-
-
 class _Checker(ast.NodeVisitor):
     """Goes through the inside of a repair; a kind of node without a rule here only has to be allowed."""
 
@@ -88,336 +75,6 @@ def parse(code: str) -> ast.Lambda:
     raise Rejected("a repair has to be a lambda")
 
 
-# -- Column form ------------------------------------------------------------
-
-
-@dataclass
-class Term:
-    """A sub-expression: its kind (str, int, bool or none), value, and when it fails."""
-
-    kind: str
-    value: Column
-    fails: Column | None = None  # None: never
-
-
-def _either(*conditions: Column | None) -> Column | None:
-    known = [c for c in conditions if c is not None]
-    if not known:
-        return None
-    result = known[0]
-    for condition in known[1:]:
-        result = result | condition
-    return result
-
-
-def _choose(test: Column, yes: Column | None, no: Column | None) -> Column | None:
-    if yes is None and no is None:
-        return None
-    return F.when(test, F.lit(False) if yes is None else yes).otherwise(F.lit(False) if no is None else no)
-
-
-def _truth(term: Term) -> Column:
-    if term.kind == "str":
-        return F.coalesce(term.value != "", F.lit(False))
-    if term.kind == "int":
-        return F.coalesce(term.value != 0, F.lit(False))
-    return F.coalesce(term.value, F.lit(False)) if term.kind == "bool" else F.lit(False)
-
-
-def _common(left: Term, right: Term) -> str:
-    if left.kind == right.kind or right.kind == "none":
-        return left.kind
-    if left.kind == "none":
-        return right.kind
-    raise NotNative
-
-
-def _cast(term: Term, kind: str) -> Column:
-    return F.lit(None).cast({"str": "string", "int": "bigint", "bool": "boolean", "none": "string"}[kind]) \
-        if term.kind == "none" else term.value
-
-
-def _text(term: Term) -> Column:
-    if term.kind == "none":
-        return F.lit("None")
-    if term.kind == "bool":
-        shown = F.when(term.value, F.lit("True")).when(~term.value, F.lit("False"))
-    else:
-        shown = term.value.cast("string")
-    return F.coalesce(shown, F.lit("None"))
-
-
-class _Columns:
-    """Builds the Column form of a repair for one input column."""
-
-    def __init__(self, tree: ast.Lambda, source: Column) -> None:
-        spec = tree.args
-        if len(spec.args) != 1 or spec.defaults or spec.vararg or spec.kwarg or spec.kwonlyargs or spec.posonlyargs:
-            raise NotNative
-        self.name, self.source = spec.args[0].arg, source
-
-    def build(self, node: ast.AST) -> Term:
-        method = getattr(self, f"on_{type(node).__name__.lower()}", None)
-        if method is None:
-            raise NotNative
-        return method(node)
-
-    def on_name(self, node: ast.Name) -> Term:
-        if node.id != self.name:
-            raise NotNative
-        return Term("str", self.source)
-
-    def on_constant(self, node: ast.Constant) -> Term:
-        kinds = {str: "str", bool: "bool", int: "int", type(None): "none"}
-        kind = kinds.get(type(node.value))
-        if kind is None or (kind == "int" and abs(node.value) >= 2**31):
-            raise NotNative
-        return Term(kind, F.lit(node.value))
-
-    def on_ifexp(self, node: ast.IfExp) -> Term:
-        test, yes, no = self.build(node.test), self.build(node.body), self.build(node.orelse)
-        kind, holds = _common(yes, no), _truth(test)
-        value = F.when(holds, _cast(yes, kind)).otherwise(_cast(no, kind))
-        return Term(kind, value, _either(test.fails, _choose(holds, yes.fails, no.fails)))
-
-    def on_boolop(self, node: ast.BoolOp) -> Term:
-        result = self.build(node.values[0])
-        for operand in node.values[1:]:
-            right, holds = self.build(operand), _truth(result)
-            kind = _common(result, right)
-            if isinstance(node.op, ast.And):
-                value = F.when(holds, _cast(right, kind)).otherwise(_cast(result, kind))
-                fails = _choose(holds, right.fails, None)
-            else:
-                value = F.when(holds, _cast(result, kind)).otherwise(_cast(right, kind))
-                fails = _choose(holds, None, right.fails)
-            result = Term(kind, value, _either(result.fails, fails))
-        return result
-
-    def on_unaryop(self, node: ast.UnaryOp) -> Term:
-        if not isinstance(node.op, ast.Not):
-            raise NotNative
-        inner = self.build(node.operand)
-        return Term("bool", ~_truth(inner), inner.fails)
-
-    def on_compare(self, node: ast.Compare) -> Term:
-        if len(node.ops) != 1:
-            raise NotNative
-        op, left = node.ops[0], self.build(node.left)
-        negate = isinstance(op, (ast.NotEq, ast.IsNot, ast.NotIn))
-        if isinstance(op, (ast.In, ast.NotIn)):
-            hit = self._membership(left, node.comparators[0])
-        else:
-            right = self.build(node.comparators[0])
-            if isinstance(op, (ast.Is, ast.IsNot)) and "none" not in (left.kind, right.kind):
-                raise NotNative
-            if "none" in (left.kind, right.kind):
-                other = right if left.kind == "none" else left
-                same = F.lit(True) if other.kind == "none" else other.value.isNull()
-            elif left.kind == right.kind:
-                same = left.value.eqNullSafe(right.value)
-            else:
-                raise NotNative
-            hit = Term("bool", same, _either(left.fails, right.fails))
-        return Term("bool", ~hit.value if negate else hit.value, hit.fails)
-
-    def _membership(self, item: Term, container: ast.AST) -> Term:
-        if isinstance(container, (ast.List, ast.Tuple)):
-            terms = [self.build(element) for element in container.elts]
-            if any(t.fails is not None or t.kind not in (item.kind, "none") for t in terms):
-                raise NotNative
-            same = F.lit(False)
-            for term in terms:
-                same = same | (item.value.isNull() if term.kind == "none" else item.value.eqNullSafe(term.value))
-            return Term("bool", same, item.fails)
-        whole = self.build(container)
-        if item.kind != "str" or whole.kind != "str":
-            raise NotNative
-        inside = F.coalesce(whole.value.contains(item.value), F.lit(False))
-        return Term("bool", inside, _either(item.fails, whole.fails, item.value.isNull(), whole.value.isNull()))
-
-    def on_binop(self, node: ast.BinOp) -> Term:
-        left, right = self.build(node.left), self.build(node.right)
-        if not isinstance(node.op, ast.Add) or (left.kind, right.kind) != ("str", "str"):
-            raise NotNative
-        fails = _either(left.fails, right.fails, left.value.isNull(), right.value.isNull())
-        return Term("str", F.concat(left.value, right.value), fails)
-
-    def on_subscript(self, node: ast.Subscript) -> Term:
-        base, cut = self.build(node.value), node.slice
-        if base.kind != "str" or not isinstance(cut, ast.Slice) or cut.step is not None:
-            raise NotNative
-        size = F.length(base.value)
-
-        def edge(bound: ast.AST | None, default: Column) -> Column:
-            if bound is None:
-                return default
-            try:
-                at = ast.literal_eval(bound)
-            except ValueError:
-                raise NotNative from None
-            if type(at) is not int:
-                raise NotNative
-            return F.greatest(size + at, F.lit(0)) if at < 0 else F.least(F.lit(at), size)
-
-        start, stop = edge(cut.lower, F.lit(0)), edge(cut.upper, size)
-        value = F.substring(base.value, start + 1, F.greatest(stop - start, F.lit(0)))
-        return Term("str", value, _either(base.fails, base.value.isNull()))
-
-    def on_call(self, node: ast.Call) -> Term:
-        args = [self.build(a) for a in node.args]
-        if isinstance(node.func, ast.Name):
-            if len(args) != 1:
-                raise NotNative
-            if node.func.id == "str":
-                return Term("str", _text(args[0]), args[0].fails)
-            if node.func.id == "len" and args[0].kind == "str":
-                return Term("int", F.length(args[0].value), _either(args[0].fails, args[0].value.isNull()))
-            raise NotNative
-        base, method = self.build(node.func.value), node.func.attr
-        constants = [a.value if isinstance(a, ast.Constant) and isinstance(a.value, str) else None for a in node.args]
-        if base.kind != "str" or None in constants:
-            raise NotNative
-        value = base.value
-        match (method, constants):
-            case ("lower", []):
-                value = F.lower(value)
-            case ("upper", []):
-                value = F.upper(value)
-            case ("strip", []):
-                value = tx.strip(value)
-            case ("strip", [chars]) if chars:
-                value = F.btrim(value, F.lit(chars))
-            case ("replace", [old, new]) if old:
-                value = F.replace(value, F.lit(old), F.lit(new))
-            case _:
-                raise NotNative
-        return Term("str", value, _either(base.fails, base.value.isNull()))
-
-
-def to_column(code: str, source: Column) -> Term:
-    """Column form of a repair; its value is text. Raises NotNative or Rejected."""
-    tree = parse(code)
-    term = _Columns(tree, source).build(tree.body)
-    if term.kind == "none":
-        return Term("str", F.lit(None).cast("string"), term.fails)
-    shown = term.value if term.kind == "str" else F.when(term.value.isNotNull(), _text(term))
-    return Term("str", shown, term.fails)
-
-
-# -- evaluation in Arrow batches ---------------------------------------------
-
-
-def _calculated(left: Any, right: Any, op: Any) -> Any:
-    """A binary operation; one whose result would not fit into a worker fails like one out of memory."""
-    size = 0
-    if op is operator.pow and isinstance(left, int) and isinstance(right, int):
-        size = left.bit_length() * right // 8
-    elif op is operator.mul:
-        for several, times in ((left, right), (right, left)):
-            if isinstance(times, int) and isinstance(several, (str, list, tuple)):
-                size = len(several) * times
-            elif isinstance(times, int) and isinstance(several, int):
-                size = (several.bit_length() + times.bit_length()) // 8
-    if size > RESULT_BYTES:
-        raise MemoryError("the result does not fit into memory")
-    return op(left, right)
-
-
-_BINARY = {
-    "Add": operator.add, "Sub": operator.sub, "Mult": operator.mul, "Div": operator.truediv,
-    "Mod": operator.mod, "Pow": operator.pow,
-}
-_COMPARE = {
-    "Eq": operator.eq, "NotEq": operator.ne, "Is": operator.is_, "IsNot": operator.is_not,
-    "In": lambda a, b: a in b, "NotIn": lambda a, b: a not in b,
-}
-_UNARY = {"Not": operator.not_, "USub": operator.neg, "UAdd": operator.pos}
-
-
-def _value(node: ast.AST | None, names: dict[str, Any]) -> Any:
-    match node:
-        case None:
-            return None
-        case ast.Constant(value=value):
-            return value
-        case ast.Name(id=name):
-            return names[name] if name in names else ALLOWED_CALLS[name]
-        case ast.IfExp(test=test, body=yes, orelse=no):
-            return _value(yes if _value(test, names) else no, names)
-        case ast.BoolOp(op=op, values=values):
-            for item in values:
-                result = _value(item, names)
-                if bool(result) is isinstance(op, ast.Or):
-                    break
-            return result
-        case ast.UnaryOp(op=op, operand=operand):
-            return _UNARY[type(op).__name__](_value(operand, names))
-        case ast.BinOp(left=left, op=op, right=right):
-            return _calculated(_value(left, names), _value(right, names), _BINARY[type(op).__name__])
-        case ast.Compare(left=left, ops=ops, comparators=others):
-            current = _value(left, names)
-            for op, other in zip(ops, others):
-                following = _value(other, names)
-                if not _COMPARE[type(op).__name__](current, following):
-                    return False
-                current = following
-            return True
-        case ast.Call(func=ast.Attribute(value=base, attr=method), args=args):
-            return getattr(_value(base, names), method)(*(_value(a, names) for a in args))
-        case ast.Call(func=func, args=args):
-            return _value(func, names)(*(_value(a, names) for a in args))
-        case ast.Subscript(value=base, slice=index):
-            return _value(base, names)[_value(index, names)]
-        case ast.Slice(lower=lower, upper=upper, step=step):
-            return slice(_value(lower, names), _value(upper, names), _value(step, names))
-        case ast.List(elts=items):
-            return [_value(i, names) for i in items]
-        case ast.Tuple(elts=items):
-            return tuple(_value(i, names) for i in items)
-        case ast.Dict(keys=keys, values=values):
-            return {_value(k, names): _value(v, names) for k, v in zip(keys, values)}
-    raise ValueError(f"unsupported syntax: {type(node).__name__}")
-
-
-def evaluate(code: str, value: str | None) -> str | None:
-    """Result of a repair for one value, as text; NaN and infinities become None."""
-    tree = parse(code)
-    spec = tree.args
-    if spec.vararg or spec.kwarg or spec.kwonlyargs or spec.posonlyargs or not spec.args:
-        raise ValueError("a repair takes one value")
-    names = {a.arg: _value(d, {}) for a, d in zip(spec.args[::-1], spec.defaults[::-1])}
-    names[spec.args[0].arg] = value
-    if len(names) != len(spec.args):
-        raise ValueError("a repair takes one value")
-    result = _value(tree.body, names)
-    if result is None or (isinstance(result, float) and not math.isfinite(result)):
-        return None
-    if callable(result):
-        raise ValueError("a repair must return a value")
-    return str(result)
-
-
-def _reason(problem: Exception) -> str:
-    """Text of a failure, the same as the Column form gives for an operation on None."""
-    text = str(problem) or type(problem).__name__
-    if isinstance(problem, (AttributeError, TypeError)) and re.search(r"\bNone(Type)?\b", text):
-        return MISSING_OPERAND
-    return text
-
-
-def _evaluate_batch(codes: pd.Series, values: pd.Series) -> pd.DataFrame:
-    results, errors = [], []
-    for code, value in zip(codes, values):
-        try:
-            results.append(evaluate(code, None if pd.isna(value) else value))
-            errors.append(None)
-        except Exception as problem:  # any failure marks the row, never the job
-            results.append(None)
-            errors.append(_reason(problem))
-    return pd.DataFrame({"value": results, "error": errors}, dtype=object)
-
-
 def _check_batch(codes: pd.Series) -> pd.Series:
     def problem(code: str | None) -> str | None:
         try:
@@ -434,39 +91,98 @@ def code_error(code: Column) -> Column:
     return F.pandas_udf(_check_batch, "string")(code)
 
 
+def _shape_batch(codes: pd.Series) -> pd.DataFrame:
+    rows = []
+    for code in codes:
+        try:
+            shape = repairs.shape_of(parse("" if code is None else code))
+            rows.append((shape.key, shape.texts, shape.wholes, shape.floats, None))
+        except Rejected as found:
+            rows.append((None, [], [], [], str(found)))
+    return pd.DataFrame(rows, columns=["key", "texts", "wholes", "floats", "problem"])
+
+
+_SHAPE = "key string, texts array<string>, wholes array<string>, floats array<double>, problem string"
+
+
+def _chosen(cases: list[tuple[int, Sql]]) -> Sql:
+    """The expression of the row's shape, found by halving."""
+    if len(cases) == 1:
+        return sqltext.when(sqltext.col("_shape") == cases[0][0], cases[0][1])
+    half = len(cases) // 2
+    return sqltext.when(sqltext.col("_shape") < cases[half][0], _chosen(cases[:half])).otherwise(_chosen(cases[half:]))
+
+
+def _repaired(rows: DataFrame, examples: dict[int, str], source: Column) -> tuple[DataFrame, bool]:
+    """Rows with ``transformed_value`` and ``error``, by the shapes of some example codes."""
+    value = repairs.Term(
+        frozenset([repairs.NONE, repairs.STR]),
+        k=sqltext.when(sqltext.col("_source").isNull(), repairs.NONE).otherwise(repairs.STR).cast("tinyint"), s=sqltext.col("_source"),
+    )
+    steps: dict[int, dict[str, list[tuple[int, Sql]]]] = {}
+    values, errors = [], []
+    for number, code in sorted(examples.items()):
+        used: dict[int, int] = {}
+
+        def register(height: int, term: repairs.Term) -> repairs.Term:
+            used[height] = used.get(height, 0) + 1
+            name = f"_step_{height}_{used[height]}"
+            for part, held in repairs.register_parts(term).items():
+                steps.setdefault(height, {}).setdefault(f"{name}_{part}", []).append((number, held))
+            return repairs.from_register(name, term)
+
+        result = repairs.Compiler(parse(code), value, sqltext.col("_parameters"), register).result()
+        values.append((number, result.s))
+        if result.e is not None:
+            errors.append((number, result.e))
+    kept = [f"`{c}`" for c in rows.columns if not c.startswith("_repair_")]
+    stage = rows.withColumn("_source", source)
+    for height in sorted(steps):
+        stage = stage.withColumns({name: F.expr(_chosen(cases).text) for name, cases in steps[height].items()})
+    error = F.coalesce("_problem", F.expr(_chosen(errors).text)) if errors else F.col("_problem")
+    stage = stage.withColumn("error", error.cast("string"))
+    return stage.select(
+        *kept, F.when(F.col("error").isNull(), F.expr(_chosen(values).text)).cast("string").alias("transformed_value"), "error"
+    ), bool(errors)
+
+
 def apply_codes(rows: DataFrame, codes: DataFrame, code: str = "code", value: str = "value") -> tuple[DataFrame, bool]:
     """Add ``transformed_value`` and ``error``; also tell whether any row can fail.
 
-    ``codes`` is the small table of codes with a ``size``. The codes with most
-    rows become one CASE of Column expressions, all others are evaluated in
-    Arrow batches, so any number of codes is served in one pass per kind.
+    ``codes`` holds every code of the rows. Codes are parsed once each, where they are;
+    one code of each shape reaches the driver, which compiles it to Columns. Rows get the
+    constants of their code by a join, so any number of codes costs as many expressions as
+    there are shapes, and no row is evaluated in Python. More than ``SHAPES_A_PASS`` shapes
+    take several passes over the written rows.
     """
-    source = F.when(~F.col(value).isin(*S.MISSING_INPUT), F.col(value))
-    top = (
-        codes.groupBy(code).agg(F.sum("size").alias("n")).orderBy(F.desc("n"), code).limit(S.NATIVE_CODES + 1).collect()
+    distinct = codes.select(F.col(code).alias("_code")).distinct()
+    shaped = tables.cut(distinct.withColumn("_s", F.pandas_udf(_shape_batch, _SHAPE)("_code")).select("_code", "_s.*"), "shapes")
+    examples = [r[0] for r in shaped.where("problem IS NULL").groupBy("key").agg(F.min("_code").alias("c")).orderBy("key").select("c").collect()]
+    spark = rows.sparkSession
+    numbered = spark.createDataFrame([(repairs.shape_of(parse(c)).key, n) for n, c in enumerate(examples)], "key string, _shape int")
+    parameters = shaped.join(F.broadcast(numbered), "key", "left").select(
+        F.col("_code").alias(code), "_shape", F.coalesce("problem", F.when(F.col("_code").isNull(), F.lit("no repair"))).alias("_problem"),
+        F.struct("texts", F.transform("wholes", lambda n: n.try_cast("decimal(38,0)")).alias("wholes"), "floats").alias("_parameters"),
     )
-    native: dict[str, Term] = {}
-    for row in top[: S.NATIVE_CODES]:
-        try:
-            native[row[code]] = to_column(row[code], source)
-        except (NotNative, Rejected):
-            continue
-    result, error = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for text, term in native.items():
-        result = F.when(F.col(code) == text, term.value).otherwise(result)
-        if term.fails is not None:
-            error = F.when(
-                (F.col(code) == text) & F.coalesce(term.fails, F.lit(False)), F.lit(MISSING_OPERAND)
-            ).otherwise(error)
-    can_fail = any(t.fails is not None for t in native.values())
-    known = F.col(code).isin(*native) if native else F.lit(False)
-    done = rows.where(known).select("*", F.when(error.isNull(), result).alias("transformed_value"), error.alias("error"))
-    if len(native) == len(top):
-        return done, can_fail
-    outcome = F.pandas_udf(_evaluate_batch, "value string, error string")(F.col(code), source)
-    rest = (
-        rows.where(~known)
-        .withColumn("_outcome", outcome)
-        .select(*rows.columns, F.col("_outcome.value").alias("transformed_value"), F.col("_outcome.error").alias("error"))
-    )
-    return (done.unionByName(rest) if native else rest), True
+    joined = tables.lookup(rows, tables.cut(parameters, "parameters"), [code])
+    joined = joined.withColumn("_problem", F.when(F.col(code).isNull(), F.lit("no repair")).otherwise(F.col("_problem")))
+    refused = not shaped.where("problem IS NOT NULL").isEmpty()
+    source = F.when(~F.col(value).isin(*S.MISSING_INPUT), F.col(value))
+    passes = [dict(list(enumerate(examples))[at : at + S.SHAPES_A_PASS]) for at in range(0, len(examples), S.SHAPES_A_PASS)] or [{}]
+    if len(passes) > 1:
+        joined = tables.cut(joined, "joined")
+    results, can_fail = [], refused
+    for n, some in enumerate(passes):
+        part = joined if len(passes) == 1 else joined.where(
+            F.col("_shape").between(min(some), max(some)) | (F.col("_shape").isNull() & F.lit(n == 0))
+        )
+        if some:
+            done, fails = _repaired(part, some, source)
+        else:
+            done, fails = part.withColumn("transformed_value", F.lit(None).cast("string")).withColumnRenamed("_problem", "error"), True
+        results.append(done.select(*(f"`{c}`" for c in rows.columns), "transformed_value", "error"))
+        can_fail = can_fail or fails
+    applied = results[0]
+    for more in results[1:]:
+        applied = applied.unionByName(more)
+    return applied, can_fail

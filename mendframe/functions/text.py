@@ -9,7 +9,7 @@ from mendframe import settings as S
 
 # the characters of settings.WHITESPACE as a class
 _SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-_EDGE = f"^{_SPACE}|{_SPACE}$"
+EDGE = f"^{_SPACE}|{_SPACE}$"
 
 
 def _stripped_match(text: Column, regex: str) -> Column:
@@ -22,7 +22,7 @@ def strip(text: Column) -> Column:
 
     Trimming a character set is slow, so it is done only where an end needs it.
     """
-    return F.when(text.rlike(_EDGE), F.btrim(text, F.lit(S.WHITESPACE))).otherwise(text)
+    return F.when(text.rlike(EDGE), F.btrim(text, F.lit(S.WHITESPACE))).otherwise(text)
 
 
 def is_missing(text: Column) -> Column:

@@ -165,7 +165,7 @@ LEADER_BATCH = 1_024  # undecided vectors that one task settles at a time
 KNN_BLOCK_ROWS = 20_000
 BLOCK_CELLS = 2_000_000  # array elements of one block held in a task
 SAMPLE_LOOKAHEAD = 50  # rows per cluster looked at first for distinct samples
-NATIVE_CODES = 64
+SHAPES_A_PASS = 32  # shapes of repairs compiled into one plan
 
 
 def merge_policy(defaults: Mapping[str, Any], overrides: Mapping[str, Any] | None) -> dict[str, Any]:

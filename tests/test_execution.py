@@ -41,13 +41,6 @@ def test_repairs_equal_python(spark):
         assert (r.transformed_value, r.error is not None) == reference(r.code, r.value), (r.code, r.value)
 
 
-def test_more_codes_than_the_native_limit(spark, monkeypatch):
-    monkeypatch.setattr(S, "NATIVE_CODES", 1)
-    rows = spark.createDataFrame([(c, "abc") for c in CODES[:6]], "code string, value string")
-    applied, _ = E.apply_codes(rows, rows.withColumn("size", F.lit(1)))
-    assert {r.code: r.transformed_value for r in applied.collect()} == {c: reference(c, "abc")[0] for c in CODES[:6]}
-
-
 @pytest.mark.parametrize("code", REFUSED)
 def test_refused_repairs(code):
     with pytest.raises(E.Rejected):
