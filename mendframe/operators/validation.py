@@ -12,6 +12,8 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from mendframe import settings as S
@@ -20,7 +22,7 @@ from mendframe.settings import ValidationSpec
 from mendframe.sources import readers
 
 ANOMALY = "struct<column_name:string,value:string,error_type:string,anomaly_hint:string>"
-INTERNAL = ("_row_id", "_row_ord", "_bad", "_anomalies", "_duplicates")
+INTERNAL = ("_row_id", "_row_ord", "_bad", "_anomalies", "_duplicates", S.MALFORMED)
 
 _NUMBERS = (T.NumericType,)
 _TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -178,6 +180,9 @@ def mark_duplicates(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 def validate(rows: DataFrame, spec: ValidationSpec, order_by: str | Column | None = None) -> DataFrame:
     """Input columns plus ``_row_id``, ``_row_ord``, ``_bad`` and ``_anomalies``.
 
+    A row that its reader marked in ``S.MALFORMED`` has an anomaly for that, ahead of
+    those of its cells and under no column's name.
+
     ``order_by`` is an integer column or expression that gives the row order;
     without it rows are numbered in scan order.
     """
@@ -198,6 +203,10 @@ def validate(rows: DataFrame, spec: ValidationSpec, order_by: str | Column | Non
         found = F.concat(found, F.array_compact(F.array(*repeats)).cast(f"array<{ANOMALY}>"))
         for flag in flags.values():
             bad = bad | F.coalesce(F.col(flag), F.lit(False))
+    if S.MALFORMED in columns:
+        broken = F.when(F.col(S.MALFORMED).isNotNull(), _anomaly("", F.col(S.MALFORMED), S.MALFORMED_ERROR))
+        found = F.concat(F.array_compact(F.array(broken)).cast(f"array<{ANOMALY}>"), found)
+        bad = bad | F.col(S.MALFORMED).isNotNull()
     return marked.select(
         *(f"`{c}`" for c in columns),
         row_identifier(base, F.col("_row_ord")).alias("_row_id"),
@@ -214,7 +223,7 @@ def lean(validated: DataFrame) -> DataFrame:
 
 def clean_rows(validated: DataFrame) -> DataFrame:
     """Rows without any anomaly, in their input shape."""
-    return validated.where(~F.col("_bad")).drop("_row_id", "_row_ord", "_bad", "_anomalies")
+    return validated.where(~F.col("_bad")).drop("_row_id", "_row_ord", "_bad", "_anomalies", S.MALFORMED)
 
 
 def anomalies(validated: DataFrame) -> DataFrame:
@@ -254,8 +263,10 @@ def anomaly_breakdown(found: DataFrame, *by: str) -> DataFrame:
     return found.groupBy(*(by or ("error_type",))).agg(F.count("*").alias("anomalies"))
 
 
-def _error_kinds() -> list[str]:
-    return sorted([S.NULL_ERROR[0], S.DUPLICATE_ERROR[0], *(e for e, _ in S.TYPE_ERRORS.values())])
+def _error_kinds(malformed: bool = False) -> list[str]:
+    """Error types that a table can have; only some readers mark malformed rows."""
+    usual = [S.NULL_ERROR[0], S.DUPLICATE_ERROR[0], *(e for e, _ in S.TYPE_ERRORS.values())]
+    return sorted([*usual, S.MALFORMED_ERROR[0]] if malformed else usual)
 
 
 def _summary(base: DataFrame, spec: ValidationSpec) -> DataFrame:
@@ -273,7 +284,7 @@ def _summary(base: DataFrame, spec: ValidationSpec) -> DataFrame:
         number("anomalies").alias("anomalies"),
         F.lit(",".join(spec.rule_names())).alias("validation_rules_applied"),
         F.lit(",".join(spec.required)).alias("required_columns"),
-        *(number(kind).alias(kind) for kind in _error_kinds()),
+        *(number(kind).alias(kind) for kind in _error_kinds(True) if kind in base.columns),
     )
 
 
@@ -293,7 +304,7 @@ def summarize(validated: DataFrame, spec: ValidationSpec) -> DataFrame:
         F.sum("n").alias("input_rows"),
         F.sum(F.when(F.size("errors") > 0, F.col("n"))).alias("bad_rows"),
         F.sum(F.size("errors") * F.col("n")).alias("anomalies"),
-        *(times(kind).alias(kind) for kind in _error_kinds()),
+        *(times(kind).alias(kind) for kind in _error_kinds(S.MALFORMED in validated.columns)),
     )
     return _summary(counts, spec)
 
@@ -307,7 +318,7 @@ def summarize_found(rows: DataFrame, found: DataFrame, spec: ValidationSpec) ->
     counts = found.agg(
         F.count_if(F.col("pos") == 0).alias("bad_rows"),
         F.count("*").alias("anomalies"),
-        *(F.count_if(F.col("error_type") == kind).alias(kind) for kind in _error_kinds()),
+        *(F.count_if(F.col("error_type") == kind).alias(kind) for kind in _error_kinds(S.MALFORMED in rows.columns)),
     )
     total = rows.agg(F.count("*").alias("input_rows"))
     return _summary(total.withColumn("_k", F.lit(1)).join(counts.withColumn("_k", F.lit(1)), "_k"), spec)
@@ -328,7 +339,7 @@ def load(
             validated = validate(rows, spec, order_by)
             summary = tables.one_row(summarize(validated, spec))
             return validated, summary.withColumn("error", F.lit(None).cast("string"))
-    except Exception as problem:  # the caller gets every failure as a status
+    except (PySparkException, Py4JJavaError, OSError, ValueError) as problem:  # of reading and parsing, not of this code
         return None, _unread(spark, spec, "error", str(problem))
     return None, _unread(spark, spec, "no_input", None)
 

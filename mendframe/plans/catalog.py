@@ -287,7 +287,7 @@ def csv_quoted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "customer").select(
         F.col("c_custkey").cast("string").alias("id"), note.alias("note"), F.col("c_nationkey").cast("string").alias("nation")
     ).write.csv(path, header=True, escape='"')
-    return readers.resolve_input(spark, {"input_path": path, "multiline": True})
+    return readers.resolve_input(spark, {"input_path": path, "multiline": True}).drop(S.MALFORMED)
 
 
 @query
@@ -304,6 +304,26 @@ def csv_malformed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.flag_long_rows(spark, path).where("malformed").select("id", "malformed")
 
 
+@query
+def csv_ragged_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anomalies of a CSV file some of whose records have a cell too many or too few, or line breaks in a cell."""
+    path = tables.scratch_path(spark, "ragged") + ".csv"
+    key = F.col("c_custkey")
+    segment = F.when(key % 7 != 0, F.when(key % 5 == 0, F.concat(F.lit('"two\n,""lines"" of '), "c_mktsegment", F.lit('"'))).otherwise(F.col("c_mktsegment")))
+    line = F.concat_ws(
+        ",", key.cast("string"), segment, F.when(key % 3 == 0, F.lit("1x")).otherwise(F.col("c_nationkey").cast("string")),
+        F.when(key % 10 == 3, F.lit("EXTRA")),
+    )
+    table(spark, sf_dir, "customer").select(line.alias("id,segment,amount")).write.text(path + "-lines")
+    # the header stands at the head of every file, as a text writer leaves it out
+    lines = spark.read.text(path + "-lines", wholetext=True)
+    lines.select(F.concat(F.lit("id,segment,amount\n"), "value")).write.text(path)
+    spec = ValidationSpec.build({"columns": {"amount": {"type": "numeric"}}})
+    validated, _ = validation.load(spark, {"input_path": path, "multiline": True}, spec, F.col("id").cast("bigint"))
+    found = validation.anomalies(validated)
+    return found.select("id", "pos", "column_name", "value", "error_type", F.col("source_row")["segment"].alias("segment"))
+
+
 @query
 def validate_aggregated_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that come out of a shuffle keep their number, are all judged, and count up without gaps."""

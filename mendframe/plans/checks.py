@@ -241,6 +241,21 @@ SELECT CAST(c_custkey AS VARCHAR) AS id, 'said "' || c_name || '",' || chr(10) |
   CAST(c_nationkey AS VARCHAR) AS nation FROM customer"""
 CHECKS["csv_malformed_rows"] = """
 SELECT CAST(c_custkey AS VARCHAR) AS id, true AS malformed FROM customer WHERE (c_custkey % 7 = 0) <> (c_custkey % 10 = 3)"""
+CHECKS["csv_ragged_validation"] = """
+WITH c AS (
+  SELECT CAST(c_custkey AS VARCHAR) AS id, c_custkey % 7 = 0 AS short, c_custkey % 10 = 3 AS long,
+    CASE WHEN c_custkey % 5 = 0 THEN 'two' || chr(10) || ',"lines" of ' || c_mktsegment ELSE c_mktsegment END AS segment,
+    CASE WHEN c_custkey % 5 = 0 THEN '"two' || chr(10) || ',""lines"" of ' || c_mktsegment || '"' ELSE c_mktsegment END AS raw,
+    CASE WHEN c_custkey % 3 = 0 THEN '1x' ELSE CAST(c_nationkey AS VARCHAR) END AS amount
+  FROM customer
+), cells AS (
+  SELECT *, CASE WHEN short THEN amount ELSE segment END AS second, CASE WHEN NOT short THEN amount WHEN long THEN 'EXTRA' END AS third,
+    id || CASE WHEN short THEN '' ELSE ',' || raw END || ',' || amount || CASE WHEN long THEN ',EXTRA' ELSE '' END AS record, short <> long AS malformed
+  FROM c
+), bad AS (SELECT *, coalesce(NOT regexp_matches(third, '^-?[0-9]+([.][0-9]+)?$'), false) AS noise FROM cells)
+SELECT id, 0 AS pos, '' AS column_name, record AS value, 'malformed_row_error' AS error_type, second AS segment FROM bad WHERE malformed
+UNION ALL
+SELECT id, CASE WHEN malformed THEN 1 ELSE 0 END, 'amount', third, 'numeric_format_error', second FROM bad WHERE noise"""
 _orders("validate_aggregated_input", """
 SELECT count(*) AS rows, (SELECT count(DISTINCT id) FROM found) AS bad_rows, CAST(1 AS BIGINT) AS first_ord, count(*) AS last_ord,
   count(*) AS ordinals, count(*) - (SELECT count(DISTINCT id) FROM found) AS clean_rows FROM dirty""")

@@ -53,6 +53,8 @@ TYPE_ERRORS = {
 }
 NULL_ERROR = ("null_block_error", "value is missing or sentinel null")
 DUPLICATE_ERROR = ("duplicate_value_error", "duplicate value detected in unique column")
+MALFORMED_ERROR = ("malformed_row_error", "row has more or fewer cells than the header")
+MALFORMED = "_malformed"  # text of a row that is no proper record, NULL for all others
 ROW_ID_COLUMNS = ("id", "row_id", "record_id")
 SOURCE_PHASE = "phase1_ingestion"
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from mendframe import settings as S
 from mendframe.functions import text as tx
+from mendframe.sources import csv_records
 
 BOM = "\ufeff"
 PATH_KEYS = ("input_path", "source_file", "dataset_path")
@@ -21,10 +22,18 @@ PATH_KEYS = ("input_path", "source_file", "dataset_path")
 def read_csv(spark: SparkSession, path: str | list[str], multiline: bool = False) -> DataFrame:
     """Header CSV, all text; a byte-order mark and blank lines are dropped.
 
-    Line breaks inside quotes need ``multiline``, which reads each file in one task;
-    ``flag_long_rows`` shows rows with more cells than the header.
+    Rows with more or fewer cells than the header keep their text in the column
+    ``S.MALFORMED``, from which validation makes an anomaly. Line breaks inside quotes
+    need ``multiline``, which splits files into tasks, too, but reads their lines twice.
     """
-    return spark.read.csv(path, header=True, inferSchema=False, encoding="UTF-8", multiLine=multiline, escape='"')
+    if multiline:
+        return csv_records.read_csv_records(spark, path)
+    columns = spark.read.csv(path, header=True, inferSchema=False, escape='"').columns
+    fields = [T.StructField(c, T.StringType()) for c in (*columns, S.MALFORMED)]
+    counted = spark.read.schema(T.StructType(fields)).option("columnPruning", False)  # else cells beyond the wanted ones are not seen
+    return counted.csv(
+        path, header=True, mode="PERMISSIVE", encoding="UTF-8", escape='"', columnNameOfCorruptRecord=S.MALFORMED
+    )
 
 
 def flag_long_rows(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -32,7 +41,7 @@ def flag_long_rows(spark: SparkSession, path: str, columns: Sequence[str] | None
     columns = spark.read.csv(path, header=True, inferSchema=False).columns if columns is None else columns
     fields = [T.StructField(c, T.StringType()) for c in columns]
     schema = T.StructType([*fields, T.StructField("_corrupt_record", T.StringType())])
-    counted = spark.read.schema(schema).option("columnPruning", False)  # else cells beyond the wanted ones are not seen
+    counted = spark.read.schema(schema).option("columnPruning", False)
     rows = counted.csv(path, header=True, mode="PERMISSIVE", enforceSchema=True, escape='"')
     return rows.withColumn("malformed", F.col("_corrupt_record").isNotNull())
 
