@@ -366,33 +366,53 @@ def jsonl_source_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _breakdown_of(readers.read_rows(spark, path, rows.columns))
 
 
-@query
-def anomaly_directory_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anomaly files of four formats in one folder."""
+def anomaly_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of anomaly files of four formats, CSV with two headers, and files that are damaged."""
     folder = tables.scratch_path(spark, "anomaly-files")
     found = found_orders(spark, sf_dir).select("row_ord", *readers.ANOMALY_FIELDS)
     line = F.to_json(F.struct(*readers.ANOMALY_FIELDS))
-    quarter = [found.where(F.col("row_ord") % 4 == part) for part in range(4)]
+    fifth = [found.where(F.col("row_ord") % 5 == part) for part in range(5)]
     # a document holds the anomalies of 2000 rows
-    documents = quarter[3].groupBy(F.floor(F.col("row_ord") / 2000)).agg(F.collect_list(line).alias("lines"))
+    documents = fifth[3].groupBy(F.floor(F.col("row_ord") / 2000)).agg(F.collect_list(line).alias("lines"))
     documents = documents.select(F.concat(F.lit("["), F.array_join("lines", ","), F.lit("]")).alias("value"))
-    parts = {suffix: f"{folder}-{suffix}" for suffix in ("parquet", "csv", "jsonl", "json")}
-    quarter[0].drop("row_ord").write.parquet(parts["parquet"])
-    quarter[1].drop("row_ord").write.csv(parts["csv"], header=True)
-    quarter[2].select(line.alias("value")).write.text(parts["jsonl"])
-    documents.write.option("maxRecordsPerFile", 1).text(parts["json"])
+    parts = {(n, suffix): f"{folder}-{n}" for n, suffix in enumerate(("parquet", "csv", "jsonl", "json", "csv", "parquet", "csv"))}
+    made = dict(zip(range(7), parts.values()))
+    fifth[0].drop("row_ord").write.parquet(made[0])
+    fifth[1].drop("row_ord").write.csv(made[1], header=True)
+    fifth[2].select(line.alias("value")).write.text(made[2])
+    documents.write.option("maxRecordsPerFile", 1).text(made[3])
+    fifth[4].select(*readers.ANOMALY_FIELDS[::-1]).write.csv(made[4], header=True)
+    # no proper Parquet and no header, each made of rows of the table
+    found.limit(3).coalesce(1).select("id").write.text(made[5])
+    found.limit(1).coalesce(1).select(F.lit("").alias("value")).write.text(made[6])
     hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
-    for suffix, source in parts.items():
-        system = hadoop.Path(source).getFileSystem(conf)
+    system = hadoop.Path(folder).getFileSystem(conf)
+    system.mkdirs(hadoop.Path(folder))
+    for (n, suffix), source in parts.items():
         for status in system.listStatus(hadoop.Path(source)):
             name = status.getPath().getName()
             if name.startswith("part-"):
-                target = hadoop.Path(f"{folder}/{name.rsplit('.', 1)[0]}.{suffix}")
-                hadoop.FileUtil.copy(system, status.getPath(), system, target, False, conf)
-    rows = readers.widen(readers.read_anomaly_directory(spark, folder), list(readers.ANOMALY_FIELDS))
+                system.rename(status.getPath(), hadoop.Path(f"{folder}/{n}-{name.rsplit('.', 1)[0]}.{suffix}"))
+    return folder
+
+
+@query
+def anomaly_directory_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anomaly files of four formats in one folder; damaged files are left out."""
+    rows, _ = readers.read_anomaly_folder(spark, anomaly_files(spark, sf_dir))
+    rows = readers.widen(rows, list(readers.ANOMALY_FIELDS))
     return rows.groupBy("column_name", "error_type").agg(F.count("*").alias("anomalies"))
 
 
+@query
+def anomaly_directory_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why files of the folder were left out, and how many rows came from each kind of file."""
+    rows, skipped = readers.read_anomaly_folder(spark, anomaly_files(spark, sf_dir))
+    suffix = F.element_at(F.split("file", r"\."), -1)
+    read = rows.groupBy(suffix.alias("suffix"), F.lit("read").alias("reason")).agg(F.count("*").alias("n"))
+    return read.unionByName(skipped.groupBy(suffix.alias("suffix"), "reason").agg(F.count("*").alias("n")))
+
+
 @query
 def artifact_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of every written lane and artifact section."""

@@ -236,6 +236,9 @@ _orders("clean_rows", "SELECT d.* FROM dirty d WHERE id NOT IN (SELECT id FROM f
 _BREAKDOWN = "SELECT column_name, error_type, count(*) AS anomalies FROM found GROUP BY ALL"
 for _name in ("anomaly_breakdown", "csv_source_validation", "jsonl_source_validation", "anomaly_directory_scan"):
     _orders(_name, _BREAKDOWN)
+_orders("anomaly_directory_skipped", """
+SELECT CASE ord % 5 WHEN 0 THEN 'parquet' WHEN 2 THEN 'jsonl' WHEN 3 THEN 'json' ELSE 'csv' END AS suffix, 'read' AS reason, count(*) AS n
+FROM found GROUP BY ALL UNION ALL SELECT 'parquet', 'no readable footer', 1 UNION ALL SELECT 'csv', 'no header', 1""")
 CHECKS["csv_quoted_rows"] = """
 SELECT CAST(c_custkey AS VARCHAR) AS id, 'said "' || c_name || '",' || chr(10) || 'then left' || chr(10) || c_mktsegment AS note,
   CAST(c_nationkey AS VARCHAR) AS nation FROM customer"""

@@ -9,10 +9,11 @@ from functools import reduce
 from pathlib import PurePosixPath
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from mendframe import settings as S
-from mendframe.functions import text as tx
+from mendframe.functions import tables, text as tx
 from mendframe.sources import csv_records
 
 BOM = "\ufeff"
@@ -141,38 +142,104 @@ def load_schema(spark: SparkSession, inline: Mapping[str, Any] | None = None, pa
 ANOMALY_FIELDS = ("id", "anomaly_uid", "column_name", "value", "error_type", "anomaly_hint")
 
 
-def read_anomaly_directory(spark: SparkSession, folder: str) -> DataFrame:
-    """All anomaly files of a folder as (file, row): a map per object or line.
+SKIPPED = "file string, reason string"
+_DAMAGED_FOOTER = ("is not a Parquet file", "can not read class", "corrupted file")  # texts of the Parquet reader
+
+
+def read_anomaly_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, skipped) of all anomaly files of a folder.
+
+    rows: (file, at, row), a map of texts per object or line; by ``file`` and ``at`` they
+    stand in the order of names and of places in a file. .json, .jsonl and .csv take one
+    scan each, whatever the number of files and their headers, .parquet one per schema.
+    A JSON document is an array or one object; bad JSON fails. A CSV record with cells too
+    many or too few keeps its text under ``S.MALFORMED``, too.
 
-    Reads .json, .jsonl, .csv and .parquet together; a JSON document is an array or one
-    object. Unreadable CSV and Parquet files are left out with a warning. ``file`` is the
-    name, for callers that want the rows in name order.
+    skipped: (file, reason) of the files left out: CSV without a header and Parquet
+    without a readable footer. Any other trouble, such as a store that does not answer, raises.
     """
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     names = sorted(s.getPath().toString() for s in system.listStatus(path) if s.isFile())
-    parts: list[DataFrame] = []
-    for suffix in (".json", ".jsonl", ".csv", ".parquet"):
-        files = [n for n in names if n.lower().endswith(suffix)]
-        if not files:
+    by_suffix = {x: [n for n in names if n.lower().endswith(x)] for x in (".json", ".jsonl", ".csv", ".parquet")}
+    parts = [spark.createDataFrame([], "file string, at bigint, row map<string,string>")]
+    if by_suffix[".json"]:
+        parts.append(read_json(spark, by_suffix[".json"], unwrap=False).select("file", F.col("pos").cast("bigint").alias("at"), "row"))
+    if by_suffix[".jsonl"]:
+        parts.append(read_jsonl(spark, by_suffix[".jsonl"]).select("file", F.monotonically_increasing_id().alias("at"), "row"))
+    skipped = []
+    if by_suffix[".csv"]:
+        rows, headed = _read_keyed_csv(spark, by_suffix[".csv"])
+        parts.append(rows)
+        known = {r.file for r in headed.select("file").collect()}  # names of files that are listed here anyway
+        skipped += [(n, "no header") for n in map(_base, by_suffix[".csv"]) if n not in known]
+    schemas, damaged = _parquet_schemas(spark, by_suffix[".parquet"])
+    skipped += damaged
+    for files in schemas.values():
+        rows = spark.read.parquet(*files)
+        pairs = [x for c in rows.columns for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]
+        row = F.create_map(*pairs).cast("map<string,string>")
+        parts.append(rows.select(_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), row.alias("row")))
+    return reduce(DataFrame.unionByName, parts), spark.createDataFrame(sorted(skipped), SKIPPED)
+
+
+def read_anomaly_directory(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of ``read_anomaly_folder``; files left out are named in a warning."""
+    rows, skipped = read_anomaly_folder(spark, folder)
+    for file, reason in skipped.collect():
+        warnings.warn(f"{file} is left out: {reason}", stacklevel=2)
+    return rows
+
+
+def _base(path: str) -> str:
+    return path.rsplit("/", 1)[-1]
+
+
+def _parquet_schemas(spark: SparkSession, files: Sequence[str]) -> tuple[dict[str, list[str]], list[tuple[str, str]]]:
+    """Files by the text of their schema, and those without a readable footer. Reads footers only."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    schemas: dict[str, list[str]] = {}
+    damaged = []
+    for file in files:
+        try:
+            source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(file), conf)
+            footer = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+        except Py4JJavaError as problem:
+            text = str(problem.java_exception.getMessage())
+            if not any(known in text for known in _DAMAGED_FOOTER):
+                raise
+            damaged.append((_base(file), "no readable footer"))
             continue
-        if suffix == ".json":
-            parts.append(read_json(spark, files, unwrap=False).select("file", "row"))
-        elif suffix == ".jsonl":
-            parts.append(read_jsonl(spark, files))
-        else:
-            for file in files:  # headers and schemas differ from file to file
-                try:
-                    rows = read_csv(spark, file) if suffix == ".csv" else spark.read.parquet(file)
-                except Exception as problem:
-                    warnings.warn(f"{file} is left out: {str(problem)[:200]}", stacklevel=2)
-                    continue
-                pairs = [x for c in rows.columns for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]
-                row = F.create_map(*pairs).cast("map<string,string>").alias("row")
-                parts.append(rows.select(_file_name().alias("file"), row))
-    if not parts:
-        return spark.createDataFrame([], "file string, row map<string,string>")
-    return reduce(DataFrame.unionByName, parts)
+        try:
+            schemas.setdefault(footer.getFileMetaData().getSchema().toString(), []).append(file)
+        finally:
+            footer.close()
+    return schemas, damaged
+
+
+def _cell_count(record: Column) -> Column:
+    """Cells of a CSV record, by its commas outside quotes."""
+    return F.size(F.split(F.regexp_replace(record, '"[^"]*"', ""), ","))
+
+
+def _read_keyed_csv(spark: SparkSession, files: list[str]) -> tuple[DataFrame, DataFrame]:
+    """((file, at, row), (file, header)) of CSV files that differ in their headers; quoted line breaks are kept."""
+    lines = csv_records.read_lines(spark, files)
+    first = lines.where((F.col("block") == 0) & (F.trim("line") != "")).groupBy("file").agg(F.min_by("line", "at").alias("header"))
+    headers = tables.cut(first.withColumn("width", _cell_count(F.col("header"))), "headers")
+    most = headers.agg(F.max("width")).first()[0] or 1
+    schema = ", ".join(f"_{n} string" for n in range(most))
+    cells = lambda text: F.array(*(F.from_csv(F.regexp_replace(text, "\r$", ""), schema, {"escape": '"', "maxCharsPerColumn": "-1"})[f"_{n}"] for n in range(most)))
+    named = headers.select("file", "width", cells(F.col("header")).alias("names"))
+    rows = tables.lookup(csv_records.logical_records(lines), named, ["file"], "inner").withColumn("cells", cells(F.col("record")))
+    fields = F.filter(
+        F.arrays_zip(F.col("names"), F.col("cells")), lambda f, n: f["names"].isNotNull() & (F.array_position("names", f["names"]) == n + 1)
+    )
+    row = F.map_from_entries(F.transform(fields, lambda f: F.struct(f["names"], f["cells"])))
+    odd = ~F.col("whole") | (_cell_count(F.col("record")) != F.col("width"))
+    marked = F.when(odd, F.map_concat(row, F.create_map(F.lit(S.MALFORMED), "record"))).otherwise(row)
+    name = F.element_at(F.split("file", "/"), -1)
+    return rows.select(name.alias("file"), "at", marked.alias("row")), headers.select(name.alias("file"), "header")
 
 
 def _file_name() -> Column:

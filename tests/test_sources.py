@@ -78,3 +78,39 @@ def test_anomaly_folder_keeps_an_object_with_records_whole(spark, tmp_path):
     (tmp_path / "two.json").write_text('[{"id": "1"}, 4, {"id": "2"}]')
     rows = readers.read_anomaly_directory(spark, str(tmp_path)).collect()
     assert sorted((r.file, r.row["id"]) for r in rows) == [("one.json", "7"), ("two.json", "1"), ("two.json", "2")]
+
+
+def test_anomaly_folder_of_all_kinds(spark, tmp_path):
+    """Headers and schemas differ from file to file, cells hold line breaks, some files are damaged."""
+    (tmp_path / "a.csv").write_text('id,value\n1,"x\ny"\n2,z,extra\n')
+    (tmp_path / "b.csv").write_text('value,id,"column,name"\n"q ""r""",3,c\n,4,\n')
+    (tmp_path / "c.csv").write_text("\n")
+    (tmp_path / "d.json").write_text('[{"id": "5"}, {"id": "6"}]')
+    (tmp_path / "e.jsonl").write_text('{"id": "7"}\n')
+    (tmp_path / "f.parquet").write_bytes(b"no parquet at all, but long enough for a footer")
+    (tmp_path / "g.parquet").write_bytes(b"PAR1")
+    (tmp_path / "other.txt").write_text("not read")
+    import pandas as pd
+
+    pd.DataFrame({"id": [8, 9], "value": [1.5, None]}).to_parquet(tmp_path / "h.parquet")
+    pd.DataFrame({"id": ["10"], "more": [True]}).to_parquet(tmp_path / "i.parquet")
+    rows, skipped = readers.read_anomaly_folder(spark, str(tmp_path))
+    got = [(r.file, r.row) for r in rows.orderBy("file", "at").collect()]
+    assert got == [
+        ("a.csv", {"id": "1", "value": "x\ny"}), ("a.csv", {"id": "2", "value": "z", "_malformed": "2,z,extra"}),
+        ("b.csv", {"value": 'q "r"', "id": "3", "column,name": "c"}), ("b.csv", {"value": None, "id": "4", "column,name": None}),
+        ("d.json", {"id": "5"}), ("d.json", {"id": "6"}), ("e.jsonl", {"id": "7"}),
+        ("h.parquet", {"id": "8", "value": "1.5"}), ("h.parquet", {"id": "9", "value": None}), ("i.parquet", {"id": "10", "more": "true"}),
+    ]
+    assert [tuple(r) for r in skipped.orderBy("file").collect()] == [
+        ("c.csv", "no header"), ("f.parquet", "no readable footer"), ("g.parquet", "no readable footer")]
+    with pytest.warns(UserWarning, match="left out"):
+        assert readers.read_anomaly_directory(spark, str(tmp_path)).count() == 10
+    (tmp_path / "bad.json").write_text("[{")
+    with pytest.raises(Exception):
+        readers.read_anomaly_folder(spark, str(tmp_path))[0].collect()
+
+
+def test_empty_anomaly_folder(spark, tmp_path):
+    rows, skipped = readers.read_anomaly_folder(spark, str(tmp_path))
+    assert rows.collect() == [] and skipped.collect() == []
