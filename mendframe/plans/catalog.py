@@ -28,7 +28,7 @@ from mendframe.plans import run as runs
 from mendframe.plans.samples import dirty_orders, orders_spec, table, validated_orders
 from mendframe.settings import ValidationSpec
 from mendframe.sources import readers, sinks, state
-from mendframe.streaming import lanes
+from mendframe.streaming import duplicates, lanes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1250,6 +1250,17 @@ def stream_window_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
+@query
+def stream_duplicate_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every member of every group of equal values of a stream, as a batch over the whole table flags them."""
+    schema = table(spark, sf_dir, "events").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    value = F.when(F.col("event_id") % 3 == 0, F.lit(" Hot ")).otherwise(F.col("value").cast("decimal(18,2)").cast("string"))
+    rows = rows.withColumn("value", value)
+    found = _streamed(spark, duplicates.duplicate_flags(rows, "value", "event_id", "ts", "4000 days", "4000 days"))
+    return found.select("dup_key", "row_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
 @query
 def batch_anomaly_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     validated = validation.validate(event_rows(table(spark, sf_dir, "events")), EVENT_SPEC, F.col("id").cast("bigint"))

@@ -758,6 +758,11 @@ CHECKS["stream_window_duplicates"] = f"""
 WITH w AS (SELECT date_trunc('day', ts) AS d, CAST(user_id AS VARCHAR) AS dup_key, count(*) AS n FROM events WHERE user_id IS NOT NULL
   GROUP BY ALL HAVING count(*) > 1)
 SELECT strftime(d, '%Y-%m-%d') AS window_start, dup_key, n FROM w {_CLOSED}"""
+CHECKS["stream_duplicate_flags"] = """
+WITH e AS (
+  SELECT event_id, ts, CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE CAST(CAST(value AS DECIMAL(18, 2)) AS VARCHAR) END AS dup_key FROM events
+), g AS (SELECT dup_key FROM e WHERE dup_key IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
+SELECT dup_key, CAST(event_id AS VARCHAR) AS row_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM e JOIN g USING (dup_key)"""
 CHECKS["batch_anomaly_rate"] = _EVENTS + """
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS rows, count(error) AS bad_rows,
   round(count(error) / count(*), 4) AS anomaly_rate FROM e GROUP BY 1"""
