@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
@@ -22,6 +24,68 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, place = _file_system(spark, path)
+    return system.exists(place)
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none if it is not there."""
+    system, place = _file_system(spark, path)
+    return sorted(s.getPath().getName() for s in system.listStatus(place) if s.isDirectory()) if system.exists(place) else []
+
+
+def create_file(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small new file; one that is there already raises, so that one of two writers wins."""
+    system, place = _file_system(spark, path)
+    out = system.create(place, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+class Stopped(Exception):
+    """The run was asked to end before this table."""
+
+
+class Journal:
+    """Numbers the cut tables of a run and keeps them in one folder, so that a rerun finds those that are complete."""
+
+    def __init__(self, folder: str, stop_before: str | None) -> None:
+        self.folder, self.stop_before, self.steps = folder, stop_before, 0
+        self.done: list[tuple[str, bool]] = []  # (name, read from an earlier run)
+
+    def place(self, spark: SparkSession, name: str) -> tuple[str, bool]:
+        if name == self.stop_before:
+            raise Stopped(name)
+        path = f"{self.folder}/{self.steps:04d}-{name}"
+        self.steps += 1
+        complete = exists(spark, f"{path}/_SUCCESS")
+        self.done.append((name, complete))
+        return path, complete
+
+
+_journal: contextvars.ContextVar[Journal | None] = contextvars.ContextVar("journal", default=None)
+
+
+@contextlib.contextmanager
+def journal(folder: str, stop_before: str | None = None) -> Iterator[Journal]:
+    """Within this, ``cut`` writes to numbered places and reads what an earlier run completed there.
+
+    It is for runs that cut the same tables in the same order over the same input.
+    """
+    held = Journal(folder, stop_before)
+    token = _journal.set(held)
+    try:
+        yield held
+    finally:
+        _journal.reset(token)
+
+
 def cut(rows: DataFrame, name: str = "stage", by: Sequence[str] = ()) -> DataFrame:
     """Write a table to the shared folder and go on from the written copy.
 
@@ -30,8 +94,11 @@ def cut(rows: DataFrame, name: str = "stage", by: Sequence[str] = ()) -> DataFra
     so that a filter on them reads only its part.
     """
     spark = rows.sparkSession
-    path = scratch_path(spark, name)
-    (rows.write.partitionBy(*by) if by else rows.write).parquet(path)
+    active = _journal.get()
+    path, complete = (scratch_path(spark, name), False) if active is None else active.place(spark, name)
+    if not complete:
+        writer = rows.write.mode("error" if active is None else "overwrite")  # a broken attempt left no mark of success
+        (writer.partitionBy(*by) if by else writer).parquet(path)
     written = spark.read.schema(rows.schema).parquet(path)
     return written.select(*(f"`{c}`" for c in rows.columns)) if by else written
 

@@ -24,7 +24,7 @@ from mendframe.operators import (
     validation,
 )
 from mendframe.operators.leaders import leader_clusters
-from mendframe.plans import run as runs
+from mendframe.plans import batches, run as runs
 from mendframe.plans.samples import dirty_orders, orders_spec, table, validated_orders
 from mendframe.settings import ValidationSpec
 from mendframe.sources import readers, sinks, state
@@ -1296,3 +1296,18 @@ def replay_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = spark.read.parquet(f"{folder}/staged_rows")
     done = batch.where(F.col("source_row_before")["id"].cast("bigint") % 5 == 0)
     return quality.replay_rows(batch, done).select("member_id", "cluster_id", "target_column", "transformed_value")
+
+
+@query
+def resumed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Promoted rows of two batches: one stopped after staging and replayed twice, one that shares rows with it."""
+    folder = tables.scratch_path(spark, "batches")
+    rows = dirty_orders(spark, sf_dir)
+    policies = {"guardrail_policy": RELAXED_GUARD, "promotion_policy": RELAXED_PROMOTION}
+    settings = {"spec": orders_spec(), "folder": folder, "seen_at": "2024-01-01T00:00:00+00:00", "order_by": "CAST(id AS BIGINT)"}
+    batches.run_batch(rows, batch_id="one", stop_before="decisions", **settings, **policies)
+    for _ in range(2):
+        batches.replay(spark, folder, "one", **policies)
+    batches.run_batch(rows, batch_id="two", **settings, **policies)
+    lane = batches.promoted_lane(spark, folder)
+    return lane.select("batch_id", "member_id", "target_column", "promoted_value")

@@ -772,3 +772,5 @@ SELECT member_id, cluster_id, value, CASE WHEN ord % 4 < 2 THEN 'approved' WHEN
 FROM members WHERE cluster_id IN (SELECT cluster_id FROM decided WHERE transformation_type = 'quarantine')""")
 _orders("replay_batch", """
 SELECT member_id, cluster_id, column_name AS target_column, input AS transformed_value FROM staged WHERE ord % 5 <> 0""")
+_orders("resumed_batch", """
+SELECT 'one' AS batch_id, member_id, column_name AS target_column, input AS promoted_value FROM staged""")
