@@ -891,6 +891,31 @@ def repair_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def repair_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arithmetic, calls, subscripts, NaN and infinity over all balances; every customer has a code of its own in some groups."""
+    key = F.col("c_custkey").cast("string")
+    digit = (F.col("c_custkey") % 9).cast("string")
+    codes = (
+        F.lit("lambda x: float('nan') if '-' in x else float('inf')"),
+        F.concat(F.lit("lambda x: x.replace('.', '"), key, F.lit("')")),
+        F.lit("lambda x: int(float(x)) % 7"),
+        F.concat(F.lit("lambda x: max(len(x), "), digit, F.lit(")")),
+        F.concat(F.lit("lambda x: -abs(int(float(x))) + "), key),
+        F.lit("lambda x: {'1': 'one', '2': 'two'}[x[0]]"),
+        F.lit("lambda x: x[::-1][1:4] * 2"),
+        F.lit("lambda x: 1 / (int(float(x)) % 2)"),
+        F.concat(F.lit("lambda x: ['a', 'b', 'c']["), digit, F.lit("]")),
+        F.lit("lambda x: (int(float(x)) - 5) ** 3 if x not in ('0.00', None) else None"),
+    )
+    cells = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.col("c_acctbal").cast("decimal(18,2)").cast("string").alias("value"),
+        F.get(F.array(*codes), (F.col("c_custkey") % len(codes)).cast("int")).alias("code"),
+    )
+    applied, _ = apply_codes(cells, cells.select("code", F.lit(1).alias("size")))
+    return applied.select("c_custkey", "value", "transformed_value", F.col("error").isNotNull().alias("failed"))
+
+
 @query
 def staged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, staged = order_plan(spark, sf_dir)

@@ -615,6 +615,18 @@ SELECT id, code_no, value, CASE WHEN failed THEN NULL ELSE CASE code_no
     WHEN 5 THEN CAST(TRY_CAST(replace(x, ',', '') AS DOUBLE) * 2 AS VARCHAR)
     WHEN 7 THEN CASE WHEN contains(x, '@') OR x = 'a' THEN 'yes' ELSE CASE WHEN x = 'b' THEN 'True' ELSE 'False' END END END END AS transformed_value,
   failed FROM tested""")
+CHECKS["repair_nodes"] = """
+WITH v AS (
+  SELECT c_custkey, c_custkey % 10 AS g, c_custkey % 9 AS digit, CAST(CAST(c_acctbal AS DECIMAL(18, 2)) AS VARCHAR) AS x,
+    CAST(trunc(CAST(c_acctbal AS DECIMAL(18, 2))) AS BIGINT) AS n FROM customer
+), r AS (
+  SELECT *, CASE g WHEN 5 THEN x[1] NOT IN ('1', '2') WHEN 7 THEN n % 2 = 0 WHEN 8 THEN digit > 2 ELSE false END AS failed FROM v
+)
+SELECT c_custkey, x AS value, CASE WHEN failed THEN NULL ELSE CASE g WHEN 1 THEN replace(x, '.', CAST(c_custkey AS VARCHAR))
+    WHEN 2 THEN CAST((n % 7 + 7) % 7 AS VARCHAR) WHEN 3 THEN CAST(greatest(length(x), digit) AS VARCHAR) WHEN 4 THEN CAST(c_custkey - abs(n) AS VARCHAR)
+    WHEN 5 THEN CASE x[1] WHEN '1' THEN 'one' ELSE 'two' END WHEN 6 THEN substr(reverse(x), 2, 3) || substr(reverse(x), 2, 3)
+    WHEN 7 THEN '1.0' WHEN 8 THEN ['a', 'b', 'c'][digit + 1]
+    WHEN 9 THEN CASE WHEN x = '0.00' THEN NULL ELSE CAST((n - 5) * (n - 5) * (n - 5) AS VARCHAR) END END END AS transformed_value, failed FROM r"""
 _orders("staged_rows", """
 SELECT s.member_id, s.cluster_id, s.cluster_uid, s.column_name AS target_column, s.value AS original_value,
   s.input AS transformed_value, s.fallback_value, d.order_date AS date_before,

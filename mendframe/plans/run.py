@@ -88,6 +88,7 @@ def run(
     guardrail_policy: Mapping[str, Any] | None = None,
     promotion_policy: Mapping[str, Any] | None = None,
     seen_at: str = "1970-01-01T00:00:00+00:00",
+    report: str | None = None,
 ) -> RunResult:
     """Run all stages in order and return their tables.
 
@@ -99,6 +100,10 @@ def run(
     context, together with ``memory`` and ``cluster_memory``, the stored vectors.
     With ``stand_in``, clusters without an answer of their own in ``responses`` get
     the fixed answer of their family.
+
+    With ``report``, the guardrail report is written to that folder before promotion is
+    decided, and a report that is not there then blocks it; else the written decisions
+    are the report. Approved clusters count as candidates only if they can be promoted.
     """
     spec = spec or ValidationSpec()
     validated = tables.cut(validation.lean(validation.validate(rows, spec, order_by)), "judged", by=["_bad"])
@@ -127,7 +132,13 @@ def run(
     guard_summary = tables.one_row(guardrails.guardrail_summary(
         decisions, breaker.circuit_breaker_active, breaker.circuit_breaker_reasons
     ))
-    judged = promotion.promotion_state(guard_summary, promotion_policy)
+    reported = True
+    if report is not None:
+        parts = {"decisions": decisions, "summary": guard_summary, "snapshot": snapshot}
+        sinks.write_sections(parts, f"{report}/guardrails", seen_at)
+        reported = all(tables.exists(rows.sparkSession, f"{report}/guardrails/{part}/_SUCCESS") for part in parts)
+    candidates = promotion.promoted_clusters(decisions, False).where("cluster_uid IS NOT NULL").count()
+    judged = tables.one_row(promotion.promotion_state(guard_summary, promotion_policy, reported, F.lit(candidates)))
     ready = promotion.promoted_clusters(decisions, judged.first().promotion_blocked)
     promoted = promotion.promoted_rows(staged, ready)
     return RunResult(

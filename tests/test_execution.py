@@ -161,3 +161,29 @@ def test_stage_marks_records_that_break_the_contract(spark):
     assert [(r.execution_status, list(r.missing_fields), r.affected_rows) for r in plan.collect()] == [("staged", [], 2)]
     summary = X.execution_summary(X.stage(whole.drop("code"), members)[0]).first()
     assert (summary.total, summary.invalid_contract, summary.quarantined, summary.applied_rows) == (2, 2, 0, 0)
+
+
+def test_a_run_names_every_blocker(spark, monkeypatch, tmp_path):
+    """A report that was not written and approved clusters that cannot be promoted block a run, too."""
+    from mendframe.operators import guardrails, promotion
+    from mendframe.plans import run as runs
+    from mendframe.plans.catalog import RELAXED_GUARD, RELAXED_PROMOTION
+
+    from mendframe.plans.samples import dirty_orders, orders_spec
+
+    rows, spec = dirty_orders(spark, "/root/testdata/sf0.001").where("CAST(id AS BIGINT) < 600"), orders_spec()
+    options = {"order_by": F.col("id").cast("bigint"), "guardrail_policy": RELAXED_GUARD, "promotion_policy": RELAXED_PROMOTION}
+
+    def blockers(result):
+        return result.promotion.first().blockers
+
+    with monkeypatch.context() as m:
+        m.setattr(runs.sinks, "write_sections", lambda *a: {})
+        lost = runs.run(rows, spec, report=str(tmp_path / "lost"), **options)
+        assert blockers(lost) == "missing_phase5_guardrail_artifact" and lost.promoted_rows.count() == 0
+    with monkeypatch.context() as m:
+        decide = guardrails.decide
+        m.setattr(guardrails, "decide", lambda *a: decide(*a).withColumn("cluster_uid", F.lit(None).cast("string")))
+        nameless = runs.run(rows, spec, report=str(tmp_path / "kept"), **options)
+        assert spark.read.parquet(str(tmp_path / "kept" / "guardrails" / "decisions")).count() == nameless.decisions.count()
+        assert blockers(nameless) == "approved_without_promotion_candidates" and nameless.promotion.first().promotion_candidates == 0
