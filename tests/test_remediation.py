@@ -18,9 +18,9 @@ def profile(spark, values, size=4, error="e", cluster_id="cluster_1", pattern="p
 
 
 @pytest.mark.parametrize("values,family", [
-    (["03-12-2024", "2024/03/12", "March 12 2024", "12-Mar-2024"], "date_format"),
-    (["abc@", "test@@mail", "userdomain.com", "user mail.com"], "string_corrupt"),
-    (["1,200.50", " 999.00 ", "5,00,000", "7 500"], "type_cast"),
+    (["07-08-2021", "2021/08/07", "August 7 2021", "07-Aug-2021"], "date_format"),
+    (["ann@", "bob@@post", "homepost.org", "eve post.org"], "string_corrupt"),
+    (["3,400.75", " 88.10 ", "12,34,567", "6 100"], "type_cast"),
     ([None, "NULL", "N/A", ""], "null_fill"),
     (["N/A"], "string_corrupt"),
 ])
