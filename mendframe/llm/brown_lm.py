@@ -17,31 +17,36 @@ from mendframe.llm.common import BATCH_ROWS, ascii_words, fold
 FOLDS, HELD_OUT = 7, 2
 END = b"\n"  # ends every text; no word holds white space
 CLASSES = 64  # classes among which words are exchanged
-CLUSTERED = 4_096  # most frequent words, each with a class of its own choice
+CLUSTERED = 4_096  # most frequent words, exchanged by both neighbours; all others by the word before
 DICTIONARY = 200_000  # most frequent words whose counts every task holds
 LONGEST = 64  # bytes of a word in the dictionary; with DICTIONARY this bounds what is broadcast
 ROUNDS = 6
+REST_ROUNDS = 2  # rounds of the words outside the most frequent after their first choice
 BLOCK = 64  # clustered words whose statistics travel together
 FLUSH = 300_000  # distinct words a task counts before it gives its counts out
+CHUNK = 200_000  # tokens that a task looks at together
+CELLS = 16_384  # cells of words that are weighed together
+SHORT = 64  # counts up to this have their logarithms in a table
 PRIOR = 20.0  # observations that the class distribution is worth against the transitions
 
 PUNCTUATION, SCRIPTS, LENGTHS = 4, 8, 3
 SHAPES = PUNCTUATION * SCRIPTS * LENGTHS
-LETTERS = CLASSES + 1 + SHAPES  # all classes: exchanged, end of text, shapes
+LETTERS = CLASSES + 1 + SHAPES  # all classes: exchanged, end of text, shapes; a byte holds one
+
+
+# by the last byte: a letter, a digit or non-ASCII; a full stop; a comma; anything else
+_ENDINGS = [SCRIPTS * LENGTHS * (0 if b > 127 or chr(b).isalnum() else 1 if b == 46 else 2 if b == 44 else 3) for b in range(256)]
 
 
 def shape(word: bytes) -> int:
-    """Class of a word outside the clustered ones: how it ends, its first non-ASCII letter, its length."""
-    last = word[-1]
-    ending = 0 if last > 127 or chr(last).isalnum() else 1 if last == 46 else 2 if last == 44 else 3
-    script = 0
+    """What an unseen word is told by, and any but the most frequent as the word before: ending, first non-ASCII letter, length."""
+    size = len(word)
+    found = _ENDINGS[word[-1]] + (0 if size <= 7 else 1 if size <= 12 else 2)
     if not word.isascii():
         for at, byte in enumerate(word):
             if byte > 127:
-                script = 1 + (byte * 31 + word[at + 1]) % (SCRIPTS - 1)
-                break
-    length = 0 if len(word) <= 7 else 1 if len(word) <= 12 else 2
-    return (ending * SCRIPTS + script) * LENGTHS + length
+                return found + (1 + (byte * 31 + word[at + 1]) % (SCRIPTS - 1)) * LENGTHS
+    return found
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -94,46 +99,65 @@ def _units(model_id: str, words: list[bytes]) -> _Units:
     return found
 
 
+def _tokens(texts: pa.Array, units: _Units) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, tokens of each row, units of all) of runs of rows; ``units.missed`` holds their words outside, for the caller to clear."""
+    first, lengths, made, size = 0, [], [], 0
+    for row, text in enumerate(texts, 1):
+        found = ascii_words(text.as_py())
+        found.append(END)
+        made.append(np.fromiter(map(units.__getitem__, found), np.int64, len(found)))
+        lengths.append(len(found))
+        size += len(found)
+        if size >= CHUNK or row == len(texts):
+            yield first, np.array(lengths), np.concatenate(made)
+            first, lengths, made, size = row, [], [], 0
+
+
 @dataclass
 class Model:
-    """Everything of bounded size that scoring needs; counts of rarer words stay in ``vocabulary``."""
+    """Everything of bounded size that scoring needs; counts and classes of rarer words stay in ``placed``."""
 
     vocabulary: DataFrame  # (word, c), all words
+    placed: DataFrame  # (word, c, class), all but the clustered words
     tokens: int
     types: int
     words: list[bytes]  # the dictionary, most frequent first
     counts: np.ndarray  # of the dictionary
     classes: np.ndarray  # of the clustered words
-    transitions: np.ndarray  # class pair counts
-    shape_tokens: np.ndarray
-    shape_types: np.ndarray
+    chosen: np.ndarray  # classes of the other words of the dictionary
+    transitions: np.ndarray  # counts of (class or shape of the word before, class)
+    unseen: np.ndarray  # counts of (class or shape of the word before, shape) over the words that occur once
+    lone_types: np.ndarray  # words that occur once, by shape
 
     def log_transitions(self) -> np.ndarray:
-        """log10 P(class | class before), drawn towards the distribution of classes."""
-        seen = self.transitions.sum(axis=0) + 1.0
+        """log10 P(class | word before), drawn towards the distribution of classes.
+
+        Unseen words, by their shapes, are as likely as words that were seen once (Good-Turing).
+        """
+        counts = self.transitions.copy()
+        counts[:, CLASSES + 1 :] += self.unseen
+        seen = counts.sum(axis=0) + 1.0
         base = seen / seen.sum()
-        rows = self.transitions.sum(axis=1, keepdims=True)
-        return np.log10((self.transitions + PRIOR * base) / (rows + PRIOR))
+        rows = counts.sum(axis=1, keepdims=True)
+        return np.log10((counts + PRIOR * base) / (rows + PRIOR))
 
-    def shape_log(self) -> np.ndarray:
-        """log10 of what a shape's words are normalised by: its tokens, its types, one unseen word."""
-        return np.log10(self.shape_tokens + self.shape_types + 1.0)
+    def class_log(self) -> np.ndarray:
+        """log10 of what the words of a class share: its tokens; for shapes as many unseen words as occur once, and one."""
+        return np.log10(np.concatenate((np.maximum(self.transitions.sum(axis=0)[: CLASSES + 1], 1.0), self.lone_types + 1.0)))
 
     def word_classes(self) -> np.ndarray:
         """Class of every dictionary word, then of the shapes."""
-        clustered = len(self.classes)
-        rest = [CLASSES + 1 + shape(w) for w in self.words[clustered:]]
-        known = np.concatenate((self.classes, np.array(rest, np.int64)))
-        return np.concatenate((known, np.arange(CLASSES + 1, LETTERS)))
+        return np.concatenate((self.classes, self.chosen, np.arange(CLASSES + 1, LETTERS)))
+
+    def before_classes(self) -> np.ndarray:
+        """What every dictionary word is as the word before: its class if clustered, else its shape; then the shapes."""
+        rest = [CLASSES + 1 + shape(w) for w in self.words[len(self.classes) :]]
+        return np.concatenate((self.classes, np.array(rest, np.int64), np.arange(CLASSES + 1, LETTERS)))
 
     def emissions(self) -> np.ndarray:
         """log10 P(word | class) of every dictionary word; 0 for the shapes."""
-        clustered = len(self.classes)
-        mass = np.bincount(self.classes, self.counts[:clustered], LETTERS)
-        own = np.log10(np.maximum(self.counts[:clustered], 1) / np.maximum(mass[self.classes], 1))
-        shapes = self.word_classes()[clustered : len(self.words)] - CLASSES - 1
-        rest = np.log10(self.counts[clustered:] + 1.0) - self.shape_log()[shapes]
-        return np.concatenate((own, rest, np.zeros(SHAPES)))
+        own = np.log10(np.maximum(self.counts, 1)) - self.class_log()[self.word_classes()[: len(self.words)]]
+        return np.concatenate((own, np.zeros(SHAPES)))
 
     def base_log(self) -> float:
         return float(np.log10(self.tokens + self.types + 1.0))
@@ -281,6 +305,221 @@ def _exchange(
     return changed
 
 
+# ---- words outside the most frequent
+
+
+_CONTEXTS = "word string, cells binary, counts binary"
+
+
+def _binary(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """Binary values, each the bytes of values[edges[i]:edges[i + 1]]."""
+    places = (edges * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _numbers(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of binary values one after another, and how many each value has."""
+    places = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    held = np.frombuffer(data, np.uint8)[places[0] : places[-1]] if data else np.zeros(0, np.uint8)
+    return np.frombuffer(held.tobytes(), kind), np.diff(places) // np.dtype(kind).itemsize
+
+
+def _summed(words: pa.Array, owners: np.ndarray, cells: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """One row per word of (word, cells, counts), from cells of words told by the number of the word."""
+    keys, at = np.unique(owners * LETTERS + cells, return_inverse=True)
+    totals = np.bincount(at, counts, len(keys)).astype(np.int64)
+    edges = np.searchsorted(keys, np.arange(len(words) + 1) * LETTERS)
+    return pa.RecordBatch.from_arrays(
+        [words, _binary((keys % LETTERS).astype(np.uint8), edges), _binary(totals, edges)], ["word", "cells", "counts"]
+    )
+
+
+def _contexts(texts: DataFrame, words: list[bytes], classes: np.ndarray) -> DataFrame:
+    """(word, cells, counts): how often each word outside ``words`` comes after each class, or shape of a word outside.
+
+    A task gives its counts out in one row per word and run of tokens. Rows of a word meet
+    sorted and are added up as they stream through.
+    """
+    sent, model_id = texts.sparkSession.sparkContext.broadcast(words), uuid.uuid4().hex
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = _units(model_id, sent.value)
+        held, befores = [], []
+        for batch in batches:
+            for _, _, at in _tokens(batch.column(0), units):
+                before = np.concatenate(([CLASSES], classes[at[:-1]]))  # every text ends in END, whose class this is
+                befores.append(before[at >= units.shapes_at])
+                held += units.missed
+                units.missed.clear()
+                if len(held) > FLUSH:
+                    yield given(held, befores)
+                    held, befores = [], []
+        if held:
+            yield given(held, befores)
+
+    def given(held: list[bytes], befores: list[np.ndarray]) -> pa.RecordBatch:
+        coded = pa.array(held, pa.binary()).dictionary_encode()
+        owners = coded.indices.to_numpy().astype(np.int64)
+        return _summed(coded.dictionary.cast(pa.string()), owners, np.concatenate(befores), np.ones(len(held)))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            rows = pa.Table.from_batches([batch]) if last is None else pa.Table.from_batches([last, batch])
+            rows = rows.combine_chunks().to_batches()[0]
+            coded = rows.column(0).dictionary_encode()  # sorted, so numbers rise
+            cells, sizes = _numbers(rows.column(1), np.uint8)
+            counts, _ = _numbers(rows.column(2), np.int64)
+            added = _summed(coded.dictionary, np.repeat(coded.indices.to_numpy().astype(np.int64), sizes), cells, counts)
+            if added.num_rows > 1:
+                yield added.slice(0, added.num_rows - 1)
+            last = added.slice(added.num_rows - 1)
+        if last is not None:
+            yield last
+
+    given_out = texts.select("text").mapInArrow(count, _CONTEXTS)
+    return given_out.repartition("word").sortWithinPartitions("word").mapInArrow(add, _CONTEXTS)
+
+
+class _Choice:
+    """Best classes of words by what comes before them, against fixed counts of (before, class)."""
+
+    def __init__(self, table: np.ndarray) -> None:
+        self.table, self.sums = table, table.sum(axis=0)
+        self.held, self.held_sums = _information(table), _information(self.sums)
+        self.once = _information(table + 1) - self.held
+        many = np.arange(SHORT + 1)[:, None]
+        self.share = _information(self.sums + many) - self.held_sums
+        self.lone = (self.once - self.share[1]).argmax(axis=1)  # of words that occur once
+
+    def joined(self, cells: np.ndarray, counts: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """What each word adds to the likelihood in each class, its own counts not among the fixed ones."""
+        gains = self.once[cells]
+        more = np.flatnonzero(counts > 1)
+        gains[more] = _information(self.table[cells[more]] + counts[more, None]) - self.held[cells[more]]
+        shared = self.share[np.minimum(sizes, SHORT)]
+        long = np.flatnonzero(sizes > SHORT)
+        shared[long] = _information(self.sums + sizes[long, None]) - self.held_sums
+        return np.add.reduceat(gains, starts, axis=0) - shared
+
+    def first(self, cells: np.ndarray, counts: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return self.joined(cells, counts, starts, sizes).argmax(axis=1)
+
+    def again(self, own: np.ndarray, cells: np.ndarray, counts: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Best class of words whose counts are among the fixed ones, in their own class."""
+        gain = self.joined(cells, counts, starts, sizes)
+        mine = np.repeat(own, np.diff(np.append(starts, len(cells))))
+        held = self.held[cells, mine] - _information(np.maximum(self.table[cells, mine] - counts, 0))
+        staying = np.add.reduceat(held, starts) - self.held_sums[own] + _information(np.maximum(self.sums[own] - sizes, 0))
+        row = np.arange(len(own))
+        gain[row, own] = staying
+        best = gain.argmax(axis=1)
+        return np.where(gain[row, best] > staying + 1e-6, best, own)
+
+
+def _chosen(batch: pa.RecordBatch, steps: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(class, tokens, cells, counts, owner of each cell) of the words of a batch after all steps.
+
+    In the first step every word takes a class, in each later one every other word may move.
+    """
+    cells, lengths = _numbers(batch.column("cells"), np.uint8)
+    counts, _ = _numbers(batch.column("counts"), np.int64)
+    cells = cells.astype(np.int64)
+    starts = np.cumsum(lengths) - lengths
+    sizes = np.add.reduceat(counts, starts)
+    lots = batch.column("lot").to_numpy()
+    found = np.zeros(len(sizes), np.int64)
+    choices = [_Choice(table) for table in steps]
+    for step, choice in enumerate(choices):
+        free = np.ones(len(sizes), bool) if step == 0 else lots == step % 2
+        if step == 0:
+            lone = np.flatnonzero(sizes == 1)
+            found[lone] = choice.lone[cells[starts[lone]]]
+            free[lone] = False
+        free = np.flatnonzero(free)
+        reach = np.cumsum(lengths[free])
+        cuts = np.searchsorted(reach, np.arange(CELLS, reach[-1], CELLS)) if len(free) else []
+        for words in np.split(free, np.unique(cuts)):
+            if not len(words):
+                continue
+            size = lengths[words]
+            own_starts = np.cumsum(size) - size
+            places = np.arange(size.sum()) - np.repeat(own_starts, size) + np.repeat(starts[words], size)
+            context = cells[places], counts[places], own_starts, sizes[words]
+            found[words] = choice.first(*context) if step == 0 else choice.again(found[words], *context)
+    return found, sizes, cells, counts, np.repeat(np.arange(len(sizes)), lengths)
+
+
+def _cells(rows: DataFrame, function, shape: tuple[int, int]) -> np.ndarray:
+    """Sum of the matrices that ``function`` makes of Arrow batches; one per task is added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape[0] * shape[1], np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                total += function(batch)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+
+    total = np.zeros(shape[0] * shape[1])
+    for row in rows.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        total[row["cell"]] = row["n"]  # at most the cells of the matrix
+    return total.reshape(shape)
+
+
+def place_rest(contexts: DataFrame, head: np.ndarray, rounds: int) -> tuple[DataFrame, np.ndarray]:
+    """(word, c, class) of every word of (word, cells, counts), and the counts (before, class) of all words.
+
+    Predictive exchange: a word takes the class that raises the likelihood of the words after
+    their predecessors most. What comes before is fixed, so the corpus is not read again: a
+    round is one pass over the table of contexts, against the counts of the round before.
+    ``head`` are the counts without these words.
+    """
+    rows = contexts.withColumn("lot", F.pmod(F.xxhash64("word"), F.lit(2)))
+    steps = [head]
+
+    def counted(steps: list[np.ndarray]) -> np.ndarray:
+        def matrix(batch: pa.RecordBatch) -> np.ndarray:
+            found, _, cells, counts, owners = _chosen(batch, steps)
+            return np.bincount(cells * CLASSES + found[owners], counts, LETTERS * CLASSES).astype(np.int64)
+
+        return head + _cells(rows, matrix, (LETTERS, CLASSES))
+
+    def likelihood(table: np.ndarray) -> float:
+        return float(_information(table).sum() - _information(table.sum(axis=0)).sum())
+
+    total = counted(steps)
+    for _ in range(rounds):
+        after = counted([*steps, total])
+        if likelihood(after) <= likelihood(total):  # too many moved at once: the round is taken back
+            break
+        steps, total = [*steps, total], after
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found, sizes, *_ = _chosen(batch, steps)
+                yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(sizes), pa.array(found.astype(np.int32))], ["word", "c", "class"])
+
+    return rows.mapInArrow(place, "word string, c long, class int"), total
+
+
+def _seen_once(contexts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of (before, shape) over the words that occur once, and their number by shape."""
+
+    def matrix(batch: pa.RecordBatch) -> np.ndarray:
+        before, _ = _numbers(batch.column("cells"), np.uint8)
+        shapes = np.array([shape(word.encode()) for word in batch.column("word").to_pylist()])
+        return np.bincount(before.astype(np.int64) * SHAPES + shapes, minlength=LETTERS * SHAPES)
+
+    once = contexts.where((F.length("cells") == 1) & (F.col("counts") == F.lit(np.int64(1).tobytes())))
+    unseen = _cells(once.select("word", "cells"), matrix, (LETTERS, SHAPES))
+    return unseen, unseen.sum(axis=0)
+
+
 def _most_frequent(vocabulary: DataFrame) -> tuple[list[bytes], np.ndarray]:
     """Words with their counts, most frequent first, as far down as ``DICTIONARY`` words hold.
 
@@ -306,7 +545,8 @@ def learn(texts: DataFrame, rounds: int = ROUNDS) -> Model:
     """Count, cluster, and count again over the whole training texts (column text).
 
     The class counts of the clustered words are the only ones that the rounds need, so
-    the corpus is written once as numbers and each round reads those.
+    the corpus is written once as numbers and each round reads those. Every other word then
+    takes a class by the words before it.
     """
     vocabulary = tables.cut(count_words(texts), "vocabulary")
     tokens, types = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -334,89 +574,91 @@ def learn(texts: DataFrame, rounds: int = ROUNDS) -> Model:
         else:  # too many moved at once: take the round back, move fewer from now on
             share *= 2
 
-    head = set(words[:clustered])
-    sent = texts.sparkSession.sparkContext.broadcast(head)
-
-    def shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, mass = [], []
-            for word, c in zip(batch.column(0), batch.column(1)):
-                word = word.as_py().encode()
-                if word not in sent.value:
-                    found.append(shape(word))
-                    mass.append(c.as_py())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(SHAPES)), pa.array(np.bincount(np.array(found, np.int64), mass, SHAPES).astype(np.int64)),
-                 pa.array(np.bincount(np.array(found, np.int64), minlength=SHAPES))],
-                ["shape", "tokens", "types"],
-            )
-
-    shape_tokens, shape_types = np.zeros(SHAPES), np.zeros(SHAPES)
-    rows = vocabulary.select("word", "c").mapInArrow(shaped, "shape long, tokens long, types long")
-    for row in rows.groupBy("shape").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).collect():
-        shape_tokens[row["shape"]], shape_types[row["shape"]] = row["tokens"], row["types"]
-    return Model(vocabulary, tokens, types, words, counts, classes[:shapes_at], transitions, shape_tokens, shape_types)
+    contexts = tables.cut(_contexts(texts, words[:clustered], classes), "contexts")
+    placed, table = place_rest(contexts, transitions[:, :CLASSES], min(rounds, REST_ROUNDS))
+    placed = tables.cut(placed, "placed")
+    ending = np.zeros((LETTERS, LETTERS))
+    ending[:, :CLASSES], ending[:, CLASSES] = table, transitions[:, CLASSES]
+    unseen, lone_types = _seen_once(contexts)
+    known = {}
+    if clustered < len(words):  # whole steps of counts are in the dictionary, so its least count tells its words
+        held = placed.where((F.col("c") >= int(counts[-1])) & (F.octet_length("word") <= LONGEST)).select("word", "class").toArrow()
+        known = dict(zip(held["word"].to_pylist(), held["class"].to_pylist()))
+    chosen = np.array([known[word.decode()] for word in words[clustered:]], np.int64)
+    return Model(vocabulary, placed, tokens, types, words, counts, classes[:shapes_at], chosen, ending, unseen, lone_types)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, ...) of every row's whole text.
 
-    ``score`` is the sum of log10 P(class | class before) + log10 P(word | class). Words of
-    the dictionary are scored where the text is; of the others a task gives out (word,
-    times) per text, whose counts come from the vocabulary by a join. Rows are told apart
+    ``score`` is the sum of log10 P(class | word before) + log10 P(word | class). Words of
+    the dictionary are scored where the text is; of the others a task gives out (word, before,
+    times) per text, whose counts and classes come by a join. Rows are told apart
     by a written row number, so repeated and NULL ids are scored row by row. NULL and empty
     texts are one end token. With nothing learned, every word is unknown.
     """
     spark = docs.sparkSession
     model_id = uuid.uuid4().hex
     base = np.log10(model.counts + 1.0) - model.base_log()
+    steps = model.log_transitions()
     sent = spark.sparkContext.broadcast((
-        model.words, np.concatenate((base, np.zeros(SHAPES))), model.word_classes(), model.emissions(),
-        np.concatenate((model.counts > 0, np.zeros(SHAPES, bool))), model.log_transitions(),
+        model.words, np.concatenate((base, np.zeros(SHAPES))), model.before_classes(), model.word_classes(), model.emissions(),
+        np.concatenate((model.counts > 0, np.zeros(SHAPES, bool))), steps,
     ))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, base, classes, emissions, known, steps = sent.value
+        words, base, befores, classes, emissions, known, steps = sent.value
         units = _units(model_id, words)
         for batch in batches:
             for start in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(start, BATCH_ROWS)
-                rows = []
-                for text in part.column(1):
-                    found = ascii_words(text.as_py())
-                    found.append(END)
-                    at = np.fromiter(map(units.__getitem__, found), np.int64, len(found))
-                    path = classes[at]
-                    moves = steps[np.concatenate(([CLASSES], path[:-1])), path]
-                    rare = [(w.decode(), n, shape(w)) for w, n in Counter(units.missed).items()]
+                for first, lengths, at in _tokens(part.column(1), units):
+                    ends = np.cumsum(lengths)
+                    starts = ends - lengths
+                    before = np.concatenate(([CLASSES], befores[at[:-1]]))  # every text ends in END, whose class this is
+                    own = np.where(at < units.shapes_at, emissions[at] + steps[before, classes[at]], 0.0)
+                    missing = np.flatnonzero(at >= units.shapes_at)
+                    rare = outside(units.missed, np.searchsorted(ends, missing, "right"), before[missing], at[missing] - units.shapes_at, len(lengths))
                     units.missed.clear()
-                    rows.append((len(found), int(known[at].sum()), float(base[at].sum()), float((emissions[at] + moves).sum()), rare))
-                n, seen, low, high, rare = zip(*rows)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(low), pa.array(high),
-                     pa.array([[{"word": w, "n": k, "shape": s} for w, k, s in x] for x in rare],
-                              pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64()), ("shape", pa.int32())])))],
-                    ["_row", "n", "seen", "base", "score", "rare"],
-                )
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).slice(first, len(lengths)), pa.array(lengths, pa.int64()),
+                         pa.array(np.add.reduceat(known[at].astype(np.int64), starts)), pa.array(np.add.reduceat(base[at], starts)),
+                         pa.array(np.add.reduceat(own, starts)), rare],
+                        ["_row", "n", "seen", "base", "score", "rare"],
+                    )
+
+    def outside(missed: list[bytes], rows: np.ndarray, before: np.ndarray, shapes: np.ndarray, count: int) -> pa.Array:
+        """A list per row of (word, before, shape, n)."""
+        coded = pa.array(missed, pa.binary()).dictionary_encode()
+        numbers = coded.indices.to_numpy().astype(np.int64)
+        width = (len(coded.dictionary) + 1) * LETTERS
+        keys, at, n = np.unique(rows * width + numbers * LETTERS + before, return_index=True, return_counts=True)
+        fields = [
+            coded.dictionary.take(pa.array(numbers[at])).cast(pa.string()), pa.array(before[at].astype(np.int32)),
+            pa.array(shapes[at].astype(np.int32)), pa.array(n.astype(np.int64)),
+        ]
+        edges = np.searchsorted(keys, np.arange(count + 1) * width).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays(fields, ["word", "before", "shape", "n"]))
 
     numbered = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
     local = tables.cut(
         numbered.select(F.struct("_row", "doc_id").alias("_row"), "text").mapInArrow(
             scored,
             f"_row struct<_row:long,doc_id:{docs.schema['doc_id'].dataType.simpleString()}>, n long, seen long, base double, "
-            "score double, rare array<struct<word:string,n:long,shape:int>>",
+            "score double, rare array<struct<word:string,before:int,shape:int,n:long>>",
         ).select("_row.*", "n", "seen", "base", "score", "rare"),
         "scored",
     )
-    shapes = spark.createDataFrame(
-        [(i, float(x)) for i, x in enumerate(model.shape_log())], "shape int, norm double"
+    paths = spark.createDataFrame(
+        [(i, k, x) for i, row in enumerate((steps - model.class_log()).tolist()) for k, x in enumerate(row)], "before int, class int, step double"
     )
-    rare = local.select("_row", F.inline("rare")).join(model.vocabulary, "word", "left").join(F.broadcast(shapes), "shape")
-    count = F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))
+    rare = local.select("_row", F.inline("rare")).join(model.placed, "word", "left").withColumn(
+        "class", F.coalesce("class", F.lit(CLASSES + 1) + F.col("shape"))
+    ).join(F.broadcast(paths), ["before", "class"])
     sums = rare.groupBy("_row").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("_seen"),
-        F.sum(F.col("n") * (count - F.lit(model.base_log()))).alias("_base"),
-        F.sum(F.col("n") * (count - F.col("norm"))).alias("_score"),
+        F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0)) - F.lit(model.base_log()))).alias("_base"),
+        F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(1))) + F.col("step"))).alias("_score"),
     )
     return local.drop("rare").join(sums, "_row", "left").select(
         "doc_id", F.col("n").alias("n_tokens"), (F.col("seen") + F.coalesce("_seen", F.lit(0))).alias("n_known"),
