@@ -264,7 +264,7 @@ def best_memories(
     its key combinations; anything else is beaten by k older rows that match
     at least as much. So a key shared by most of the memory costs k rows per
     combination, and the join never pairs whole groups. ``need`` limits the
-    combinations to those with that column.
+    combinations to those with that column. Pass a written ``memory``: its rows are counted first.
     """
     names = list(weights)
     combos = [
@@ -282,7 +282,12 @@ def best_memories(
         ))
 
     others = [c for c in memory.columns if c not in names and c != "mem_ord"]
-    packed = memory.select(
+    # every combination of a task's rows is sorted there, so tasks get a fixed number of rows
+    parts = -(-memory.count() // S.MEMORY_ROWS)
+    dealt = memory
+    if parts > 1:
+        dealt = memory.withColumn("_at", F.monotonically_increasing_id()).repartition(parts, "_at").drop("_at")
+    packed = dealt.select(
         *names, "mem_ord", F.struct("mem_ord", *names, *others).alias("memory")
     ).select(F.inline(keys()), "mem_ord", "memory")
     heads = tables.first_per_key(packed, ["combo", "key"], ["mem_ord"], k)

@@ -90,6 +90,26 @@ def test_memory_search_equals_brute_force(spark, large, request):
         assert sorted((-s, o) for s, o in got.get(cluster, [])) == sorted(want)[:5]
 
 
+def test_memory_search_sorts_a_bounded_number_of_rows_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr(R.S, "MEMORY_ROWS", 50)
+    rows = [(i, f"p{i % 3}" if i % 7 else None, "a", f"t{i % 2}") for i in range(500)]
+    table = spark.createDataFrame(rows, "mem_ord bigint, pattern_key string, inferred_anomaly_type string, target_column string").coalesce(1)
+    asked = spark.createDataFrame([("c0", "p0", "a", "t1"), ("c1", None, "z", "t0")], "cluster_id string, pattern_key string, inferred_anomaly_type string, target_column string")
+    sorted_in, first = [], R.tables.first_per_key
+
+    def spy(rows, *rest):
+        if "combo" in rows.columns:
+            sorted_in.append([r["n"] for r in rows.groupBy(R.F.spark_partition_id().alias("p")).agg(R.F.count("*").alias("n")).collect()])
+        return first(rows, *rest)
+
+    monkeypatch.setattr(R.tables, "first_per_key", spy)
+    found = R.best_memories(asked, table, S.HISTORY_WEIGHTS, 3).collect()
+    assert len(sorted_in[0]) > 5 and sum(sorted_in[0]) == 500 * 7 and max(sorted_in[0]) < 250 * 7
+    monkeypatch.setattr(R.S, "MEMORY_ROWS", 10_000)
+    whole = R.best_memories(asked, table, S.HISTORY_WEIGHTS, 3).collect()
+    assert sorted((r.cluster_id, r.score, r.mem_ord) for r in found) == sorted((r.cluster_id, r.score, r.mem_ord) for r in whole)
+
+
 def test_reuse_needs_the_pattern_and_a_usable_best_row(spark):
     base = "mem_ord bigint, pattern_key string, inferred_anomaly_type string, target_column string, transformation_type string, code string, confidence_score double, reasoning string"
     weak_first = [(1, "p", "date_format", "col", "rule", "lambda x: x", 0.5, "weak"), (2, "p", "x", "y", "rule", "lambda x: x", 0.9, "good")]
