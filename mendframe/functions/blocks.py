@@ -18,6 +18,7 @@ from mendframe import settings as S
 from mendframe.functions import tables
 
 Scorer = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
+PICKED = 16  # so many places are picked one by one; for more, rows are sorted
 
 
 def vector_scores(query: str = "vector", doc: str = "vector") -> Scorer:
@@ -26,6 +27,17 @@ def vector_scores(query: str = "vector", doc: str = "vector") -> Scorer:
     def score(queries: pd.DataFrame, docs: pd.DataFrame) -> np.ndarray:
         return cosines(queries[query], docs[doc])
 
+    def prepare(docs: pd.DataFrame) -> Callable[[pd.DataFrame], np.ndarray]:
+        width = _width(docs[doc])
+        units = _unit(docs[doc], width).T
+
+        def against(queries: pd.DataFrame) -> np.ndarray:
+            wider = _width(queries[query]) > width
+            return score(queries, docs) if wider else _unit(queries[query], width) @ units
+
+        return against
+
+    score.prepare = prepare  # docs that meet many slices of queries become a matrix once
     return score
 
 
@@ -62,10 +74,14 @@ def squared_distances(query: str = "vector", doc: str = "vector") -> Scorer:
 
 def cosines(left: pd.Series, right: pd.Series) -> np.ndarray:
     """Cosine similarity of every vector with every other; missing and zero vectors are near nothing."""
-    width = max((0 if v is None else len(v) for side in (left, right) for v in side), default=0)
+    width = max(_width(left), _width(right))
     return _unit(left, width) @ _unit(right, width).T
 
 
+def _width(vectors: pd.Series) -> int:
+    return max((0 if v is None else len(v) for v in vectors), default=0)
+
+
 def _unit(vectors: pd.Series, width: int) -> np.ndarray:
     matrix = np.zeros((len(vectors), width))
     for row, vector in zip(matrix, vectors):
@@ -75,6 +91,22 @@ def _unit(vectors: pd.Series, width: int) -> np.ndarray:
     return matrix / np.where(lengths == 0, 1.0, lengths)
 
 
+def first_places(scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` highest scores of each row, highest first, of equal ones the leftmost first.
+
+    A few places are picked one by one, which is less work than to sort the row.
+    """
+    if k == 1:
+        return scores.argmax(axis=1)[:, None]
+    if k > PICKED or k >= scores.shape[1] or not np.isfinite(scores).all():
+        return np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    rest, rows, order = scores.copy(), np.arange(len(scores)), np.empty((len(scores), k), np.int64)
+    for place in range(k):
+        order[:, place] = rest.argmax(axis=1)
+        rest[rows, order[:, place]] = -np.inf
+    return order
+
+
 def _blocks(rows: DataFrame, cells: str, block_rows: int) -> int:
     count, elements = rows.agg(F.count("*"), F.coalesce(F.sum(F.greatest(F.size(cells), F.lit(0))), F.lit(0))).first()
     return max(1, -(-count // block_rows), -(-elements // S.BLOCK_CELLS))
@@ -111,12 +143,13 @@ def top_k(
         ds = ds.sort_values("doc_id", ignore_index=True)
         ids, parts = ds["doc_id"].to_numpy(), []
         step = max(1, 4_000_000 // len(ds))  # rows of the score matrix held at once
+        against = score.prepare(ds) if hasattr(score, "prepare") else lambda some: score(some, ds)
         for start in range(0, len(qs), step):
             some = qs.iloc[start:start + step]
-            scores = score(some, ds)
+            scores = against(some)
             if digits is not None:
                 scores = np.floor(scores * 10**digits + 0.5) / 10**digits
-            order = np.argsort(-scores, axis=1, kind="stable")[:, :k] if k > 1 else scores.argmax(axis=1)[:, None]
+            order = first_places(scores, k)
             parts.append(pd.DataFrame({
                 "query_id": np.repeat(some["query_id"].to_numpy(), order.shape[1]),
                 "doc_id": ids[order].ravel(),
