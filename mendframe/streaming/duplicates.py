@@ -1,9 +1,10 @@
 """Duplicates in a stream by keyed state: every repeat is flagged as it comes, the first of a group once it has one.
 
-A key may hold any share of the rows, so its rows are dealt over ``SHARES`` tasks first.
-Each share keeps the first row it saw (its lead) and flags the others; a second step
-sees only the leads and one message per share and batch, and settles which of the leads
-repeat another. Flagged rows pass the second step under spread keys of their own.
+A key may hold any share of the rows, so the rows of a batch are dealt over ``SHARES`` tasks
+by key first, in groups of many keys. There every row but the earliest of its key is flagged,
+and that one (its lead) goes on with word of the others. A second step keeps the state, one
+row per key, and settles which of the leads repeat another. Flagged rows pass it under spread
+keys of their own. So a key costs one state, read and written with the rows, whatever its shares.
 """
 
 from __future__ import annotations
@@ -13,113 +14,79 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.stateful_processor import TimerValues
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from mendframe.functions import text as tx
 from mendframe.operators import validation
 from mendframe.streaming.lanes import event_time
 
 SHARES = 16  # tasks over which the rows of one key may be spread
+LOTS = 64  # groups of keys in a share
+SPREAD = 1_024  # keys under which flagged rows pass the second step
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-_ROUTED = "route string, kind string, dup_key string, row_id string, ts timestamp"
+_ROUTED = "route string, dup_key string, row_id string, ts timestamp, last timestamp, more boolean"
+_HELD = "row_id string, ts timestamp, flagged boolean, due long"
 FLAGS = "dup_key string, row_id string, ts timestamp, flag string"
 
 
-class _Kept(StatefulProcessor):
-    """A value per key that goes when its event time is ``keep_ms`` behind the watermark."""
-
-    schema = ""
-
-    def __init__(self, keep_ms: int) -> None:
-        self.keep_ms = keep_ms
+class _Share(StatefulProcessor):
+    """The rows of a batch in one share of a lot of keys: the earliest of each key leads, the others repeat it. It keeps nothing."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getValueState("held", self.schema)
-
-    def keep(self, last: pd.Timestamp) -> None:
-        """Let the state of this key live on from the latest of its rows."""
-        at = int(last.timestamp() * 1000) + self.keep_ms
-        timers = list(self.handle.listTimers())
-        if all(t < at for t in timers):
-            for old in timers:
-                self.handle.deleteTimer(old)
-            self.handle.registerTimer(at)
-
-    def known(self, timers: TimerValues) -> tuple | None:
-        """The value of this key; rows of a batch are seen before its timers, so one that is due counts as gone."""
-        if not self.held.exists():
-            return None
-        due = max(self.handle.listTimers(), default=None)
-        if due is not None and due <= timers.getCurrentWatermarkInMs():
-            self.held.clear()
-            return None
-        return self.held.get()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.held.clear()
-        return iter([])
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            frame = frame[["dup_key", "row_id", "ts"]].sort_values(["dup_key", "ts", "row_id"], ignore_index=True)
+            keys = frame.groupby("dup_key", sort=False)
+            leads = ~frame.dup_key.duplicated()
+            spread = pd.util.hash_array(frame.row_id.to_numpy(dtype=object)) % SPREAD
+            frame["route"] = ("k" + frame.dup_key).where(leads, pd.Series(spread).map("f{}".format))
+            frame["last"], frame["more"] = keys.ts.transform("max"), keys.dup_key.transform("size") > 1
+            yield frame[["route", "dup_key", "row_id", "ts", "last", "more"]]
 
     def close(self) -> None:
         pass
 
 
-class _Share(_Kept):
-    """The rows of one key that fell to one share: a lead, and repeats of it."""
-
-    schema = "row_id string, ts timestamp"
+def _settle(keep_ms: int):
+    """The leads of one key. The first waits for another row; all others repeat it. Other keys only pass on what is flagged.
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        dup_key = key[0]
-        for frame in rows:
-            frame = frame.sort_values(["ts", "row_id"], ignore_index=True)
-            lead = self.known(timerValues)
-            out = []
-            if lead is None:
-                lead = (frame.row_id[0], frame.ts[0])
-                self.held.update(lead)
-                out.append(pd.DataFrame({"route": [f"k{dup_key}"], "kind": ["lead"], "dup_key": [dup_key], "row_id": [lead[0]], "ts": [lead[1]]}))
-                frame = frame.iloc[1:]
-            if len(frame):
-                spread = pd.util.hash_array(frame.row_id.to_numpy(dtype=object)) % 1_024
-                out.append(pd.DataFrame({"route": [f"f{n}" for n in spread], "kind": "repeat", "dup_key": dup_key, "row_id": frame.row_id, "ts": frame.ts}))
-                out.append(pd.DataFrame({"route": [f"k{dup_key}"], "kind": ["again"], "dup_key": [dup_key], "row_id": [lead[0]], "ts": [frame.ts.max()]}))
-                self.keep(frame.ts.max())
-            else:
-                self.keep(lead[1])
-            yield from out
-
-
-class _Group(_Kept):
-    """The leads of one key. The first waits for another row; all others repeat it. Other keys only pass on what is settled."""
-
-    schema = "row_id string, ts timestamp, flagged boolean"
+    The state goes when its event time is ``keep_ms`` behind the watermark; rows of a batch
+    are seen before its timeouts, so one that is due counts as gone.
+    """
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def settle(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         if key[0].startswith("f"):
             for frame in rows:
-                yield frame.rename(columns={"kind": "flag"})[["dup_key", "row_id", "ts", "flag"]]
+                yield frame.assign(flag="repeat")[["dup_key", "row_id", "ts", "flag"]]
             return
+        first, flagged, due = None, False, 0
+        if state.exists:
+            *first, flagged, due = state.get
+            if due <= state.getCurrentWatermarkMs():
+                first, flagged, due = None, False, 0
         for frame in rows:
-            first = self.known(timerValues)
-            out: list[tuple] = []
-            # leads of a batch before the messages about them, in the order of time
-            order = frame.assign(late=frame.kind != "lead").sort_values(["late", "ts", "row_id"])
-            for kind, dup_key, row_id, ts in order[["kind", "dup_key", "row_id", "ts"]].itertuples(index=False):
-                if first is None:
-                    first = (row_id, ts, False)
-                    if kind == "lead":
-                        continue
-                if kind == "lead":
-                    out.append((dup_key, row_id, ts, "repeat"))
-                if not first[2] and (kind == "lead" or row_id == first[0]):
-                    out.append((dup_key, first[0], first[1], "first"))
-                    first = (first[0], first[1], True)
-            self.held.update(first)
-            self.keep(frame.ts.max())
+            dup_key = frame.dup_key.iat[0]
+            leads = list(zip(frame.row_id, frame.ts))
+            out, more = [], first is not None or len(leads) > 1 or frame.more.iat[0]
+            if first is None:
+                leads.sort(key=lambda lead: (lead[1], lead[0]))
+                first = leads.pop(0)
+            if more and not flagged:
+                out, flagged = [(dup_key, *first, "first")], True
+            out += [(dup_key, *lead, "repeat") for lead in leads]
+            due = max(due, int(frame["last"].max().timestamp() * 1000) + keep_ms)
             if out:
                 yield pd.DataFrame(out, columns=["dup_key", "row_id", "ts", "flag"])
+        state.update((*first, flagged, due))
+        state.setTimeoutTimestamp(due)
+
+    return settle
 
 
 def duplicate_flags(rows: DataFrame, column: str, row_id: str, time: str, keep: str, lateness: str) -> DataFrame:
@@ -137,6 +104,7 @@ def duplicate_flags(rows: DataFrame, column: str, row_id: str, time: str, keep:
     timed = event_time(rows, time).withWatermark(time, lateness)
     key = tx.dedup_key(validation.cell_text(rows, column))
     named = timed.select(key.alias("dup_key"), F.col(row_id).cast("string").alias("row_id"), F.col(time).alias("ts")).where("dup_key IS NOT NULL")
-    shares = named.withColumn("share", F.pmod(F.xxhash64("row_id"), F.lit(SHARES)).cast("int")).groupBy("dup_key", "share")
-    routed = shares.transformWithStateInPandas(_Share(keep_ms), _ROUTED, "append", "eventTime", eventTimeColumnName="ts")
-    return routed.groupBy("route").transformWithStateInPandas(_Group(keep_ms), FLAGS, "append", "eventTime", eventTimeColumnName="ts")
+    lot, share = (F.pmod(F.xxhash64(c), F.lit(n)).cast("int") for c, n in (("dup_key", LOTS), ("row_id", SHARES)))
+    shares = named.withColumns({"lot": lot, "share": share}).groupBy("lot", "share")
+    routed = shares.transformWithStateInPandas(_Share(), _ROUTED, "append", "eventTime", eventTimeColumnName="ts")
+    return routed.groupBy("route").applyInPandasWithState(_settle(keep_ms), FLAGS, _HELD, "append", GroupStateTimeout.EventTimeTimeout)

@@ -50,3 +50,21 @@ def test_keys_are_forgotten(spark, tmp_path):
     write(spark, folder, 2, [("d", "x", START + timedelta(days=31)), ("e", "z", START + timedelta(days=31))])
     found = run(spark, folder, keep="5 days").collect()
     assert sorted((r.dup_key, r.row_id, r.flag) for r in found) == [("z", "c", "first"), ("z", "e", "repeat")]
+
+
+def test_a_key_has_one_state_whatever_its_shares(spark, tmp_path):
+    """Forty rows of every value over two batches, some rows twice; the state is a row per value."""
+    folder = str(tmp_path)
+    rows = [[(f"{n}-{i // 2 if i < 20 else i}", f"v{i % 30}", START + timedelta(hours=n, minutes=i)) for i in range(600)] for n in range(2)]
+    for n in range(2):
+        write(spark, folder, n, rows[n])
+    source = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    query = lanes.start_table(duplicates.duplicate_flags(source, "v", "id", "at", "400 days", "1 hour"), f"{folder}/out", f"{folder}/state")
+    query.awaitTermination()
+    held = [sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in query.recentProgress]
+    assert max(held) == 30
+    found = spark.read.schema(duplicates.FLAGS).parquet(f"{folder}/out").collect()
+    assert sorted((r.dup_key, r.row_id) for r in found) == sorted((v, i) for part in rows for i, v, _ in part)
+    firsts = {r.dup_key: r.ts for r in found if r.flag == "first"}
+    assert len(firsts) == sum(r.flag == "first" for r in found) == 30
+    assert all(firsts[v] == min(at for part in rows for _, w, at in part if w == v) for v in firsts)
