@@ -6,6 +6,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ REST_ROUNDS = 2  # rounds of the words outside the most frequent after their fir
 BLOCK = 64  # clustered words whose statistics travel together
 FLUSH = 300_000  # distinct words a task counts before it gives its counts out
 CHUNK = 200_000  # tokens that a task looks at together
+REMEMBERED = 100_000  # words whose shapes a task remembers
 CELLS = 16_384  # cells of words that are weighed together
 SHORT = 64  # counts up to this have their logarithms in a table
 PRIOR = 20.0  # observations that the class distribution is worth against the transitions
@@ -74,17 +76,31 @@ def count_words(texts: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("c"))
 
 
+class _Shapes(dict):
+    """Shapes of the words asked for; forgotten when they are many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[word] = shape(word)
+        return found
+
+
 class _Units(dict):
     """Word to number; a word outside gets the number of its shape and is remembered."""
 
     def __init__(self, words: list[bytes]) -> None:
         super().__init__(zip(words, range(len(words))))
         self.shapes_at = len(words)
-        self.missed: list[bytes] = []
+        self.shapes = _Shapes()
 
-    def __missing__(self, word: bytes) -> int:
-        self.missed.append(word)
-        return self.shapes_at + shape(word)
+    def numbers(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+        """The numbers of words, and those of them that are outside."""
+        found = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
+        at = np.flatnonzero(found < 0)
+        missed = [words[i] for i in at.tolist()]
+        found[at] = np.fromiter(map(self.shapes.__getitem__, missed), np.int64, len(missed)) + self.shapes_at
+        return found, missed
 
 
 _held: dict[str, _Units] = {}
@@ -99,18 +115,17 @@ def _units(model_id: str, words: list[bytes]) -> _Units:
     return found
 
 
-def _tokens(texts: pa.Array, units: _Units) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, tokens of each row, units of all) of runs of rows; ``units.missed`` holds their words outside, for the caller to clear."""
-    first, lengths, made, size = 0, [], [], 0
+def _tokens(texts: pa.Array, units: _Units) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes]]]:
+    """(first row, tokens of each row, units of all, their words outside) of runs of rows."""
+    first, lengths, made = 0, [], []
     for row, text in enumerate(texts, 1):
-        found = ascii_words(text.as_py())
-        found.append(END)
-        made.append(np.fromiter(map(units.__getitem__, found), np.int64, len(found)))
-        lengths.append(len(found))
-        size += len(found)
-        if size >= CHUNK or row == len(texts):
-            yield first, np.array(lengths), np.concatenate(made)
-            first, lengths, made, size = row, [], [], 0
+        before = len(made)
+        made += ascii_words(text.as_py())
+        made.append(END)
+        lengths.append(len(made) - before)
+        if len(made) >= CHUNK or row == len(texts):
+            yield first, np.array(lengths), *units.numbers(made)
+            first, lengths, made = row, [], []
 
 
 @dataclass
@@ -164,22 +179,20 @@ class Model:
 
 
 def _encoded(texts: DataFrame, words: list[bytes]) -> DataFrame:
-    """The training texts as numbers of two bytes, one binary row per batch; each text ends in END."""
+    """The training texts as numbers of two bytes, each text ending in END, and their words outside ``words``; a row per run of texts."""
     sent, model_id = texts.sparkSession.sparkContext.broadcast(words), uuid.uuid4().hex
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = _units(model_id, sent.value)
         for batch in batches:
             for start in range(0, batch.num_rows, BATCH_ROWS):
-                made = []
-                for text in batch.column(0).slice(start, BATCH_ROWS):
-                    found = ascii_words(text.as_py())
-                    found.append(END)
-                    made.append(np.fromiter(map(units.__getitem__, found), np.uint16, len(found)))
-                    units.missed.clear()
-                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(made).tobytes()], pa.binary())], ["units"])
+                for _, _, at, missed in _tokens(batch.column(0).slice(start, BATCH_ROWS), units):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([b" ".join(missed)], pa.binary())],
+                        ["units", "missed"],
+                    )
 
-    return texts.select("text").mapInArrow(encode, "units binary")
+    return texts.select("text").mapInArrow(encode, "units binary, missed binary")
 
 
 def _pairs(batch: pa.RecordBatch, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -199,7 +212,7 @@ def _transitions(encoded: DataFrame, classes: np.ndarray, end: int) -> np.ndarra
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
 
-    found = encoded.mapInArrow(matrix, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    found = encoded.select("units").mapInArrow(matrix, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     total = np.zeros(LETTERS * LETTERS)
     for row in found:  # at most LETTERS squared
         total[row["cell"]] = row["n"]
@@ -297,7 +310,7 @@ def _exchange(
             [pa.array(numbers[free][better]), pa.array(best[better].astype(np.int64))], ["word", "class"]
         )
 
-    counted = encoded.mapInArrow(count, "block int, places binary, counts binary")
+    counted = encoded.select("units").mapInArrow(count, "block int, places binary, counts binary")
     moves = counted.repartition("block").sortWithinPartitions("block").mapInArrow(move, "word long, class long").collect()
     changed = classes.copy()
     for row in moves:  # at most one per clustered word
@@ -335,23 +348,21 @@ def _summed(words: pa.Array, owners: np.ndarray, cells: np.ndarray, counts: np.n
     )
 
 
-def _contexts(texts: DataFrame, words: list[bytes], classes: np.ndarray) -> DataFrame:
-    """(word, cells, counts): how often each word outside ``words`` comes after each class, or shape of a word outside.
+def _contexts(encoded: DataFrame, clustered: int, classes: np.ndarray) -> DataFrame:
+    """(word, cells, counts): how often each word outside the clustered comes after each class, or shape of a word outside.
 
     A task gives its counts out in one row per word and run of tokens. Rows of a word meet
-    sorted and are added up as they stream through.
+    sorted by its hash, a number, and are added up as they stream through.
     """
-    sent, model_id = texts.sparkSession.sparkContext.broadcast(words), uuid.uuid4().hex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = _units(model_id, sent.value)
         held, befores = [], []
         for batch in batches:
-            for _, _, at in _tokens(batch.column(0), units):
+            for units, missed in zip(batch.column(0), batch.column(1)):
+                at = np.frombuffer(units.as_py(), np.uint16).astype(np.int64)
                 before = np.concatenate(([CLASSES], classes[at[:-1]]))  # every text ends in END, whose class this is
-                befores.append(before[at >= units.shapes_at])
-                held += units.missed
-                units.missed.clear()
+                befores.append(before[at >= clustered])
+                held += missed.as_py().split()
                 if len(held) > FLUSH:
                     yield given(held, befores)
                     held, befores = [], []
@@ -368,20 +379,23 @@ def _contexts(texts: DataFrame, words: list[bytes], classes: np.ndarray) -> Data
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            rows = pa.Table.from_batches([batch]) if last is None else pa.Table.from_batches([last, batch])
-            rows = rows.combine_chunks().to_batches()[0]
-            coded = rows.column(0).dictionary_encode()  # sorted, so numbers rise
+            rows = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks().to_batches()[0]
+            coded = rows.column(0).dictionary_encode()
             cells, sizes = _numbers(rows.column(1), np.uint8)
             counts, _ = _numbers(rows.column(2), np.int64)
             added = _summed(coded.dictionary, np.repeat(coded.indices.to_numpy().astype(np.int64), sizes), cells, counts)
-            if added.num_rows > 1:
-                yield added.slice(0, added.num_rows - 1)
-            last = added.slice(added.num_rows - 1)
+            # in the order of the hashes; more rows may follow for the words of the last hash, rarely more than one
+            hashes = rows.column(3).to_numpy()
+            done = int(coded.indices.to_numpy()[np.searchsorted(hashes, hashes[-1]) :].min())
+            if done:
+                yield added.slice(0, done)
+            open_words = added.slice(done)
+            last = pa.RecordBatch.from_arrays([*open_words.columns, pa.array(np.full(open_words.num_rows, hashes[-1]))], schema=batch.schema)
         if last is not None:
-            yield last
+            yield last.select(["word", "cells", "counts"])
 
-    given_out = texts.select("text").mapInArrow(count, _CONTEXTS)
-    return given_out.repartition("word").sortWithinPartitions("word").mapInArrow(add, _CONTEXTS)
+    given_out = encoded.mapInArrow(count, _CONTEXTS).withColumn("hash", F.xxhash64("word"))
+    return given_out.repartition("hash").sortWithinPartitions("hash").mapInArrow(add, _CONTEXTS)
 
 
 class _Choice:
@@ -574,7 +588,7 @@ def learn(texts: DataFrame, rounds: int = ROUNDS) -> Model:
         else:  # too many moved at once: take the round back, move fewer from now on
             share *= 2
 
-    contexts = tables.cut(_contexts(texts, words[:clustered], classes), "contexts")
+    contexts = tables.cut(_contexts(encoded, clustered, classes), "contexts")
     placed, table = place_rest(contexts, transitions[:, :CLASSES], min(rounds, REST_ROUNDS))
     placed = tables.cut(placed, "placed")
     ending = np.zeros((LETTERS, LETTERS))
@@ -612,14 +626,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(start, BATCH_ROWS)
-                for first, lengths, at in _tokens(part.column(1), units):
+                for first, lengths, at, missed in _tokens(part.column(1), units):
                     ends = np.cumsum(lengths)
                     starts = ends - lengths
                     before = np.concatenate(([CLASSES], befores[at[:-1]]))  # every text ends in END, whose class this is
                     own = np.where(at < units.shapes_at, emissions[at] + steps[before, classes[at]], 0.0)
                     missing = np.flatnonzero(at >= units.shapes_at)
-                    rare = outside(units.missed, np.searchsorted(ends, missing, "right"), before[missing], at[missing] - units.shapes_at, len(lengths))
-                    units.missed.clear()
+                    rare = outside(missed, np.searchsorted(ends, missing, "right"), before[missing], at[missing] - units.shapes_at, len(lengths))
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0).slice(first, len(lengths)), pa.array(lengths, pa.int64()),
                          pa.array(np.add.reduceat(known[at].astype(np.int64), starts)), pa.array(np.add.reduceat(base[at], starts)),

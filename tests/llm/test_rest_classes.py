@@ -74,3 +74,42 @@ def test_choices_against_brute_force():
         without[cells, own[at]] -= n
         assert best[at] == max(range(brown_lm.CLASSES), key=lambda k: with_word(without, k))
         assert first[at] == max(range(brown_lm.CLASSES), key=lambda k: with_word(table, k))
+
+
+def test_texts_are_read_twice_to_learn_and_contexts_add_up(spark, monkeypatch):
+    """Counted and encoded; contexts come from the encoded texts, also of words that share a hash, over many small batches."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["a", "b", "c", *(f"w{rng.randrange(90)}" for _ in range(3))]) for _ in range(rng.randrange(40))) for _ in range(80)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(text):
+        seen.add(1)
+        return text
+
+    frame = spark.createDataFrame([(t,) for t in [*texts, None]], "text string").repartition(3)
+    monkeypatch.setattr(brown_lm, "CLUSTERED", 4)
+    monkeypatch.setattr(brown_lm, "FLUSH", 20)
+    monkeypatch.setattr(brown_lm, "BATCH_ROWS", 7)
+    model = brown_lm.learn(frame.select(brown_lm.F.udf(look, "string")("text").alias("text")), rounds=1)
+    assert seen.value == 2 * len([*texts, None])
+
+    monkeypatch.setattr(brown_lm.F, "xxhash64", lambda word: brown_lm.F.crc32(word) % 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        head = [brown_lm.END, *(w.encode() for w in "abc")]
+        classes = np.concatenate(([brown_lm.CLASSES], range(3), np.arange(brown_lm.CLASSES + 1, brown_lm.LETTERS))).astype(np.int64)
+        found = brown_lm._contexts(brown_lm._encoded(frame, head), 4, classes).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for text in texts:
+        before = brown_lm.CLASSES
+        for word in text.encode().split():
+            number = head.index(word) if word in head else 4 + brown_lm.shape(word)
+            if number >= 4:
+                cells = want.setdefault(word.decode(), {})
+                cells[before] = cells.get(before, 0) + 1
+            before = int(classes[number])
+    got = {r.word: dict(zip(r.cells, np.frombuffer(r.counts, np.int64).tolist())) for r in found}
+    assert len(found) == len(got) and got == want
+    assert {r.word for r in model.placed.collect()} | {w.decode() for w in model.words[:4]} == {*want, "\n", "a", "b", "c"}
