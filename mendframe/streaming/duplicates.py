@@ -26,7 +26,7 @@ SPREAD = 1_024  # keys under which flagged rows pass the second step
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 _ROUTED = "route string, dup_key string, row_id string, ts timestamp, last timestamp, more boolean"
-_HELD = "row_id string, ts timestamp, flagged boolean, due long"
+_HELD = "row_id string, micros long, flagged boolean, due long"
 FLAGS = "dup_key string, row_id string, ts timestamp, flag string"
 
 
@@ -65,26 +65,33 @@ def _settle(keep_ms: int):
             for frame in rows:
                 yield frame.assign(flag="repeat")[["dup_key", "row_id", "ts", "flag"]]
             return
-        first, flagged, due = None, False, 0
+        first, flagged, due = None, False, None
+        watermark = state.getCurrentWatermarkMs()
         if state.exists:
-            *first, flagged, due = state.get
-            if due <= state.getCurrentWatermarkMs():
-                first, flagged, due = None, False, 0
+            row_id, micros, flagged, due = state.get
+            first = (row_id, pd.NaT if micros is None else pd.Timestamp(micros, unit="us"))
+            if due is not None and due <= watermark:
+                first, flagged, due = None, False, None
         for frame in rows:
             dup_key = frame.dup_key.iat[0]
+            frame = frame.sort_values(["ts", "row_id"])
             leads = list(zip(frame.row_id, frame.ts))
             out, more = [], first is not None or len(leads) > 1 or frame.more.iat[0]
             if first is None:
-                leads.sort(key=lambda lead: (lead[1], lead[0]))
                 first = leads.pop(0)
             if more and not flagged:
                 out, flagged = [(dup_key, *first, "first")], True
             out += [(dup_key, *lead, "repeat") for lead in leads]
-            due = max(due, int(frame["last"].max().timestamp() * 1000) + keep_ms)
+            last = frame["last"].max()  # none if no row has a time: then the watermark counts, once there is one
+            latest = watermark if pd.isna(last) else int(last.timestamp() * 1000)
+            if latest > 0:
+                due = max(due or 0, latest + keep_ms)
             if out:
                 yield pd.DataFrame(out, columns=["dup_key", "row_id", "ts", "flag"])
-        state.update((*first, flagged, due))
-        state.setTimeoutTimestamp(due)
+        row_id, ts = first
+        state.update((row_id, None if pd.isna(ts) else ts.value // 1_000, flagged, due))
+        if due is not None:
+            state.setTimeoutTimestamp(due)
 
     return settle
 
@@ -96,7 +103,8 @@ def duplicate_flags(rows: DataFrame, column: str, row_id: str, time: str, keep:
     row that came before them ``first`` in the batch of its first repeat. A key is forgotten when
     the watermark, ``lateness`` behind the newest row, passes its last row by ``keep``.
     Rows with a missing value, by the rules of batch validation, are in no group; rows
-    later than the watermark are left out, as in any stream.
+    later than the watermark are left out, as in any stream. A row without a time counts as of the
+    watermark; before there is one, it keeps its key until a later row comes.
     """
     spark = rows.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)

@@ -68,3 +68,15 @@ def test_a_key_has_one_state_whatever_its_shares(spark, tmp_path):
     firsts = {r.dup_key: r.ts for r in found if r.flag == "first"}
     assert len(firsts) == sum(r.flag == "first" for r in found) == 30
     assert all(firsts[v] == min(at for part in rows for _, w, at in part if w == v) for v in firsts)
+
+
+def test_rows_without_a_time_or_an_id(spark, tmp_path):
+    folder = str(tmp_path)
+    write(spark, folder, 0, [("a", "x", None), (None, "y", START), (None, "y", START), ("b", "z", None), ("c", "w", START)])
+    write(spark, folder, 1, [("d", "x", START), ("e", "z", None), (None, "z", None), ("f", "w", START)])
+    found = run(spark, folder).collect()
+    assert sorted((r.dup_key, r.row_id or "", r.flag) for r in found) == [
+        ("w", "c", "first"), ("w", "f", "repeat"), ("x", "a", "first"), ("x", "d", "repeat"),
+        ("y", "", "first"), ("y", "", "repeat"), ("z", "", "repeat"), ("z", "b", "first"), ("z", "e", "repeat"),
+    ]
+    assert all((r.ts is None) == (r.dup_key == "z" or r.row_id == "a") for r in found)
