@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from mendframe.functions import tables
-from mendframe.llm.common import BATCH_ROWS, ascii_words, fold
+from mendframe.llm.common import ascii_words, flat_words, fold
 
 FOLDS, HELD_OUT = 7, 2
 END = b"\n"  # ends every text; no word holds white space
@@ -24,11 +22,14 @@ LONGEST = 64  # bytes of a word in the dictionary; with DICTIONARY this bounds w
 ROUNDS = 6
 REST_ROUNDS = 2  # rounds of the words outside the most frequent after their first choice
 BLOCK = 64  # clustered words whose statistics travel together
-FLUSH = 300_000  # distinct words a task counts before it gives its counts out
-CHUNK = 200_000  # tokens that a task looks at together
-REMEMBERED = 100_000  # words whose shapes a task remembers
-CELLS = 16_384  # cells of words that are weighed together
-SHORT = 64  # counts up to this have their logarithms in a table
+COUNTED = 4_000_000  # tokens a task counts before it gives its counts out
+FLUSH = 1_500_000  # words outside whose contexts a task counts before it gives them out
+BATCH_ROWS = 10_000  # rows of text that a task looks at together, at most
+CHUNK = 2_000_000  # bytes of text that a task looks at together, about
+LOOKED_UP = 1_200_000  # words that a task looks up at once, as each time the dictionary is hashed anew
+CELLS = 2_048  # cells of words that are weighed together
+SHORT = 64  # sizes up to this have their logarithms in a table
+FEW = 8  # as do the cells of words with counts up to this
 PRIOR = 20.0  # observations that the class distribution is worth against the transitions
 
 PUNCTUATION, SCRIPTS, LENGTHS = 4, 8, 3
@@ -37,38 +38,64 @@ LETTERS = CLASSES + 1 + SHAPES  # all classes: exchanged, end of text, shapes; a
 
 
 # by the last byte: a letter, a digit or non-ASCII; a full stop; a comma; anything else
-_ENDINGS = [SCRIPTS * LENGTHS * (0 if b > 127 or chr(b).isalnum() else 1 if b == 46 else 2 if b == 44 else 3) for b in range(256)]
+_ENDINGS = np.array(
+    [SCRIPTS * LENGTHS * (0 if b > 127 or chr(b).isalnum() else 1 if b == 46 else 2 if b == 44 else 3) for b in range(256)], np.int64
+)
+
+
+def shapes(words: pa.Array) -> np.ndarray:
+    """What unseen words are told by, and any but the most frequent as the word before: ending, first non-ASCII letter, length."""
+    edges = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[: edges[-1]] if len(words) else np.zeros(0, np.uint8)
+    first, past = edges[:-1], edges[1:]
+    size = past - first
+    found = _ENDINGS[data[past - 1]] + (size > 7) + (size > 12)
+    foreign = np.append(np.flatnonzero(data > 127), len(data))
+    at = foreign[np.searchsorted(foreign, first)]
+    told = np.flatnonzero(at < past)
+    letter = data[at[told]].astype(np.int64) * 31 + data[at[told] + 1]
+    found[told] += (1 + letter % (SCRIPTS - 1)) * LENGTHS
+    return found
 
 
 def shape(word: bytes) -> int:
-    """What an unseen word is told by, and any but the most frequent as the word before: ending, first non-ASCII letter, length."""
-    size = len(word)
-    found = _ENDINGS[word[-1]] + (0 if size <= 7 else 1 if size <= 12 else 2)
-    if not word.isascii():
-        for at, byte in enumerate(word):
-            if byte > 127:
-                return found + (1 + (byte * 31 + word[at + 1]) % (SCRIPTS - 1)) * LENGTHS
-    return found
+    """The shape of one word."""
+    return int(shapes(pa.array([word], pa.binary()))[0])
+
+
+def _strings(words: list[bytes]) -> pa.Array:
+    return pa.array(words, pa.binary()).cast(pa.string())
+
+
+def _runs(texts: pa.Array) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """(first row, words of all rows in lower case, words of each row) of runs of rows; a long text is a run of its own."""
+    for start in range(0, len(texts), BATCH_ROWS):
+        part = texts.slice(start, BATCH_ROWS)
+        reach = np.cumsum(pc.fill_null(pc.binary_length(part), 0).to_numpy().astype(np.int64))
+        edges = [0, *(np.flatnonzero(np.diff(reach // CHUNK)) + 1).tolist(), len(part)]
+        for low, high in zip(edges, edges[1:]):
+            yield start + low, *flat_words(pc.ascii_lower(part.slice(low, high - low)))
 
 
 def count_words(texts: DataFrame) -> DataFrame:
     """(word, c) over whole texts, the end of each text counted as a word; NULL counts as empty text."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        held, size, rows = [], 0, 0
         for batch in batches:
-            for text in batch.column(0):
-                found.update(ascii_words(text.as_py()))
-                found[END] += 1
-                if len(found) > FLUSH:
-                    yield given(found)
-                    found = Counter()
-        if found:
-            yield given(found)
-
-    def given(found: Counter) -> pa.RecordBatch:
+            for _, flat, lengths in _runs(batch.column(0)):
+                held.append(flat)
+                size, rows = size + len(flat), rows + len(lengths)
+                if size > COUNTED:
+                    yield given(held, rows)
+                    held, size, rows = [], 0, 0
+        if rows:
+            yield given(held, rows)
+
+    def given(held: list[pa.Array], rows: int) -> pa.RecordBatch:
+        found = pa.chunked_array(held, pa.string()).value_counts()
         return pa.RecordBatch.from_arrays(
-            [pa.array(list(found.keys()), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())],
+            [pa.concat_arrays([found.field(0), _strings([END])]), pa.concat_arrays([found.field(1), pa.array([rows], pa.int64())])],
             ["word", "n"],
         )
 
@@ -76,56 +103,40 @@ def count_words(texts: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("c"))
 
 
-class _Shapes(dict):
-    """Shapes of the words asked for; forgotten when they are many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self[word] = shape(word)
-        return found
-
-
-class _Units(dict):
-    """Word to number; a word outside gets the number of its shape and is remembered."""
-
-    def __init__(self, words: list[bytes]) -> None:
-        super().__init__(zip(words, range(len(words))))
-        self.shapes_at = len(words)
-        self.shapes = _Shapes()
-
-    def numbers(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
-        """The numbers of words, and those of them that are outside."""
-        found = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
-        at = np.flatnonzero(found < 0)
-        missed = [words[i] for i in at.tolist()]
-        found[at] = np.fromiter(map(self.shapes.__getitem__, missed), np.int64, len(missed)) + self.shapes_at
-        return found, missed
-
-
-_held: dict[str, _Units] = {}
-
-
-def _units(model_id: str, words: list[bytes]) -> _Units:
-    """The dictionary of a model, built once per worker process."""
-    found = _held.get(model_id)
-    if found is None:
-        _held.clear()
-        found = _held[model_id] = _Units(words)
-    return found
+def _tokens(texts: pa.Array, words: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.Array]]:
+    """(first row, tokens of each row, units of all, their words outside) of runs of rows.
 
+    A unit is the place of a word in ``words``, where END is first, and behind them all the shape of a word outside.
+    """
 
-def _tokens(texts: pa.Array, units: _Units) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes]]]:
-    """(first row, tokens of each row, units of all, their words outside) of runs of rows."""
-    first, lengths, made = 0, [], []
-    for row, text in enumerate(texts, 1):
-        before = len(made)
-        made += ascii_words(text.as_py())
-        made.append(END)
-        lengths.append(len(made) - before)
-        if len(made) >= CHUNK or row == len(texts):
-            yield first, np.array(lengths), *units.numbers(made)
-            first, lengths, made = row, [], []
+    def looked_up() -> Iterator[tuple[int, pa.Array, np.ndarray, pa.Array]]:
+        held, size = [], 0
+        for run in _runs(texts):
+            held.append(run)
+            size += len(run[1])
+            if size > LOOKED_UP:
+                yield from found_in(held)
+                held, size = [], 0
+        if held:
+            yield from found_in(held)
+
+    def found_in(held: list[tuple[int, pa.Array, np.ndarray]]) -> Iterator[tuple[int, pa.Array, np.ndarray, pa.Array]]:
+        found = pc.index_in(pa.chunked_array([flat for _, flat, _ in held]), value_set=words).combine_chunks()
+        at = 0
+        for first, flat, lengths in held:
+            yield first, flat, lengths, found.slice(at, len(flat))
+            at += len(flat)
+
+    for first, flat, lengths, found in looked_up():
+        missing = pc.is_null(found)
+        missed = flat.filter(missing)
+        inner = pc.fill_null(found, 0).to_numpy().astype(np.int64)
+        inner[np.flatnonzero(missing.to_numpy(zero_copy_only=False))] = shapes(missed) + len(words)
+        lengths = lengths + 1
+        units, inside = np.zeros(len(flat) + len(lengths), np.int64), np.ones(len(flat) + len(lengths), bool)
+        inside[np.cumsum(lengths) - 1] = False
+        units[inside] = inner
+        yield first, lengths, units, missed
 
 
 @dataclass
@@ -166,8 +177,8 @@ class Model:
 
     def before_classes(self) -> np.ndarray:
         """What every dictionary word is as the word before: its class if clustered, else its shape; then the shapes."""
-        rest = [CLASSES + 1 + shape(w) for w in self.words[len(self.classes) :]]
-        return np.concatenate((self.classes, np.array(rest, np.int64), np.arange(CLASSES + 1, LETTERS)))
+        rest = CLASSES + 1 + shapes(_strings(self.words[len(self.classes) :]))
+        return np.concatenate((self.classes, rest, np.arange(CLASSES + 1, LETTERS)))
 
     def emissions(self) -> np.ndarray:
         """log10 P(word | class) of every dictionary word; 0 for the shapes."""
@@ -180,43 +191,89 @@ class Model:
 
 def _encoded(texts: DataFrame, words: list[bytes]) -> DataFrame:
     """The training texts as numbers of two bytes, each text ending in END, and their words outside ``words``; a row per run of texts."""
-    sent, model_id = texts.sparkSession.sparkContext.broadcast(words), uuid.uuid4().hex
+    sent = texts.sparkSession.sparkContext.broadcast(_strings(words))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = _units(model_id, sent.value)
         for batch in batches:
-            for start in range(0, batch.num_rows, BATCH_ROWS):
-                for _, _, at, missed in _tokens(batch.column(0).slice(start, BATCH_ROWS), units):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([b" ".join(missed)], pa.binary())],
-                        ["units", "missed"],
-                    )
+            for _, _, at, missed in _tokens(batch.column(0), sent.value):
+                all_missed = pa.ListArray.from_arrays(pa.array([0, len(missed)], pa.int32()), missed)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pc.binary_join(all_missed, " ")], ["units", "missed"]
+                )
 
-    return texts.select("text").mapInArrow(encode, "units binary, missed binary")
+    return texts.select("text").mapInArrow(encode, "units binary, missed string")
 
 
-def _pairs(batch: pa.RecordBatch, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for row in batch.column(0):
-        units = np.frombuffer(row.as_py(), np.uint16).astype(np.int64)
-        yield np.concatenate(([end], units[:-1])), units
+_COUNTS = "block int, places binary, counts binary"
 
 
-def _transitions(encoded: DataFrame, classes: np.ndarray, end: int) -> np.ndarray:
-    """Counts of class pairs over the whole training corpus; one matrix per task is added up."""
+def _counted(encoded: DataFrame, classes: np.ndarray) -> DataFrame:
+    """(block, places, counts): how often each class comes after, then before, each word of a block of words and shapes.
 
-    def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(LETTERS * LETTERS, np.int64)
+    A task counts over its texts and gives the counts out by blocks. Blocks are sorted and
+    stream through: a task adds up one block at a time, however many tasks counted. The
+    result has the size of the words, not of the corpus.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = len(classes) * LETTERS
+        total = np.zeros(2 * cells, np.int64)
+        for batch in batches:
+            for row in batch.column(0):
+                units = np.frombuffer(row.as_buffer(), np.uint16).astype(np.int64)
+                own = classes[units]
+                units *= LETTERS
+                total[own[0]] += 1  # comes after END, which ends every text and is unit 0
+                total[:cells] += np.bincount(units[:-1] + own[1:], minlength=cells)
+                total[cells + units[0] + CLASSES] += 1
+                total[cells:] += np.bincount(units[1:] + own[:-1], minlength=cells)
+        total = total.reshape(2, len(classes), LETTERS)
+        yield given((block, total[:, block : block + BLOCK].ravel()) for block in range(0, len(classes), BLOCK))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, total = None, None
         for batch in batches:
-            for before, after in _pairs(batch, end):
-                total += np.bincount(classes[before] * LETTERS + classes[after], minlength=LETTERS * LETTERS)
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
+            for block, places, counts in _blocks(batch):
+                if block != current:
+                    if current is not None:
+                        yield given([(current, total)])
+                    current, total = block, np.zeros(2 * min(BLOCK, len(classes) - block) * LETTERS, np.int64)
+                total[places] += counts
+        if current is not None:
+            yield given([(current, total)])
+
+    def given(totals) -> pa.RecordBatch:
+        found = [(block, at, total[at]) for block, total in totals if len(at := np.flatnonzero(total))]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([block for block, _, _ in found], pa.int32()),
+                pa.array([at.astype(np.int32).tobytes() for _, at, _ in found], pa.binary()),
+                pa.array([counts.tobytes() for _, _, counts in found], pa.binary()),
+            ],
+            ["block", "places", "counts"],
+        )
+
+    counted = encoded.select("units").mapInArrow(count, _COUNTS)
+    return counted.repartition("block").sortWithinPartitions("block").mapInArrow(add, _COUNTS)
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    for block, places, counts in zip(*(batch.column(i) for i in range(3))):
+        yield block.as_py(), np.frombuffer(places.as_buffer(), np.int32), np.frombuffer(counts.as_buffer(), np.int64)
+
+
+def _transitions(counted: DataFrame, classes: np.ndarray) -> np.ndarray:
+    """Counts of class pairs over the whole training corpus."""
+
+    def matrix(batch: pa.RecordBatch) -> np.ndarray:
+        total = np.zeros(LETTERS * LETTERS, np.int64)
+        for block, places, counts in _blocks(batch):
+            after = np.searchsorted(places, min(BLOCK, len(classes) - block) * LETTERS)
+            words, cells = np.divmod(places[:after].astype(np.int64), LETTERS)
+            total += np.bincount(classes[block + words] * LETTERS + cells, counts[:after], LETTERS * LETTERS).astype(np.int64)
+        return total
 
-    found = encoded.select("units").mapInArrow(matrix, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    total = np.zeros(LETTERS * LETTERS)
-    for row in found:  # at most LETTERS squared
-        total[row["cell"]] = row["n"]
-    return total.reshape(LETTERS, LETTERS)
+    return _cells(counted, matrix, (LETTERS, LETTERS))
 
 
 def _information(x: np.ndarray) -> np.ndarray:
@@ -254,51 +311,15 @@ def best_moves(after: np.ndarray, before: np.ndarray, own: np.ndarray, transitio
     return best, joined[mine, best] - joined[mine, own]
 
 
-def _exchange(
-    encoded: DataFrame, classes: np.ndarray, transitions: np.ndarray, clustered: int, end: int, turn: int, share: int
-) -> np.ndarray:
-    """One round: one in ``share`` clustered words moves to its best class, all against the same counts.
-
-    A task counts, for each clustered word, the classes before and after it, and gives
-    the counts out by blocks of words. Blocks are sorted and stream through: a task adds
-    up one block at a time, however many tasks counted. Only classes come back.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = clustered * LETTERS
-        total = np.zeros(2 * cells, np.int64)
-        for batch in batches:
-            for before, after in _pairs(batch, end):
-                own = before < clustered
-                total[:cells] += np.bincount(before[own] * LETTERS + classes[after[own]], minlength=cells)
-                own = after < clustered
-                total[cells:] += np.bincount(after[own] * LETTERS + classes[before[own]], minlength=cells)
-        blocks, places, counts = [], [], []
-        total = total.reshape(2, clustered, LETTERS)
-        for block in range(0, clustered, BLOCK):
-            part = total[:, block : block + BLOCK].ravel()
-            at = np.flatnonzero(part)
-            if len(at):
-                blocks.append(block)
-                places.append(at.astype(np.int32).tobytes())
-                counts.append(part[at].tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(blocks, pa.int32()), pa.array(places, pa.binary()), pa.array(counts, pa.binary())],
-            ["block", "places", "counts"],
-        )
+def _exchange(counted: DataFrame, classes: np.ndarray, transitions: np.ndarray, turn: int, share: int) -> np.ndarray:
+    """One round: one in ``share`` clustered words moves to its best class, all against the same counts. Only classes come back."""
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, total = None, None
         for batch in batches:
-            for block, places, counts in zip(*(batch.column(i) for i in range(3))):
-                block = block.as_py()
-                if block != current:
-                    if current is not None:
-                        yield moved(current, total)
-                    current, total = block, np.zeros(2 * min(BLOCK, clustered - block) * LETTERS)
-                total[np.frombuffer(places.as_py(), np.int32)] += np.frombuffer(counts.as_py(), np.int64)
-        if current is not None:
-            yield moved(current, total)
+            for block, places, counts in _blocks(batch):
+                total = np.zeros(2 * min(BLOCK, len(classes) - block) * LETTERS)
+                total[places] = counts
+                yield moved(block, total)
 
     def moved(block: int, total: np.ndarray) -> pa.RecordBatch:
         after, before = total.reshape(2, -1, LETTERS)
@@ -310,10 +331,8 @@ def _exchange(
             [pa.array(numbers[free][better]), pa.array(best[better].astype(np.int64))], ["word", "class"]
         )
 
-    counted = encoded.select("units").mapInArrow(count, "block int, places binary, counts binary")
-    moves = counted.repartition("block").sortWithinPartitions("block").mapInArrow(move, "word long, class long").collect()
     changed = classes.copy()
-    for row in moves:  # at most one per clustered word
+    for row in counted.mapInArrow(move, "word long, class long").collect():  # at most one per clustered word
         changed[row["word"]] = row["class"]
     return changed
 
@@ -338,16 +357,20 @@ def _numbers(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(held.tobytes(), kind), np.diff(places) // np.dtype(kind).itemsize
 
 
-def _summed(words: pa.Array, owners: np.ndarray, cells: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    """One row per word of (word, cells, counts), from cells of words told by the number of the word."""
-    keys, at = np.unique(owners * LETTERS + cells, return_inverse=True)
-    totals = np.bincount(at, counts, len(keys)).astype(np.int64)
+def _contexts_of(words: pa.Array, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """One row per word of (word, cells, counts), from the counts of sorted keys: the word's number times LETTERS, and the cell."""
     edges = np.searchsorted(keys, np.arange(len(words) + 1) * LETTERS)
     return pa.RecordBatch.from_arrays(
-        [words, _binary((keys % LETTERS).astype(np.uint8), edges), _binary(totals, edges)], ["word", "cells", "counts"]
+        [words, _binary((keys % LETTERS).astype(np.uint8), edges), _binary(counts.astype(np.int64), edges)], ["word", "cells", "counts"]
     )
 
 
+def _summed(words: pa.Array, owners: np.ndarray, cells: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """One row per word of (word, cells, counts), from cells of words told by the number of the word."""
+    keys, at = np.unique(owners * LETTERS + cells, return_inverse=True)
+    return _contexts_of(words, keys, np.bincount(at, counts, len(keys)))
+
+
 def _contexts(encoded: DataFrame, clustered: int, classes: np.ndarray) -> DataFrame:
     """(word, cells, counts): how often each word outside the clustered comes after each class, or shape of a word outside.
 
@@ -355,24 +378,29 @@ def _contexts(encoded: DataFrame, clustered: int, classes: np.ndarray) -> DataFr
     sorted by its hash, a number, and are added up as they stream through.
     """
 
+    letters = classes.astype(np.uint8)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, befores = [], []
+        held, befores, size = [], [], 0
         for batch in batches:
-            for units, missed in zip(batch.column(0), batch.column(1)):
-                at = np.frombuffer(units.as_py(), np.uint16).astype(np.int64)
-                before = np.concatenate(([CLASSES], classes[at[:-1]]))  # every text ends in END, whose class this is
-                befores.append(before[at >= clustered])
-                held += missed.as_py().split()
-                if len(held) > FLUSH:
+            for at in range(batch.num_rows):
+                units = np.frombuffer(batch.column(0)[at].as_buffer(), np.uint16)
+                before = np.concatenate((letters[:1], letters[units[:-1]]))  # every text ends in END, which is first
+                befores.append(before[units >= clustered])
+                missed, _ = flat_words(batch.column(1).slice(at, 1))
+                held.append(missed)
+                size += len(missed)
+                if size > FLUSH:
                     yield given(held, befores)
-                    held, befores = [], []
-        if held:
+                    held, befores, size = [], [], 0
+        if size:
             yield given(held, befores)
 
-    def given(held: list[bytes], befores: list[np.ndarray]) -> pa.RecordBatch:
-        coded = pa.array(held, pa.binary()).dictionary_encode()
+    def given(held: list[pa.Array], befores: list[np.ndarray]) -> pa.RecordBatch:
+        coded = pa.concat_arrays(held).dictionary_encode()
         owners = coded.indices.to_numpy().astype(np.int64)
-        return _summed(coded.dictionary.cast(pa.string()), owners, np.concatenate(befores), np.ones(len(held)))
+        keys, counts = np.unique(owners * LETTERS + np.concatenate(befores), return_counts=True)
+        return _contexts_of(coded.dictionary, keys, counts)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -404,15 +432,16 @@ class _Choice:
     def __init__(self, table: np.ndarray) -> None:
         self.table, self.sums = table, table.sum(axis=0)
         self.held, self.held_sums = _information(table), _information(self.sums)
-        self.once = _information(table + 1) - self.held
+        self.few = np.stack([_information(table + n) - self.held for n in range(FEW + 1)])
+        self.once = self.few[1]
         many = np.arange(SHORT + 1)[:, None]
         self.share = _information(self.sums + many) - self.held_sums
         self.lone = (self.once - self.share[1]).argmax(axis=1)  # of words that occur once
 
     def joined(self, cells: np.ndarray, counts: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """What each word adds to the likelihood in each class, its own counts not among the fixed ones."""
-        gains = self.once[cells]
-        more = np.flatnonzero(counts > 1)
+        gains = self.few[np.minimum(counts, FEW), cells]
+        more = np.flatnonzero(counts > FEW)
         gains[more] = _information(self.table[cells[more]] + counts[more, None]) - self.held[cells[more]]
         shared = self.share[np.minimum(sizes, SHORT)]
         long = np.flatnonzero(sizes > SHORT)
@@ -526,8 +555,7 @@ def _seen_once(contexts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def matrix(batch: pa.RecordBatch) -> np.ndarray:
         before, _ = _numbers(batch.column("cells"), np.uint8)
-        shapes = np.array([shape(word.encode()) for word in batch.column("word").to_pylist()])
-        return np.bincount(before.astype(np.int64) * SHAPES + shapes, minlength=LETTERS * SHAPES)
+        return np.bincount(before.astype(np.int64) * SHAPES + shapes(batch.column("word")), minlength=LETTERS * SHAPES)
 
     once = contexts.where((F.length("cells") == 1) & (F.col("counts") == F.lit(np.int64(1).tobytes())))
     unseen = _cells(once.select("word", "cells"), matrix, (LETTERS, SHAPES))
@@ -578,13 +606,15 @@ def learn(texts: DataFrame, rounds: int = ROUNDS) -> Model:
         [CLASSES], np.arange(clustered - 1) % CLASSES, np.arange(CLASSES + 1, LETTERS),
     )).astype(np.int64)
     encoded = tables.cut(_encoded(texts, words[:clustered]), "encoded")
-    transitions = _transitions(encoded, classes, 0)
+    counted = tables.cut(_counted(encoded, classes), "counted")
+    transitions = _transitions(counted, classes)
     share = 2
     for turn in range(rounds):
-        moved = _exchange(encoded, classes, transitions, clustered, 0, turn, share)
-        after = _transitions(encoded, moved, 0)
+        moved = _exchange(counted, classes, transitions, turn, share)
+        recounted = tables.cut(_counted(encoded, moved), "counted")
+        after = _transitions(recounted, moved)
         if objective(after) >= objective(transitions):
-            classes, transitions = moved, after
+            classes, transitions, counted = moved, after, recounted
         else:  # too many moved at once: take the round back, move fewer from now on
             share *= 2
 
@@ -612,43 +642,39 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     texts are one end token. With nothing learned, every word is unknown.
     """
     spark = docs.sparkSession
-    model_id = uuid.uuid4().hex
     base = np.log10(model.counts + 1.0) - model.base_log()
     steps = model.log_transitions()
     sent = spark.sparkContext.broadcast((
-        model.words, np.concatenate((base, np.zeros(SHAPES))), model.before_classes(), model.word_classes(), model.emissions(),
+        _strings(model.words), np.concatenate((base, np.zeros(SHAPES))), model.before_classes(), model.word_classes(), model.emissions(),
         np.concatenate((model.counts > 0, np.zeros(SHAPES, bool))), steps,
     ))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, base, befores, classes, emissions, known, steps = sent.value
-        units = _units(model_id, words)
         for batch in batches:
-            for start in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(start, BATCH_ROWS)
-                for first, lengths, at, missed in _tokens(part.column(1), units):
-                    ends = np.cumsum(lengths)
-                    starts = ends - lengths
-                    before = np.concatenate(([CLASSES], befores[at[:-1]]))  # every text ends in END, whose class this is
-                    own = np.where(at < units.shapes_at, emissions[at] + steps[before, classes[at]], 0.0)
-                    missing = np.flatnonzero(at >= units.shapes_at)
-                    rare = outside(missed, np.searchsorted(ends, missing, "right"), before[missing], at[missing] - units.shapes_at, len(lengths))
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0).slice(first, len(lengths)), pa.array(lengths, pa.int64()),
-                         pa.array(np.add.reduceat(known[at].astype(np.int64), starts)), pa.array(np.add.reduceat(base[at], starts)),
-                         pa.array(np.add.reduceat(own, starts)), rare],
-                        ["_row", "n", "seen", "base", "score", "rare"],
-                    )
-
-    def outside(missed: list[bytes], rows: np.ndarray, before: np.ndarray, shapes: np.ndarray, count: int) -> pa.Array:
+            for first, lengths, at, missed in _tokens(batch.column(1), words):
+                ends = np.cumsum(lengths)
+                starts = ends - lengths
+                before = np.concatenate(([CLASSES], befores[at[:-1]]))  # every text ends in END, whose class this is
+                own = np.where(at < len(words), emissions[at] + steps[before, classes[at]], 0.0)
+                missing = np.flatnonzero(at >= len(words))
+                rare = outside(missed, np.searchsorted(ends, missing, "right"), before[missing], len(lengths))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, len(lengths)), pa.array(lengths, pa.int64()),
+                     pa.array(np.add.reduceat(known[at].astype(np.int64), starts)), pa.array(np.add.reduceat(base[at], starts)),
+                     pa.array(np.add.reduceat(own, starts)), rare],
+                    ["_row", "n", "seen", "base", "score", "rare"],
+                )
+
+    def outside(missed: pa.Array, rows: np.ndarray, before: np.ndarray, count: int) -> pa.Array:
         """A list per row of (word, before, shape, n)."""
-        coded = pa.array(missed, pa.binary()).dictionary_encode()
-        numbers = coded.indices.to_numpy().astype(np.int64)
+        coded = missed.dictionary_encode()
         width = (len(coded.dictionary) + 1) * LETTERS
-        keys, at, n = np.unique(rows * width + numbers * LETTERS + before, return_index=True, return_counts=True)
+        keys, n = np.unique(rows * width + coded.indices.to_numpy() * np.int64(LETTERS) + before, return_counts=True)
+        numbers, before = np.divmod(keys % width, LETTERS)
         fields = [
-            coded.dictionary.take(pa.array(numbers[at])).cast(pa.string()), pa.array(before[at].astype(np.int32)),
-            pa.array(shapes[at].astype(np.int32)), pa.array(n.astype(np.int64)),
+            coded.dictionary.take(pa.array(numbers)), pa.array(before.astype(np.int32)),
+            pa.array(shapes(coded.dictionary)[numbers].astype(np.int32)), pa.array(n.astype(np.int64)),
         ]
         edges = np.searchsorted(keys, np.arange(count + 1) * width).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays(fields, ["word", "before", "shape", "n"]))

@@ -3,8 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from mendframe.llm import brown_lm
+from mendframe.llm.common import ascii_words, flat_words
 
 
 def likelihood(table):
@@ -113,3 +116,66 @@ def test_texts_are_read_twice_to_learn_and_contexts_add_up(spark, monkeypatch):
     got = {r.word: dict(zip(r.cells, np.frombuffer(r.counts, np.int64).tolist())) for r in found}
     assert len(found) == len(got) and got == want
     assert {r.word for r in model.placed.collect()} | {w.decode() for w in model.words[:4]} == {*want, "\n", "a", "b", "c"}
+
+
+def test_flat_words_are_those_of_the_plain_split():
+    """Every ASCII character between words, blanks at the ends, NULL and empty texts, slices."""
+    texts = [None, "", " ", *(f"{chr(i)}A{chr(i)}{chr(i)}bÄ {chr(i)}" for i in range(128)), "  x\x1c\x85y", "Z", None]
+    for part in (pa.array(texts), pa.array(["drop me", *texts, "and me"]).slice(1, len(texts)), pa.array([None, None], pa.string()), pa.array([], pa.string())):
+        flat, lengths = flat_words(pc.ascii_lower(part))
+        want = [ascii_words(t) for t in part.to_pylist()]
+        assert [w.encode() for w in flat.to_pylist()] == [w for words in want for w in words]
+        assert lengths.tolist() == [len(words) for words in want]
+
+
+def test_shapes_of_many_words_at_once():
+    words = ["a", "abcdefg", "abcdefgh", "twelveletter", "thirteenchars", "end.", "b,", "x!", "9", "é", "straße.", "日本語", "aé日-", "."]
+
+    def plain(word):
+        data = word.encode()
+        last = data[-1]
+        ending = 0 if last > 127 or chr(last).isalnum() else 1 if last == ord(".") else 2 if last == ord(",") else 3
+        foreign = next((1 + (b * 31 + data[i + 1]) % 7 for i, b in enumerate(data) if b > 127), 0)
+        return ending * 24 + foreign * 3 + (len(data) > 7) + (len(data) > 12)
+
+    assert brown_lm.shapes(pa.array(words)).tolist() == [plain(w) for w in words]
+    assert brown_lm.shapes(pa.array(words).slice(3, 9)).tolist() == [plain(w) for w in words[3:12]]
+    assert brown_lm.shapes(pa.array([], pa.string())).tolist() == []
+
+
+def test_units_do_not_depend_on_the_pieces_looked_at(monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["a", "B", "c", "dé", "rest."]) for _ in range(rng.randrange(30))) for _ in range(50)]
+    texts[7] = texts[20] = None
+    known = pa.array(["\n", "a", "b"])
+
+    def units():
+        return [
+            (first + row, part.tolist())
+            for first, lengths, at, _ in brown_lm._tokens(pa.array(texts), known)
+            for row, part in enumerate(np.split(at, np.cumsum(lengths)[:-1]))
+        ]
+
+    numbers = {"a": 1, "b": 2}
+    want = [
+        (row, [*(numbers.get(w, 3 + brown_lm.shape(w.encode())) for w in (t or "").lower().split()), 0]) for row, t in enumerate(texts)
+    ]
+    assert units() == want
+    for name, value in (("CHUNK", 64), ("LOOKED_UP", 20), ("BATCH_ROWS", 7)):
+        monkeypatch.setattr(brown_lm, name, value)
+        assert units() == want
+
+
+def test_a_round_reads_the_encoded_texts_once(spark):
+    """The counts that choose the moves also give the transitions of the classes."""
+    frame = spark.createDataFrame([("x p y q x p",), ("y q",), (None,), ("once x p",)], "text string").repartition(2)
+    head = [brown_lm.END, b"x", b"y", b"p", b"q"]
+    classes = np.concatenate(([brown_lm.CLASSES, 0, 1, 2, 3], np.arange(brown_lm.CLASSES + 1, brown_lm.LETTERS))).astype(np.int64)
+    counted = brown_lm._counted(brown_lm._encoded(frame, head), classes)
+    assert counted.count() == counted.select("block").distinct().count()
+    found = brown_lm._transitions(counted, classes)
+    end, rest = brown_lm.CLASSES, brown_lm.CLASSES + 1 + brown_lm.shape(b"once")
+    want = np.zeros_like(found)
+    for pair in ((end, 0), (0, 2), (2, 1), (1, 3), (3, 0), (0, 2), (2, end), (end, 1), (1, 3), (3, end), (end, end), (end, rest), (rest, 0), (0, 2), (2, end)):
+        want[pair] += 1
+    assert np.array_equal(found, want)
